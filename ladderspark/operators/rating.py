@@ -31,6 +31,8 @@ def pl_update(df: DataFrame, run: Sequence[str], cfg: RatingConfig) -> DataFrame
     d = with_group(df, run, _c2=F.sum(sig2 + F.lit(cfg.beta**2)))
     d = d.withColumn("_c", F.sqrt("_c2")).withColumn("_e", F.exp(F.col("mu") / F.col("_c")))
     ties = d.groupBy(*run, "rank_in").agg(F.sum("_e").alias("_E"), F.count(F.lit(1)).alias("_a"))
+    # Both scans read the ties twice, so they are stored instead of being computed four times.
+    ties = materialize(ties, "ties")
     block = F.floor(F.col("rank_in") / RANK_BLOCK)
     ties = running_sums(ties, run, [F.col("rank_in").desc()], [-block], {"_S": F.col("_E")})
     ties = running_sums(
@@ -52,25 +54,32 @@ def pl_update(df: DataFrame, run: Sequence[str], cfg: RatingConfig) -> DataFrame
 # ------------------------------------------------------------ model field
 
 
-def rank_list(df: DataFrame, run: Sequence[str], mode: str = "source") -> DataFrame:
-    """Rank per entrant for the model (W4): finishers by rank, eliminated tied at finishers + 1.
+def _finisher() -> Column:
+    return (~F.col("eliminated")) & F.col("rank").isNotNull()
 
-    ``mode="source"`` keeps the source rank with its ties, ``"dense_order"`` numbers the finishers
-    1..n by (rank, _seq). Entrants with neither a rank nor an elimination get null.
-    """
-    finisher = (~F.col("eliminated")) & F.col("rank").isNotNull()
-    d = with_group(df, run, _ranked=F.count_if(finisher))
+
+def _model_rank(d: DataFrame, run: Sequence[str], mode: str) -> DataFrame:
+    """Model rank of rows that carry the number of finishers of their run as ``_ranked``."""
+    finisher = _finisher()
     last = F.when(F.col("eliminated"), F.col("_ranked") + 1)
     if mode == "source":
-        return d.withColumn("model_rank", F.when(finisher, F.col("rank").cast("bigint")).otherwise(last)).drop("_ranked")
+        return d.withColumn("model_rank", F.when(finisher, F.col("rank").cast("bigint")).otherwise(last))
     if mode != "dense_order":
         raise ValueError(mode)
     split = d.withColumn("_fin", finisher.cast("int"))
-    by = [*run, "_fin"]
-    at = F.coalesce(F.col("rank"), F.lit(0))
-    numbered = row_numbers(split, by, [at, F.col("_seq")], [at.cast("bigint"), id_block("_seq")], "_rn")
+    at = F.coalesce(F.col("rank"), F.lit(0)).cast("bigint")
+    numbered = row_numbers(split, [*run, "_fin"], [at, F.col("_seq")], [at, id_block("_seq")], "_rn")
     ranked = F.when(F.col("_fin") == 1, F.col("_rn").cast("bigint")).otherwise(last)
-    return numbered.withColumn("model_rank", ranked).drop("_ranked", "_fin", "_rn")
+    return numbered.withColumn("model_rank", ranked).drop("_fin", "_rn")
+
+
+def rank_list(df: DataFrame, run: Sequence[str], mode: str = "source") -> DataFrame:
+    """Rank per entrant for the model (W4): finishers by rank, eliminated tied at finishers + 1.
+
+    ``mode="source"`` keeps the source rank with its ties, ``"dense_order"`` numbers the finishers
+    1..n by (rank, _seq). Entrants with neither a rank nor an elimination get null.
+    """
+    return _model_rank(with_group(df, run, _ranked=F.count_if(_finisher())), run, mode).drop("_ranked")
 
 
 def min_field(df: DataFrame, run: Sequence[str], n: int) -> DataFrame:
@@ -107,24 +116,28 @@ def rated_field(
     """
     keys = [pool, run]
     entries = first_rows(results, [*keys, "team_id"], F.col("_seq"))
-    entries = min_field(entries, keys, cfg.min_field)
-    if eliminated == "ignore":
-        entries = entries.filter((~F.col("eliminated")) & F.col("rank").isNotNull())
-    ranked = rank_list(entries, keys, rank_mode)
+    finisher = _finisher()
+    # One aggregate per run answers all questions about its field.
+    runs = entries.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_field"),
+        F.count_if(finisher).alias("_ranked"),
+        F.count_if("eliminated").alias("_out"),
+        F.min("date").alias("_d"),
+    )
+    rankable = F.col("_ranked") if eliminated == "ignore" else F.col("_ranked") + F.col("_out")
     least = cfg.min_ranked if min_ranked is None else min_ranked
-    ranked = with_group(
-        ranked, keys, _rankable=F.count("model_rank"), _field=F.count(F.lit(1)), _out=F.count_if("eliminated")
-    ).filter(F.col("_rankable") >= least)
+    runs = runs.filter((F.col("_field") >= cfg.min_field) & (rankable >= least))
+    days = F.datediff("_d", F.lit("1970-01-01"))
+    runs = row_numbers(runs, [pool], [F.col("_d"), F.col(run)], [days], "run_seq").drop("_d")
+    d = entries.join(runs, keys)
+    if eliminated == "ignore":
+        d = d.filter(finisher)
     weight = F.when(F.col("tier") == 1, F.lit(cfg.major_event_weight)).otherwise(F.lit(1.0))
     if eliminated == "downweight":
         # Fixed values of the down-weighted variant: base 0.35, floor 0.10.
         share = F.greatest(F.lit(0.10), F.lit(0.35) * (1.0 - F.col("_out") / F.col("_field")))
         weight = F.when(F.col("eliminated"), share).otherwise(F.lit(1.0))
-    ranked = ranked.withColumn("weight", weight).drop("_rankable", "_field", "_out")
-    runs = ranked.groupBy(*keys).agg(F.min("date").alias("_d"))
-    days = F.datediff("_d", F.lit("1970-01-01"))
-    runs = row_numbers(runs, [pool], [F.col("_d"), F.col(run)], [days], "run_seq").drop("_d")
-    ranked = ranked.join(runs, keys)
+    ranked = _model_rank(d.withColumn("weight", weight), keys, rank_mode).drop("_field", "_ranked", "_out")
     if inactivity is None:
         return ranked.withColumn("extra_var", F.lit(0.0))
     return _with_idle_variance(ranked, results, pool, inactivity[0])
