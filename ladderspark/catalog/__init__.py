@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["contests", "boards"]
+_MODULES = ["contests", "boards", "names"]
 
 
 def load():

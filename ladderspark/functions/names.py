@@ -62,6 +62,11 @@ def lookup(mapping: dict, key: Column, default: Column | None = None) -> Column:
     return found if default is None else F.coalesce(found, default)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, for long expressions that use it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _accent_table() -> tuple[str, str]:
     """All letters below U+3000 whose canonical decomposition is one base letter plus marks."""
     src, dst = [], []
@@ -178,42 +183,55 @@ def _registered(c: Column) -> Column:
     return lookup(REGISTERED_ALIASES, t, t)
 
 
-def parse_entity_name(c: Column) -> Column:
-    """Struct of call_name and registered_name, batch-job rules (P7): parentheses first, then quotes."""
-    text = F.translate(strip(strip_accents(c)), "“”‘’", "\"\"''")
-    empty = F.lit("")
+def _named(call: Column, rest: Column) -> Column:
+    def build(reg: Column) -> Column:
+        return F.struct(
+            lookup(CALL_ALIASES, call, call).alias("call_name"),
+            F.when(_words(reg) > 2, reg).otherwise(F.lit("")).alias("registered_name"),
+        )
 
-    def marked(pattern: str, t: Column) -> tuple[Column, Column]:
-        hit = F.regexp_extract(t, pattern, 1)
-        return F.lower(strip(hit)), strip(F.regexp_replace(t, pattern, ""))
+    return let(_registered(rest), build)
 
-    def named(call: Column, rest: Column) -> Column:
-        reg = _registered(rest)
+
+def _unmarked(text: Column) -> Column:
+    def build(name: Column) -> Column:
+        short = _words(name) <= 2
         return F.struct(
-            lookup(CALL_ALIASES, call, call).alias("call_name"),
-            F.when(_words(reg) > 2, reg).otherwise(empty).alias("registered_name"),
+            F.when(short, name).otherwise(lookup(REGISTERED_TO_CALL, name, F.lit(""))).alias("call_name"),
+            F.when(short, F.lit("")).otherwise(name).alias("registered_name"),
         )
 
-    # Fixed value: "cp" is a technical suffix, not a call name.
-    paren, paren_rest = marked(r"\(([^)]+)\)\s*$", text)
-    t1 = F.when(paren == "cp", paren_rest).otherwise(text)
-    quote, quote_rest = marked(r'"([^"]+)"\s*$', t1)
-    t2 = F.when(quote == "cp", quote_rest).otherwise(t1)
-    reg = _registered(t2)
-    plain = lookup(CALL_ALIASES, reg, reg)
-    bare = F.struct(
-        F.when(_words(plain) <= 2, plain).otherwise(lookup(REGISTERED_TO_CALL, plain, empty)).alias("call_name"),
-        F.when(_words(plain) <= 2, empty).otherwise(plain).alias("registered_name"),
+    reg = let(text, _registered)
+    return let(let(reg, lambda r: lookup(CALL_ALIASES, r, r)), build)
+
+
+def _by_marker(text: Column, pattern: str, otherwise) -> Column:
+    """Call name in a marker at the end; "cp" (fixed value) is a technical suffix and is dropped."""
+
+    def build(m: Column) -> Column:
+        call, rest = m["call"], m["rest"]
+        base = F.when(call == "cp", rest).otherwise(m["text"])
+        return F.when((call != "") & (call != "cp"), _named(call, rest)).otherwise(otherwise(base))
+
+    found = F.struct(
+        text.alias("text"),
+        F.lower(strip(F.regexp_extract(text, pattern, 1))).alias("call"),
+        strip(F.regexp_replace(text, pattern, "")).alias("rest"),
     )
-    has_paren = F.regexp_like(text, F.lit(r"\([^)]+\)\s*$")) & (paren != "cp")
-    has_quote = F.regexp_like(t1, F.lit(r'"[^"]+"\s*$')) & (quote != "cp")
-    return F.when(has_paren, named(paren, paren_rest)).when(has_quote, named(quote, quote_rest)).otherwise(bare)
+    return let(found, build)
+
+
+def parse_entity_name(c: Column) -> Column:
+    """Struct of call_name and registered_name, batch-job rules (P7): parentheses first, then quotes."""
+    text = F.translate(strip(strip_accents(c)), "“”‘’", "\"\"''")
+    by_quote = lambda t: _by_marker(t, r'"([^"]+)"\s*$', _unmarked)
+    return let(text, lambda t: _by_marker(t, r"\(([^)]+)\)\s*$", by_quote))
 
 
 def identity_key(handler: Column, entity: Column) -> Column:
     """Handler key and entity name joined by three pipes."""
     parsed = parse_entity_name(F.coalesce(entity, F.lit("")))
-    who = F.when(parsed["call_name"] != "", parsed["call_name"]).otherwise(parsed["registered_name"])
+    who = let(parsed, lambda p: F.when(p["call_name"] != "", p["call_name"]).otherwise(p["registered_name"]))
     return F.concat_ws("|||", sorted_token_key(handler), who)
 
 
