@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["contests", "boards", "names"]
+_MODULES = ["contests", "boards", "names", "values"]
 
 
 def load():
