@@ -67,8 +67,9 @@ def compare(spark, con, sf_dir, fn, sql):
     got.sort(key=key)
     want.sort(key=key)
     if got != want:
-        a = [r for r in got if r not in set(want)][:3]
-        b = [r for r in want if r not in set(got)][:3]
+        wanted, gotten = set(want), set(got)
+        a = [r for r in got if r not in wanted][:3]
+        b = [r for r in want if r not in gotten][:3]
         return f"DIFF rows {len(got)} vs {len(want)} cols {cols}\n   spark {a}\n   sql   {b}", False, []
     spark_types = dict(df.dtypes)
     odd = [f"{c}:{spark_types[c]}/{t}" for c, t in zip(cols, types) if not same_type(spark_types[c], t)]

@@ -114,12 +114,12 @@ def parse_numbers(spark, sf):
     return frame(spark, sf, NUMS).select("k", V.parse_float(c("raw")).alias("num"), V.parse_int(c("raw")).alias("whole"))
 
 
-@query("""SELECT l_orderkey * 8 + l_linenumber AS k, round(round(l_extendedprice / nullif(l_quantity, 1), 2), 2) AS speed,
+@query("""SELECT l_orderkey * 8 + l_linenumber AS k, round(ln(l_extendedprice) * 20 / nullif(l_quantity, 1), 2) AS speed,
   greatest(round(l_quantity - l_linenumber * 5 - (l_orderkey % 2) * 5, 2), 0) AS late FROM lineitem""")
 def derived_measures(spark, sf):
     d = table(spark, sf, "lineitem")
     return d.select((c("l_orderkey") * 8 + c("l_linenumber")).alias("k"),
-                    V.derive_speed(c("l_extendedprice"), F.nullif(c("l_quantity"), F.lit(1.0))).alias("speed"),
+                    V.derive_speed(F.ln("l_extendedprice") * 20, F.nullif(c("l_quantity"), F.lit(1.0))).alias("speed"),
                     V.derive_time_faults(c("l_quantity"), c("l_linenumber"), c("l_orderkey") % 2).alias("late"))
 
 
