@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["contests", "boards", "names", "values"]
+_MODULES = ["contests", "boards", "names", "values", "identity", "judges", "rows"]
 
 
 def load():

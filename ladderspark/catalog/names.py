@@ -108,7 +108,7 @@ def parse_entity_name(spark, sf):
 PAIRS = f"""SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN first || ' ' || last || ' ' || tag WHEN 1 THEN last || ' ' || tag || ', ' || first
     ELSE tag || ' ' || first || ' ' || last END AS handler, p_name || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' of the ring (Day)'
     WHEN 2 THEN ' von und zu' ELSE ' "Rex"' END AS raw
-  FROM {{orders}} JOIN ({PEOPLE}) ON k = o_custkey JOIN {{part}} ON p_partkey = o_orderkey % 2000"""
+  FROM {{orders}} JOIN ({PEOPLE}) ON k = o_custkey JOIN {{part}} ON p_partkey = o_custkey"""
 
 
 @query(f"""SELECT k, {sorted_sql('handler')} || '|||' || CASE WHEN call_name <> '' THEN call_name ELSE registered_name END AS team

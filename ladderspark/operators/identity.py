@@ -7,7 +7,7 @@ its own key and created once, with the lowest ``_seq`` as the canonical row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
@@ -89,38 +89,31 @@ def match_containment(df: DataFrame, dim: DataFrame) -> DataFrame:
     return df.join(found, "key", "left")
 
 
-def match_edit_distance(df: DataFrame, dim: DataFrame, most: int = 2) -> DataFrame:
-    """Id of the one dimension name of the country within ``most`` edits.
+def _without_one(name: Column) -> Column:
+    """All strings with one letter left out."""
+    cut = lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name)))
+    return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), cut)).otherwise(
+        F.array().cast("array<string>"))
 
-    Two names within k edits share one of k+1 pieces of the first, shifted by at most k places.
-    Both sides emit their pieces, so candidates come from an equality join per (country, piece).
+
+def _deletions(name: Column) -> Column:
+    """Hashes of the name with none, one or two letters left out."""
+    one = _without_one(name)
+    two = F.flatten(F.transform(one, _without_one))
+    return F.transform(F.array_distinct(F.concat(F.array(name), one, two)), lambda x: F.xxhash64(x))
+
+
+def match_edit_distance(df: DataFrame, dim: DataFrame) -> DataFrame:
+    """Id of the one other dimension name of the country within two edits.
+
+    Names within two edits have a common form with at most two letters left out, so candidates
+    come from an equality join on such forms and only near names ever meet.
     """
-    def pieces(name: Column) -> list[tuple[int, Column, Column]]:
-        cut = [F.floor(F.length(name) * i / (most + 1)).cast("int") for i in range(most + 2)]
-        return [(i, cut[i] + 1, cut[i + 1] - cut[i]) for i in range(most + 1)]
-
-    left = df.select("key", "norm", "country")
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("no"), start.alias("start"), F.substring("norm", start, size).alias("piece"), F.length("norm").alias("len"))
-        for i, start, size in pieces(F.col("norm"))
-    ])
-    a = left.select("key", "norm", "country", F.explode(rows).alias("p")).select(
-        "key", "norm", "country", "p.no", "p.piece", F.col("p.start").alias("start"), F.col("p.len").alias("len"))
-    # The dimension side emits, for every length an asked name may have, the text at the shifted places.
-    other = dim.select("id", F.col("norm").alias("other"), "country")
-    places = []
-    for d_len in range(-most, most + 1):
-        n = F.length("other") + d_len
-        for i in range(most + 1):
-            lo, hi = F.floor(n * i / (most + 1)).cast("int"), F.floor(n * (i + 1) / (most + 1)).cast("int")
-            for shift in range(-most, most + 1):
-                places.append(F.struct(F.lit(i).alias("no"), n.alias("len"),
-                                       F.when(lo + shift >= 0, F.substring("other", lo + 1 + shift, hi - lo)).alias("piece")))
-    b = other.select("id", "other", "country", F.explode(F.array_distinct(F.array(*places))).alias("p")).select(
-        "id", "other", "country", "p.no", "p.len", "p.piece").filter("piece is not null")
-    pairs = a.join(b, ["country", "no", "len", "piece"]).filter(F.col("norm") != F.col("other"))
-    near = pairs.filter(F.levenshtein("norm", "other", most) >= 0).select("key", "id").distinct()
-    one = near.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("edit_id")).filter("_n = 1").drop("_n")
+    a = df.select("key", "norm", "country", F.explode(_deletions(F.col("norm"))).alias("form"))
+    b = dim.select("id", F.col("norm").alias("other"), "country", F.explode(_deletions(F.col("norm"))).alias("form"))
+    near = a.join(b, ["country", "form"]).filter(
+        (F.col("norm") != F.col("other")) & (F.levenshtein("norm", "other", 2) >= 0))
+    one = near.groupBy("key").agg(F.min("id").alias("edit_id"), F.max("id").alias("_hi")).filter("edit_id = _hi").drop("_hi")
     return df.join(one, "key", "left")
 
 
