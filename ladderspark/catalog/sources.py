@@ -108,7 +108,7 @@ GAMES = f"""SELECT k AS _seq, 'f' || grp AS file, 'Cup' AS competition, CASE k %
 @query(f"""WITH n1 AS (SELECT *, CASE _seq % 5 WHEN 0 THEN 'Medium' WHEN 1 THEN 'Large' ELSE CASE WHEN _seq % 2 = 0 THEN 'Intermediate' ELSE 'Small' END END AS sz,
     CASE _seq % 5 WHEN 0 THEN 'ind_agility_medium' WHEN 1 THEN 'team_final_large_ind' WHEN 2 THEN CASE WHEN _seq % 2 = 0 THEN 'team_jumping_intermediate_ind' ELSE 'team_jumping_small_ind' END
     ELSE CASE WHEN _seq % 2 = 0 THEN 'ind_jumping_intermediate' ELSE 'ind_jumping_small' END END AS rk FROM {text(GAMES)} WHERE _seq % 5 <> 3 AND _seq % 13 <> 0), {_split}
-  SELECT _seq, key AS round_key, sz AS size, CASE WHEN status = '-' THEN NULL ELSE CAST(greatest(round(try_cast(tb_total AS DOUBLE) - CAST(chb AS INTEGER) * 5 - 5, 2), 0) AS DOUBLE) END AS late, 'CZE' AS country FROM n4""")
+  SELECT _seq, key AS round_key, sz AS size, CASE WHEN status = '-' OR tb_total = '' THEN NULL ELSE CAST(greatest(round(try_cast(tb_total AS DOUBLE) - CAST(chb AS INTEGER) * 5 - 5, 2), 0) AS DOUBLE) END AS late, 'CZE' AS country FROM n4""")
 def normalized_sponsored_source(spark, sf):
     d = normalize_source(frame(spark, sf, GAMES), "agigames")
     return d.select("_seq", "round_key", "size", c("time_faults").cast("double").alias("late"), "country")

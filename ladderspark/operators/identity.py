@@ -38,25 +38,28 @@ def match_name_only(df: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def _grams(name: Column, size: int) -> Column:
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(name) - size + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(size))
-    ))
+    """Hashes of the distinct parts of ``size`` letters."""
+    parts = F.transform(F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.substring(name, i, F.lit(size)))
+    return F.transform(F.array_distinct(F.when(F.length(name) >= size, parts).otherwise(F.array().cast("array<string>"))),
+                       lambda g: F.xxhash64(g))
 
 
-def _contained_pairs(short: DataFrame, long: DataFrame, by: list[str], size: int) -> DataFrame:
+def _contained_pairs(short: DataFrame, long: DataFrame, size: int) -> DataFrame:
     """(short_key, long_key) with the short name inside the long one and not equal to it.
 
-    A contained name of at least ``size`` letters shares all its ``size``-grams with the longer one.
-    Each short name is joined by its rarest gram only, so a beginning that everybody shares does
-    not bring everybody together.
+    A contained name of at least ``size`` letters shares all its parts of that size with the longer
+    one. Each short name is joined by its rarest part only, so a beginning that everybody shares
+    does not bring everybody together.
     """
-    lg = long.select(*by, "long_key", "long_name", F.explode(_grams(F.col("long_name"), size)).alias("gram"))
-    sg = short.select(*by, "short_key", "short_name", F.explode(_grams(F.col("short_name"), size)).alias("gram"))
-    freq = lg.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("_f"))
-    counted = sg.join(freq, [*by, "gram"], "left").withColumn("_f", F.coalesce("_f", F.lit(0)))
-    rarest = counted.groupBy(*by, "short_key", "short_name").agg(F.min_by("gram", F.struct("_f", "gram")).alias("gram"))
+    lg = long.select("country", "long_key", "long_name", F.explode(_grams(F.col("long_name"), size)).alias("gram"))
+    sg = short.select("country", "short_key", "short_name", F.explode(_grams(F.col("short_name"), size)).alias("gram"))
+    freq = lg.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("_f"))
+    # A part that no longer name has rules its name out: it would be the rarest one.
+    counted = sg.join(freq, ["country", "gram"], "left").withColumn("_f", F.coalesce("_f", F.lit(0)))
+    rarest = counted.groupBy("country", "short_key", "short_name").agg(
+        F.min_by("gram", F.struct("_f", "gram")).alias("gram"), F.min("_f").alias("_f")).filter("_f > 0")
     hit = F.contains("long_name", "short_name") & (F.col("long_name") != F.col("short_name"))
-    return rarest.join(lg, [*by, "gram"]).filter(hit).select("short_key", "long_key")
+    return rarest.join(lg, ["country", "gram"]).filter(hit).select("short_key", "long_key")
 
 
 def match_containment(df: DataFrame, dim: DataFrame) -> DataFrame:
@@ -66,24 +69,20 @@ def match_containment(df: DataFrame, dim: DataFrame) -> DataFrame:
     """
     asked = df.filter((F.length("norm") >= GRAM) & F.contains("norm", F.lit(" "))).select("key", "norm", "country")
     names = dim.filter("norm <> ''").select("id", "norm", "country")
-    by = ["country"]
-    inside = _contained_pairs(
-        asked.select(*by, F.col("key").alias("short_key"), F.col("norm").alias("short_name")),
-        names.select(*by, F.col("id").alias("long_key"), F.col("norm").alias("long_name")), by, GRAM,
-    ).select(F.col("short_key").alias("key"), F.col("long_key").alias("id"))
-    around = _contained_pairs(
-        names.filter(F.length("norm") >= GRAM).select(*by, F.col("id").alias("short_key"), F.col("norm").alias("short_name")),
-        asked.select(*by, F.col("key").alias("long_key"), F.col("norm").alias("long_name")), by, GRAM,
-    ).select(F.col("long_key").alias("key"), F.col("short_key").alias("id"))
-    # Dimension names below ten letters have no gram of that size: every part of the asked name is
-    # looked up instead, which is an equality join (at most nine parts per letter).
-    parts = asked.select("key", *by, F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda n: F.transform(
-            F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, n))
-    )))).alias("part"))
-    brief = names.filter(F.length("norm") < GRAM).select("id", *by, F.col("norm").alias("part"))
-    little = parts.join(brief, [*by, "part"]).select("key", "id")
-    found = inside.unionByName(around).unionByName(little).groupBy("key").agg(
+    # Both sides are read once per part size, so they are stored first.
+    asked, names = materialize(asked, "asked"), materialize(names, "names")
+    as_short = lambda d, key: d.select("country", F.col(key).alias("short_key"), F.col("norm").alias("short_name"))
+    as_long = lambda d, key: d.select("country", F.col(key).alias("long_key"), F.col("norm").alias("long_name"))
+    found = _contained_pairs(as_short(asked, "key"), as_long(names, "id"), GRAM).select(
+        F.col("short_key").alias("key"), F.col("long_key").alias("id"))
+    # Shorter dimension names need shorter parts; those sizes are only worked through if they occur.
+    size = F.when(F.length("norm") >= GRAM, GRAM).when(F.length("norm") >= 4, 4).otherwise(F.length("norm"))
+    sized = names.withColumn("_size", size)
+    for n in sorted(r[0] for r in sized.select("_size").distinct().collect()):
+        part = sized.filter(F.col("_size") == n)
+        pairs = _contained_pairs(as_short(part, "id"), as_long(asked, "key"), n)
+        found = found.unionByName(pairs.select(F.col("long_key").alias("key"), F.col("short_key").alias("id")))
+    found = found.groupBy("key").agg(
         F.count(F.lit(1)).alias("_n"), F.min("id").alias("contained_id")
     ).filter("_n = 1").drop("_n")
     return df.join(found, "key", "left")
