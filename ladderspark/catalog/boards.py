@@ -529,3 +529,14 @@ def result_star(spark, sf):
 @query(with_results("SELECT comp_id, COUNT(*) AS rows, 'unknown competition ' || comp_id || ', rows skipped' AS warning FROM results WHERE comp_id NOT IN (SELECT comp_id FROM competition WHERE tier = 1) GROUP BY 1", COMPS))
 def unknown_competitions(spark, sf):
     return S.known_only(results(spark, sf), contests.competitions(spark, sf).filter("tier = 1"))[1]
+
+
+@query(with_board("""SELECT type, display, subtitle FROM (
+    SELECT 1 AS s, handler_norm AS o, 'handler' AS type, handler AS display, country AS subtitle FROM (SELECT DISTINCT handler, handler_norm, country FROM board WHERE contains(handler_norm, '19') ORDER BY handler_norm, handler LIMIT 10)
+    UNION ALL SELECT 2, dog_norm, 'team', handler || ' & ' || dog, printf('%.0f', rating) FROM (SELECT * FROM board WHERE contains(dog_norm, '19') ORDER BY dog_norm, team_id LIMIT 10)
+    UNION ALL SELECT 3, CAST(9999999 - comp_id AS VARCHAR), 'competition', name, CAST(date AS VARCHAR) FROM (SELECT * FROM competition WHERE contains(lower(name), '19') ORDER BY date DESC, comp_id LIMIT 10))
+  ORDER BY s, o, display LIMIT 10""", COMPS))
+def search(spark, sf):
+    from ladderspark.operators.search import search as find
+
+    return find(team_board(spark, sf), contests.competitions(spark, sf), "19")
