@@ -223,6 +223,24 @@ def add_alias(alias: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------- entities of a handler
 
 
+def _word_list(name: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(name, r"(?U)[^\w]+", " "), " "), lambda w: w != "")
+
+
+def _word_text(name: Column) -> Column:
+    return F.array_join(_word_list(name), " ")
+
+
+def _word_runs(name: Column) -> Column:
+    """All runs of consecutive words of a name."""
+    def runs(words: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(
+            F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " ")))))
+
+    empty = F.array().cast("array<string>")
+    return N.let(_word_list(name), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(empty))
+
+
 def resolve_entities(rows: DataFrame, dim: DataFrame, owned: DataFrame, alias: DataFrame) -> DataFrame:
     """Entity id and deciding stage per distinct (handler_id, raw, size).
 
@@ -255,14 +273,15 @@ def resolve_entities(rows: DataFrame, dim: DataFrame, owned: DataFrame, alias: D
     hits = hits.groupBy("_seq").agg(
         pick(1, True).alias("own_alias"), pick(2, True).alias("own_exact"),
         pick(1, False).alias("any_alias"), pick(2, False).alias("any_exact"))
-    # Fuzzy: whole-word containment means that the first word of the shorter name is a word of the
-    # longer one, so candidates come from (handler, word); equal names share all words.
+    # Fuzzy: the words of a contained name are a run of the words of the longer one, so candidates
+    # come from an equality join of a whole name with the word runs of the other, both ways round.
     mine = owned.select("handler_id", "id").distinct().join(dim.select("id", F.col("size").alias("own_size"), "call_norm", "reg_norm"), "id")
     mine = mine.select("handler_id", "id", "own_size", F.explode(F.array_distinct(F.array("call_norm", "reg_norm"))).alias("own_name")).filter("own_name <> ''")
-    words = lambda c: F.array_distinct(F.split(F.regexp_replace(c, r"(?U)[^\w]+", " "), " "))
-    a = v.filter(F.length("name") >= 3).withColumn("w", F.explode(words(F.col("name"))))
-    b = mine.withColumn("w", F.explode(words(F.col("own_name"))))
-    near = a.join(b.filter("w <> ''"), ["handler_id", "w"]).filter(
+    asked = v.filter(F.length("name") >= 3)
+    key = ["handler_id", "w"]
+    inside = asked.withColumn("w", _word_text(F.col("name"))).join(mine.withColumn("w", F.explode(_word_runs(F.col("own_name")))), key)
+    around = asked.withColumn("w", F.explode(_word_runs(F.col("name")))).join(mine.withColumn("w", _word_text(F.col("own_name"))), key)
+    near = inside.unionByName(around).filter(
         N.size_compatible(F.col("size"), F.col("own_size"))
         & ((F.col("name") == F.col("own_name")) | N.word_contained(F.col("name"), F.col("own_name"))))
     near = near.select("_seq", "id").distinct().groupBy("_seq").agg(
