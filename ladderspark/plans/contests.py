@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderspark.operators.scan import running_sums, with_group
-from ladderspark.storage import stored
+from ladderspark.operators.scan import running_sums
+from ladderspark.storage import materialize, stored
 
 JUDGES = ["Jiří Novák", "Anna-Lena Groß", "Łukasz Wójcik", "Søren Ødegård", "Ms Guest", "María José Peña", "Tom O'Neil"]
 
@@ -64,6 +64,8 @@ def _build_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("returned") * 10 >= F.col("lines") * 6).alias("eliminated"),
         F.floor(F.col("score") / 20000).cast("bigint").alias("coarse"),
     )
+    # Read again for the ranks: stored, so that the big join of lines and orders runs once.
+    d = materialize(d, "entered")
     # rank() per run over the coarse score: counts per score level, summed from the best level down
     levels = d.filter("not eliminated").groupBy("run_id", "coarse").agg(F.count(F.lit(1)).alias("_k"))
     best = [F.col("coarse").desc()]
