@@ -115,7 +115,8 @@ def rated_field(
     ``(tau, sigma_max)`` and adds the variance collected while a team did not start (R7).
     """
     keys = [pool, run]
-    entries = first_rows(results, [*keys, "team_id"], F.col("_seq"))
+    # Stored, because the run totals, their numbering and the result all read it.
+    entries = materialize(first_rows(results, [*keys, "team_id"], F.col("_seq")), "unique")
     finisher = _finisher()
     # One aggregate per run answers all questions about its field.
     runs = entries.groupBy(*keys).agg(
