@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from ladderspark.llm import exact_dedup, mixing  # noqa: F401
+from ladderspark.llm import bpe, exact_dedup, mixing  # noqa: F401
 from ladderspark.llm.common import QUERIES, SQL
 
 
