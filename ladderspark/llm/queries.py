@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from ladderspark.llm import bpe, exact_dedup, licenses, mixing, quality, secret_scan, url_filter  # noqa: F401
+from ladderspark.llm import bpe, exact_dedup, jaccard_join, licenses, mixing, quality, secret_scan, url_filter  # noqa: F401
 from ladderspark.llm.common import QUERIES, SQL
 
 
