@@ -11,7 +11,7 @@ from typing import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderspark.llm.common import query, table
+from ladderspark.llm.common import free_name, query, table
 
 MAX_STATES = 150_000  # the machine is thrown away and built again beyond this
 MAX_WORDS = 600_000  # likewise the memo of short pieces
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
 
     docs, passed, rows, schema = _with_columns(docs, path, pattern, fn, [("n_tokens", "long"), ("ids", "binary")])
-    return docs.select(*passed, F.col(text).alias("_text_in")).mapInArrow(rows, schema)
+    return docs.select(*passed, F.col(text).alias(free_name(docs, "text_in"))).mapInArrow(rows, schema)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -272,7 +272,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
         return [pa.array([None if x is None else "".join(codec.decode(x)) for x in column.to_pylist()], pa.string())]
 
     docs, passed, rows, schema = _with_columns(docs, path, pattern, fn, [("decoded", "string")])
-    return docs.select(*passed, F.col(ids).cast("binary").alias("_ids_in")).mapInArrow(rows, schema)
+    return docs.select(*passed, F.col(ids).cast("binary").alias(free_name(docs, "ids_in"))).mapInArrow(rows, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -282,7 +282,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(["".join(codec.decode(x)) for x in ids], pa.string())]
 
     docs, passed, rows, schema = _with_columns(docs, path, pattern, fn, [("n_tokens", "long"), ("ids", "binary"), ("decoded", "string")])
-    return docs.select(*passed, F.col(text).alias("_text_in")).mapInArrow(rows, schema)
+    return docs.select(*passed, F.col(text).alias(free_name(docs, "text_in"))).mapInArrow(rows, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderspark.llm.common import query, table, whole_text
+from ladderspark.llm.common import free_name, query, table, whole_text
 
 MAX_LABELLED = 3000  # documents the field is fitted on at most; the smallest hashes of their ids
 SEGMENT = 32  # lines of a training sequence
@@ -195,7 +195,7 @@ def with_score(docs: DataFrame, field: LineField, text: str = "text", score: str
             scores = [field.score(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*passed, score])
 
-    return docs.select(*passed, F.col(text).alias("_text_in")).mapInArrow(rows, schema)
+    return docs.select(*passed, F.col(text).alias(free_name(docs, "text_in"))).mapInArrow(rows, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
