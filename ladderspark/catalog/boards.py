@@ -475,13 +475,11 @@ def regional_ranks(spark, sf):
     COUNT(*) FILTER (coalesce(a.rank, 99999999) < coalesce(b.rank, 99999999)) AS wins_a,
     COUNT(*) FILTER (coalesce(b.rank, 99999999) < coalesce(a.rank, 99999999)) AS wins_b,
     COUNT(*) FILTER (coalesce(b.rank, 99999999) = coalesce(a.rank, 99999999)) AS draws
-  FROM (SELECT team_id AS ta, lead(team_id) OVER (PARTITION BY pool ORDER BY team_id) AS tb FROM team) p
-  JOIN results a ON a.team_id = ta JOIN results b ON b.team_id = tb AND b.run_id = a.run_id GROUP BY ALL"""))
+  FROM (SELECT team_id AS tb, MIN(team_id) OVER (PARTITION BY pool) AS ta FROM team) p
+  JOIN results a ON a.team_id = ta JOIN results b ON b.team_id = tb AND b.run_id = a.run_id WHERE ta <> tb GROUP BY ALL"""))
 def head_to_head(spark, sf):
-    from pyspark.sql import Window
-
-    near = F.lead("team_id").over(Window.partitionBy("pool", F.floor(F.col("team_id") / 100000)).orderBy("team_id"))
-    pairs = teams(spark, sf).select(F.col("team_id").alias("team_a"), near.alias("team_b")).filter("team_b is not null")
+    t = teams(spark, sf).select("pool", F.col("team_id").alias("team_b"))
+    pairs = t.join(t.groupBy("pool").agg(F.min("team_b").alias("team_a")), "pool").filter("team_a <> team_b").select("team_a", "team_b")
     return S.head_to_head(results(spark, sf), pairs)
 
 

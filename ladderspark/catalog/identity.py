@@ -241,7 +241,7 @@ VARIANTS = """SELECT 'h' || CAST(CAST(floor(p_partkey / 20) AS BIGINT) AS STRING
   d2 AS (SELECT handler, dog, t[2] AS target FROM s1 UNION ALL SELECT handler, dog, t[2] FROM s2),
   s3 AS (SELECT b.handler, b.dog, MIN(a.dog) AS target FROM rg b JOIN dg a ON a.handler = b.handler AND a.n = 1 AND a.dog <> '' AND list_contains(b.w, a.dog) AND a.dog <> b.dog
     WHERE (b.handler, b.dog) NOT IN (SELECT (handler, dog) FROM d2) AND (a.handler, a.dog) NOT IN (SELECT (handler, dog) FROM d2) GROUP BY ALL),
-  links AS (SELECT * FROM d2 UNION ALL SELECT * FROM s3 WHERE NOT (target > dog AND NOT contains(dog, ' '))),
+  links AS (SELECT * FROM d2 UNION ALL SELECT * FROM s3 WHERE NOT (target > dog AND EXISTS (SELECT 1 FROM s3 x WHERE x.handler = s3.handler AND x.dog = s3.target AND x.target = s3.dog))),
   walk AS (SELECT handler, dog, target FROM links UNION ALL SELECT w.handler, w.dog, l.target FROM walk w JOIN links l ON l.handler = w.handler AND l.dog = w.target)
   SELECT handler, dog, target FROM walk w WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.handler = w.handler AND l.dog = w.target)""")
 def merge_variants(spark, sf):

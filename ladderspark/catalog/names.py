@@ -9,6 +9,7 @@ from ladderspark.catalog.fixtures import (
     ENTITIES, PEOPLE, RAW_NAMES, accents_sql, case_map, frame, norm_sql, q, slug_sql, squeeze_ends, squeeze_sql, swap_sql, text,
 )
 from ladderspark.functions import names as N
+from ladderspark.operators.scan import row_numbers
 from ladderspark.plans.contests import table
 
 TITLE = r"(?i)^(A3Ch|Ag\.?\s*Ch\.?|AGCh|MACH\d*|PACH\d*|GCh|C\.A\.C\.T)\s+"
@@ -188,16 +189,15 @@ def split_pair(spark, sf):
 
 
 KEYS = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'ind_agility_' END || CAST(o_orderkey % 120 AS STRING) || '_large_' || CAST(o_custkey % 15 AS STRING) AS label FROM {orders}"
-NATURAL = """array_to_string([CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END
+NATURAL = """array_to_string([CASE WHEN regexp_matches(x, '^\\d') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0') ELSE x END
   for x in CASE WHEN regexp_matches(label, '^\\d') THEN list_prepend('', regexp_extract_all(label, '\\d+|\\D+')) ELSE regexp_extract_all(label, '\\d+|\\D+') END], chr(1))"""
 
 
 @query(f"SELECT label, dense_rank() OVER (ORDER BY {NATURAL}) AS pos FROM {text(KEYS)} GROUP BY label")
 def natural_order(spark, sf):
-    from pyspark.sql import Window
-
-    labels = frame(spark, sf, KEYS).select("label").distinct()
-    return labels.withColumn("pos", F.dense_rank().over(Window.orderBy(N.natural_key(F.col("label")))).cast("bigint"))
+    keys = frame(spark, sf, KEYS).select("label").distinct().withColumn("_key", N.natural_key(F.col("label")))
+    places = row_numbers(keys.select("_key").distinct(), [], [F.col("_key")], "pos")
+    return keys.join(places, "_key").select("label", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("""SELECT o_orderpriority AS label, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '5-LOW' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS pos, COUNT(*) AS n

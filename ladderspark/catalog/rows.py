@@ -129,8 +129,8 @@ OLD = "SELECT lower(o_orderpriority) || '-x' || CAST(o_custkey AS STRING) || CAS
 
 @query(f"""WITH n AS (SELECT k, base, row_number() OVER (PARTITION BY base ORDER BY k) AS n FROM {text(SLUGS)}), o AS (SELECT DISTINCT slug FROM {text(OLD)}),
   t AS (SELECT slug AS base, 1 AS v FROM o UNION ALL SELECT regexp_replace(slug, '-\\d+$', ''), CAST(regexp_extract(slug, '-(\\d+)$', 1) AS BIGINT) FROM (SELECT slug FROM o UNION SELECT base FROM n) WHERE regexp_matches(slug, '-([2-9]|\\d\\d+)$')),
-  g AS (SELECT base, MAX(v) AS top, MIN(v) AS low FROM t GROUP BY 1),
-  f AS (SELECT k, base, CASE WHEN low IS NULL OR low > 1 THEN CASE WHEN n = 1 THEN 1 ELSE coalesce(top, 1) + n - 1 END ELSE top + n END AS no FROM n LEFT JOIN g USING (base))
+  g AS (SELECT base, list(DISTINCT v) AS taken FROM t GROUP BY 1),
+  f AS (SELECT k, base, [x for x in range(1, n + coalesce(len(taken), 0) + 1) if NOT coalesce(list_contains(taken, x), false)][n] AS no FROM n LEFT JOIN g USING (base))
   SELECT k, CASE WHEN no = 1 THEN base ELSE base || '-' || no END AS slug FROM f""")
 def unique_slugs(spark, sf):
     return Q.unique_slugs(frame(spark, sf, SLUGS), "base", "k", frame(spark, sf, OLD)).select("k", "slug")

@@ -311,10 +311,11 @@ def split_pair(c: Column, sep: str = " & ") -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key that puts _2 before _10 (P30): text and zero-padded digit runs in turn."""
+    """Sort key that puts _2 before _10 (P30): text and digit runs in turn, a run led by its length."""
     v = F.coalesce(c, F.lit(""))
     runs = F.regexp_extract_all(v, F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(runs, lambda x: F.when(F.regexp_like(x, F.lit(r"^\d")), F.lpad(x, 20, "0")).otherwise(x))
+    bare = lambda x: F.regexp_replace(x, "^0+", "")
+    padded = F.transform(runs, lambda x: F.when(F.regexp_like(x, F.lit(r"^\d")), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))).otherwise(x))
     return F.when(F.regexp_like(v, F.lit(r"^\d")), F.concat(F.array(F.lit("")), padded)).otherwise(padded)
 
 

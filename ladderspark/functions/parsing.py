@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,8 +21,9 @@ BREEDS = [
 ]
 BREED_FIXES = {
     "Australian": "Australian Shepherd", "Shetland": "Shetland Sheepdog", "Croatian": "Croatian Sheepdog",
-    "Miniature American": "Miniature American Shepherd", "Spanish Water": "Spanish Water Dog",
-    "Nova Scotia Duck Tolling": "Nova Scotia Duck Tolling Retriever", "Belgian Shepherd": "Belgian Shepherd Dog",
+    "Miniature American": "Miniature American Shepherd",
+    "Nova Scotia Duck Tolling": "Nova Scotia Duck Tolling Retriever", "Spanish Water": "Spanish Water Dog",
+    "Belgian Shepherd": "Belgian Shepherd Dog",
 }
 # Day names that prefix a round key.
 DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun",
@@ -34,13 +34,18 @@ def _count(arr: Column, token: str) -> Column:
     return F.size(F.filter(arr, lambda p: p == token)).cast("bigint")
 
 
+def _late_value(late: Column) -> Column:
+    last = F.try_element_at(late, F.lit(-1))
+    return parse_float(F.substring(last, F.lit(2), F.length(last)))
+
+
 def parse_fault_tokens(c: Column) -> Column:
     """Struct of faults, refusals and time_faults from "R, 5, T0.806" or relay tokens "C | 5" (P22)."""
     t = F.coalesce(c, F.lit(""))
     relay = F.contains(t, F.lit("|"))
     parts = F.transform(F.split(t, F.when(relay, F.lit(r"\|")).otherwise(F.lit(","))), lambda p: strip(p))
-    late = F.filter(parts, lambda p: p.startswith("T") & parse_float(F.substring(p, 2, 1000)).isNotNull())
-    value = parse_float(F.substring(F.try_element_at(late, F.lit(-1)), 2, 1000))
+    late = F.filter(parts, lambda p: p.startswith("T") & parse_float(F.substring(p, F.lit(2), F.length(p))).isNotNull())
+    value = _late_value(late)
     return F.struct(
         _count(parts, "5").alias("faults"),
         _count(parts, "R").alias("refusals"),
@@ -57,7 +62,7 @@ def sum_fault_tokens(c: Column) -> Column:
     return F.struct(
         total.alias("faults"),
         _count(parts, "R").alias("refusals"),
-        parse_float(F.substring(F.try_element_at(late, F.lit(-1)), 2, 1000)).alias("time_faults"),
+        _late_value(late).alias("time_faults"),
     )
 
 
@@ -87,6 +92,7 @@ def parse_course_spec(c: Column) -> Column:
 
 def parse_labelled_meta(c: Column) -> Column:
     """Course data of a text with labels (P24): ring, discipline, size, judge, times, length, participants."""
+    # Labels of the source format.
     ring = r"Ring\s+(\d+)\s*[•·]\s*([\w-]+)\s*[•·]\s*(\w+)"
     text = lambda pattern, i: F.nullif(strip(F.regexp_extract(c, pattern, i)), F.lit(""))
     return F.struct(
@@ -101,6 +107,7 @@ def parse_labelled_meta(c: Column) -> Column:
     )
 
 
+# Patterns of run descriptions.
 _GRAND = r"(?i)^(?:GRAND|SOFT)\s+FINAL\s+(.+)"
 _FINAL = r"(?i)^Final\s+(?:Individual|Team(?:\s+Relay)?)\s+(.+)"
 _KIND = r"(?i)^(Agility|Jumping)\s+(Individual|Team)\s+(.+)"
@@ -173,7 +180,7 @@ def normalize_round_key(key: Column, size: Column, discipline: Column, is_team:
     dated = F.regexp_like(parts[0], F.lit(r"^\d{8}$")) & F.regexp_like(p1, F.lit(r"^-?\d+$"))
     by_date = F.concat_ws("_", base, parts[0], p1, F.nullif(clean(p2), F.lit("")))
     by_day = F.concat_ws("_", base, F.array_join(F.filter(F.transform(parts, clean), lambda p: p != ""), "_"))
-    digits = F.filter(F.slice(parts, 2, 1000), lambda p: F.regexp_like(p, F.lit(r"^\d+$")))
+    digits = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.regexp_like(p, F.lit(r"^\d+$")))
     number = F.try_element_at(digits, F.lit(1)).try_cast("bigint")
     by_number = F.concat_ws("_", base, F.when(number != 0, number).cast("string"))
     return (
@@ -206,9 +213,3 @@ def cut_known_suffix(c: Column, known: list[str] | None = None) -> Column:
 def fix_truncated(c: Column) -> Column:
     """Full form of a value cut by line wrapping."""
     return lookup(BREED_FIXES, c, c)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-

@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
-from ladderspark.operators.scan import id_block, row_numbers, with_group
+from ladderspark.operators.scan import row_numbers, top_rows, with_group
 
 TIERS = ("Elite", "Champion", "Expert", "Competitor")
 
 
-def _down(col: str) -> Column:
-    """Bucket for a descending order by a rating: hundredths of a point."""
-    return F.floor(-F.col(col) * 100)
-
-
 def size_group(df: DataFrame) -> DataFrame:
     """Effective size: override, else own size, else L."""
     return df.withColumn("size_group", F.coalesce("size_override", "size", F.lit("L")))
@@ -61,8 +56,7 @@ def zscore_normalize(
 
 def tier_by_position(df: DataFrame, cfg: RatingConfig, group: str = "size_group") -> DataFrame:
     """Tier by position/count among active teams of a group (W10); inactive teams get null."""
-    active = row_numbers(df.filter("is_active"), [group], [F.col("rating").desc(), F.col("team_id")],
-                         [_down("rating"), id_block("team_id")], "_pos")
+    active = row_numbers(df.filter("is_active"), [group], [F.col("rating").desc(), F.col("team_id")], "_pos")
     active = with_group(active, [group], _n=F.count(F.lit(1)))
     share = (F.col("_pos") / F.col("_n"))
     tier = (
@@ -81,8 +75,7 @@ def tier_by_threshold(df: DataFrame, cfg: RatingConfig, group: str = "size_group
     Thresholds come from the active teams, labels go to all teams; a group without active teams
     has no reachable threshold.
     """
-    active = row_numbers(df.filter("is_active"), [group], [F.col("rating"), F.col("team_id")],
-                         [F.floor(F.col("rating") * 100), id_block("team_id")], "_pos")
+    active = row_numbers(df.filter("is_active"), [group], [F.col("rating"), F.col("team_id")], "_pos")
     active = with_group(active, [group], _n=F.count(F.lit(1)))
 
     def cut(top: float) -> Column:
@@ -106,10 +99,10 @@ def tier_by_threshold(df: DataFrame, cfg: RatingConfig, group: str = "size_group
 def global_ranks(df: DataFrame, group: str = "size_group") -> DataFrame:
     """Rank and previous rank of active teams per group, independent of any later filter."""
     by_now = [F.col("rating").desc(), F.col("team_id")]
-    d = row_numbers(df.filter("is_active"), [group], by_now, [_down("rating"), id_block("team_id")], "rank")
+    d = row_numbers(df.filter("is_active"), [group], by_now, "rank")
     had = d.withColumn("_had", F.coalesce(F.col("prev_rating") > 0, F.lit(False)))
     by_prev = [F.col("prev_rating").desc(), F.col("team_id")]
-    before = row_numbers(had, [group, "_had"], by_prev, [F.coalesce(_down("prev_rating"), F.lit(0)), id_block("team_id")], "_p")
+    before = row_numbers(had, [group, "_had"], by_prev, "_p")
     return before.withColumn("prev_rank", F.when(F.col("_had"), F.col("_p"))).drop("_p", "_had")
 
 
@@ -156,9 +149,8 @@ def rankings_page(df: DataFrame, page: int = 1, page_size: int = 50) -> DataFram
 
 
 def top_k_per_group(df: DataFrame, k: int, group: str = "size_group") -> DataFrame:
-    """Best ``k`` rows per group (O4). Ranks are bucketed, so no group is sorted in one task."""
-    d = row_numbers(df, [group], [F.col("rating").desc(), F.col("team_id")], [_down("rating"), id_block("team_id")], "place")
-    return d.filter(F.col("place") <= k)
+    """Best ``k`` rows per group."""
+    return top_rows(df, [group], [F.col("rating").desc(), F.col("team_id")], k, "place")
 
 
 def recent(df: DataFrame, n: int, date: str = "date", key: str = "comp_id") -> DataFrame:

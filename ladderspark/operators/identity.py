@@ -7,6 +7,8 @@ its own key and created once, with the lowest ``_seq`` as the canonical row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,7 +141,7 @@ def resolve_handlers(names: DataFrame, dim: DataFrame, alias: DataFrame) -> Data
     d = d.withColumn("stage", stage).withColumn("id", F.coalesce("alias_id", "exact_id", "name_id", "contained_id"))
     new = d.filter("stage = 'new'").groupBy("norm", "country").agg(F.min("_seq").alias("_first"))
     top = dim.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-    new = row_numbers(new, [], [F.col("_first")], [F.floor(F.col("_first") / 65536)], "_n").select(
+    new = row_numbers(new, [], [F.col("_first")], "_n").select(
         "norm", "country", (F.col("_n") + top).alias("new_id"))
     d = d.join(new, ["norm", "country"], "left")
     return d.select("raw", "country", "norm", "_seq", "stage",
@@ -309,7 +311,7 @@ def new_entities(resolved: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     key = ["handler_id", "call_norm", "size", "_k"]
     new = new.withColumn("_k", F.when(F.col("call_norm") == "", F.col("reg_norm")).otherwise(F.lit("")))
     ids = new.groupBy(*key).agg(F.min("_seq").alias("_first"), F.min_by("reg_norm", "_seq").alias("reg"))
-    ids = row_numbers(ids, [], [F.col("_first")], [F.floor(F.col("_first") / 65536)], "_n").withColumn("id", F.col("_n") + top)
+    ids = row_numbers(ids, [], [F.col("_first")], "_n").withColumn("id", F.col("_n") + top)
     rows = new.drop("id").join(ids.select(*key, "id"), key).select(resolved.columns)
     return rows, ids.select("id", "handler_id", "call_norm", F.col("reg").alias("reg_norm"), "size")
 
@@ -318,7 +320,7 @@ def resolve_teams(pairs: DataFrame, teams: DataFrame, cfg: RatingConfig) -> Data
     """Team table with the missing (handler, entity) pairs added in the initial state."""
     fresh = pairs.select("handler_id", "entity_id").distinct().join(teams, ["handler_id", "entity_id"], "left_anti")
     top = teams.agg(F.coalesce(F.max("team_id"), F.lit(-1))).first()[0]
-    fresh = row_numbers(fresh, [], [F.col("handler_id"), F.col("entity_id")], [F.floor(F.col("handler_id") / 4096), F.floor(F.col("entity_id") / 65536)], "_n")
+    fresh = row_numbers(fresh, [], [F.col("handler_id"), F.col("entity_id")], "_n")
     return teams.unionByName(fresh.select(
         (F.col("_n") + top).alias("team_id"), "handler_id", "entity_id",
         F.lit(cfg.mu0).alias("mu"), F.lit(cfg.sigma0).alias("sigma")))
@@ -394,23 +396,30 @@ def merge_variants(variants: DataFrame) -> DataFrame:
     inside = regs.join(done, ["handler", "dog"], "left_anti").select("handler", "dog", F.explode(F.split("reg", " ")).alias("w"))
     step3 = inside.join(single, ["handler", "w"]).filter("w <> dog").groupBy("handler", "dog").agg(F.min("s").alias("t"))
     step3 = step3.select("handler", "dog", F.col("t.d").alias("target"))
-    # a single word may itself be taken by rule 3 only by a smaller one, which keeps chains finite
-    merged = done.unionByName(step3.filter(~((F.col("target") > F.col("dog")) & ~F.contains("dog", F.lit(" ")))))
-    return resolve_chains(merged)
+    # of two single words that take each other only the larger one goes
+    back = step3.select("handler", F.col("target").alias("dog"), F.col("dog").alias("target"))
+    mutual = step3.join(back, ["handler", "dog", "target"]).filter("target > dog")
+    return resolve_chains(done.unionByName(step3.join(mutual, ["handler", "dog"], "left_anti")))
+
 
+def resolve_chains(links: DataFrame, by: Sequence[str] = ("handler",), name: str = "dog", to: str = "target") -> DataFrame:
+    """Follow ``name -> to`` inside ``by`` to the end by pointer jumping: each round doubles the reach.
 
-def resolve_chains(links: DataFrame, most: int = 40) -> DataFrame:
-    """Follow ``handler, dog -> target`` to the end by pointer jumping: each round doubles the reach."""
+    After as many rounds as the number of links has binary digits every chain has ended; what still moves is a cycle, an error.
+    """
     links = materialize(links, "links")
-    for _ in range(most):
-        ahead = links.select("handler", F.col("dog").alias("target"), F.col("target").alias("_next"))
-        jumped = links.join(ahead, ["handler", "target"], "left")
-        moved = materialize(jumped.select("handler", "dog", F.coalesce("_next", "target").alias("target"),
-                                          F.col("_next").isNotNull().alias("_moved")), "links")
+    reach, most = 1, None
+    while True:
+        ahead = links.select(*by, F.col(name).alias(to), F.col(to).alias("_next"))
+        jumped = links.join(ahead, [*by, to], "left")
+        moved = materialize(jumped.select(*by, name, F.coalesce("_next", to).alias(to), F.col("_next").isNotNull().alias("_moved")), "links")
         links = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
-            break
-    return links
+            return links
+        most = links.count() if most is None else most
+        reach *= 2
+        if reach > 2 * most + 2:
+            raise ValueError("links form a cycle")
 
 
 def merge_entities(
@@ -418,7 +427,7 @@ def merge_entities(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge source entities into targets (J15): teams and aliases move, the source goes, its name becomes an alias.
 
-    ``pairs`` has ``source_id, target_id``; ``key`` is the team column of the entity. With
+    ``pairs`` has ``source_id, target_id``, chains end at their last target; ``key`` is the team column of the entity. With
     ``same_size`` only pairs of one size are merged. For a dry run, look at the returned frames.
     """
     if same_size:
@@ -426,6 +435,7 @@ def merge_entities(
         pairs = (pairs.join(sizes.select(F.col("id").alias("source_id"), F.col("size").alias("_a")), "source_id")
                  .join(sizes.select(F.col("id").alias("target_id"), F.col("size").alias("_b")), "target_id")
                  .filter("_a = _b").select("source_id", "target_id"))
+    pairs = resolve_chains(pairs.select("source_id", "target_id"), (), "source_id", "target_id")
     moved = pairs.select(F.col("source_id").alias(key), "target_id")
     t = teams.join(moved, key, "left").withColumn(key, F.coalesce("target_id", key)).select(teams.columns)
     a = alias.join(pairs.withColumnRenamed("source_id", "canonical_id"), "canonical_id", "left").withColumn(

@@ -45,9 +45,9 @@ def toughness_percentile(df: DataFrame) -> DataFrame:
     """
     scored = df.filter("toughness is not null")
     per = scored.groupBy("toughness").agg(F.count(F.lit(1)).alias("_n"))
-    per = running_sums(per, [], [F.col("toughness")], [F.floor(F.col("toughness") * 1000)], {"_upto": F.col("_n")})
-    total = scored.agg(F.count(F.lit(1)).alias("_all"))
-    share = per.join(total, F.lit(True)).select("toughness", (F.col("_upto") / F.col("_all")).alias("percentile"))
+    per = running_sums(per, [], [F.col("toughness")], {"_upto": F.col("_n")})
+    total = scored.count()
+    share = per.select("toughness", (F.col("_upto") / total).alias("percentile"))
     return df.join(share, "toughness", "left")
 
 
@@ -108,7 +108,7 @@ def judge_course_design(results: DataFrame) -> DataFrame:
     done = results.filter("judge is not null and not eliminated")
     sct = done.groupBy("judge", "run_id").agg(F.min("sct").alias("sct"), F.stddev_samp("speed").alias("spread"))
     timed = done.filter("time is not null").groupBy("run_id", "time").agg(F.count(F.lit(1)).alias("_n"))
-    timed = running_sums(timed, ["run_id"], [F.col("time")], [F.floor("time")], {"_upto": F.col("_n")})
+    timed = running_sums(timed, ["run_id"], [F.col("time")], {"_upto": F.col("_n")})
     sizes = timed.groupBy("run_id").agg(F.max("_upto").alias("_all"))
     t = timed.join(sizes, "run_id")
     at = lambda k: F.min(F.when(F.col("_upto") >= k, F.col("time")))

@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
-from ladderspark.operators.scan import first_rows, id_block, row_numbers, running_sums, with_group
+from ladderspark.operators.scan import first_rows, row_numbers, running_sums, with_group
 from ladderspark.storage import materialize, new_path
 
-RANK_BLOCK = 4096
 
 
 # ---------------------------------------------------------------- one update
@@ -24,19 +23,16 @@ def pl_update(df: DataFrame, run: Sequence[str], cfg: RatingConfig) -> DataFrame
 
     Needs columns ``team_id, rank_in, mu, sigma, weight`` and the run keys; adds ``new_mu`` and
     ``new_sigma`` (with decay and floor). Sums over ranks run on one row per (run, rank), in
-    blocks of ranks, so a run with a huge field is spread over many tasks.
+    ranges of ranks, so a run with a huge field is spread over many tasks.
     """
     run = list(run)
     sig2 = F.col("sigma") * F.col("sigma")
     d = with_group(df, run, _c2=F.sum(sig2 + F.lit(cfg.beta**2)))
     d = d.withColumn("_c", F.sqrt("_c2")).withColumn("_e", F.exp(F.col("mu") / F.col("_c")))
     ties = d.groupBy(*run, "rank_in").agg(F.sum("_e").alias("_E"), F.count(F.lit(1)).alias("_a"))
-    # Both scans read the ties twice, so they are stored instead of being computed four times.
-    ties = materialize(ties, "ties")
-    block = F.floor(F.col("rank_in") / RANK_BLOCK)
-    ties = running_sums(ties, run, [F.col("rank_in").desc()], [-block], {"_S": F.col("_E")})
+    ties = running_sums(ties, run, [F.col("rank_in").desc()], {"_S": F.col("_E")})
     ties = running_sums(
-        ties, run, [F.col("rank_in")], [block], {"_z1": 1 / F.col("_S"), "_z2": 1 / (F.col("_S") * F.col("_S"))}
+        ties, run, [F.col("rank_in")], {"_z1": 1 / F.col("_S"), "_z2": 1 / (F.col("_S") * F.col("_S"))}
     )
     d = d.join(ties.select(*run, "rank_in", "_a", "_z1", "_z2"), [*run, "rank_in"])
     e, z1, z2, c = F.col("_e"), F.col("_z1"), F.col("_z2"), F.col("_c")
@@ -68,7 +64,7 @@ def _model_rank(d: DataFrame, run: Sequence[str], mode: str) -> DataFrame:
         raise ValueError(mode)
     split = d.withColumn("_fin", finisher.cast("int"))
     at = F.coalesce(F.col("rank"), F.lit(0)).cast("bigint")
-    numbered = row_numbers(split, [*run, "_fin"], [at, F.col("_seq")], [at, id_block("_seq")], "_rn")
+    numbered = row_numbers(split, [*run, "_fin"], [at, F.col("_seq")], "_rn")
     ranked = F.when(F.col("_fin") == 1, F.col("_rn").cast("bigint")).otherwise(last)
     return numbered.withColumn("model_rank", ranked).drop("_fin", "_rn")
 
@@ -129,7 +125,7 @@ def rated_field(
     least = cfg.min_ranked if min_ranked is None else min_ranked
     runs = runs.filter((F.col("_field") >= cfg.min_field) & (rankable >= least))
     days = F.datediff("_d", F.lit("1970-01-01"))
-    runs = row_numbers(runs, [pool], [F.col("_d"), F.col(run)], [days], "run_seq").drop("_d")
+    runs = row_numbers(runs, [pool], [F.col("_d"), F.col(run)], "run_seq").drop("_d")
     d = entries.join(runs, keys)
     if eliminated == "ignore":
         d = d.filter(finisher)

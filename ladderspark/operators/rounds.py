@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderspark.functions.names import strip
-from ladderspark.operators.scan import first_rows, id_block, row_numbers, running_sums, with_group
+from ladderspark.operators.scan import first_rows, row_numbers, running_sums, with_group
 
 
 def dedup_best(df: DataFrame, keys: Sequence[str] = ("round_key", "handler", "dog")) -> DataFrame:
@@ -18,17 +18,16 @@ def dedup_best(df: DataFrame, keys: Sequence[str] = ("round_key", "handler", "do
     """
     filled = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) != ""
     result = filled("total_faults") & filled("time")
-    rank = F.coalesce(strip(F.col("rank")).try_cast("int"), F.lit(999999))
-    order = F.struct(F.when(result, 0).otherwise(1), F.when(result, rank).otherwise(0), F.col("_seq"))
+    rank = F.when(result, strip(F.col("rank")).try_cast("int"))
+    order = F.struct(F.when(result, 0).otherwise(1), rank.isNull(), F.coalesce(rank, F.lit(0)), F.col("_seq"))
     return first_rows(df, list(keys), order)
 
 
 def derive_rank(df: DataFrame, run: Sequence[str], penalty: str, time: str) -> DataFrame:
     """Placement by (penalty, time), missing last; eliminated rows get none."""
     done = df.filter(~F.col("eliminated"))
-    pen = F.coalesce(F.col(penalty).cast("double"), F.lit(999.0))
-    sec = F.coalesce(F.col(time).cast("double"), F.lit(999.0))
-    done = row_numbers(done, run, [pen, sec, F.col("_seq")], [F.floor(pen), F.floor(sec * 10), id_block("_seq")], "rank")
+    by = [F.col(c).cast("double").asc_nulls_last() for c in (penalty, time)]
+    done = row_numbers(done, run, [*by, F.col("_seq")], "rank")
     out = df.filter(F.col("eliminated")).withColumn("rank", F.lit(None).cast("bigint"))
     return done.withColumn("rank", F.col("rank").cast("bigint")).unionByName(out)
 
@@ -40,12 +39,12 @@ def fill_running_rank(df: DataFrame, run: Sequence[str]) -> DataFrame:
     running "last value". It is carried as a running sum of differences, which needs no group sort
     beyond one block.
     """
-    done = row_numbers(df.filter(~F.col("eliminated")), run, [F.col("_seq")], [id_block("_seq")], "_pos")
+    done = row_numbers(df.filter(~F.col("eliminated")), run, [F.col("_seq")], "_pos")
     known = F.col("rank").isNotNull()
-    anchors = row_numbers(done.filter(known), run, [F.col("_seq")], [id_block("_seq")], "_k").select(
+    anchors = row_numbers(done.filter(known), run, [F.col("_seq")], "_k").select(
         *run, "_k", (F.col("rank") - F.col("_pos")).alias("_shift")
     )
-    counted = running_sums(done, run, [F.col("_seq")], [id_block("_seq")], {"_k": known.cast("bigint")})
+    counted = running_sums(done, run, [F.col("_seq")], {"_k": known.cast("bigint")})
     filled = counted.join(anchors, [*run, "_k"], "left").withColumn(
         "rank", (F.col("_pos") + F.coalesce("_shift", F.lit(0))).cast("bigint")
     ).drop("_pos", "_k", "_shift")
@@ -55,7 +54,7 @@ def fill_running_rank(df: DataFrame, run: Sequence[str]) -> DataFrame:
 
 def assign_sequence(runs: DataFrame, by: Sequence[str] = ("discipline", "size"), order: str = "run_order") -> DataFrame:
     """Number runs per (discipline, size) in run order."""
-    return row_numbers(runs, list(by), [F.col(order)], [id_block(order)], "seq")
+    return row_numbers(runs, list(by), [F.col(order)], "seq")
 
 
 def split_round_keys(df: DataFrame, file: str = "file") -> DataFrame:
@@ -67,7 +66,7 @@ def split_round_keys(df: DataFrame, file: str = "file") -> DataFrame:
     sig = F.concat_ws("|", blank("judge"), blank("sct"), blank("mct"))
     d = df.withColumn("_sig", sig)
     runs = d.groupBy(file, "round_key", "_sig").agg(F.min("_seq").alias("_first"))
-    runs = row_numbers(runs, [file, "round_key"], [F.col("_first")], [id_block("_first")], "_no")
+    runs = row_numbers(runs, [file, "round_key"], [F.col("_first")], "_no")
     runs = with_group(runs, [file, "round_key"], _runs=F.count(F.lit(1)))
     base = F.regexp_replace("round_key", r"^(.+)_(\d+)$", "$1")
     new = F.when(F.col("_runs") > 1, F.concat(base, F.lit("_"), F.col("_no").cast("string"))).otherwise(F.col("round_key"))
@@ -76,22 +75,22 @@ def split_round_keys(df: DataFrame, file: str = "file") -> DataFrame:
 
 
 def unique_slugs(df: DataFrame, base: str, order: str, existing: DataFrame | None = None) -> DataFrame:
-    """Unique slugs in creation order (W9): the first keeps its base, later ones get -2, -3, ...
+    """Unique slugs in creation order (W9): a row gets the first free one of its base, base-2, base-3, ...
 
-    Numbering goes on after the highest number that an existing slug, or the base of another row,
-    already holds for that base.
+    Taken are existing slugs and numbered bases of other rows. Before the i-th taken number t there are t - i free ones, so the
+    n-th row gets n plus the taken numbers with t - i < n: a running count over both in one order.
     """
-    d = row_numbers(df, [base], [F.col(order)], [id_block(order)], "_n")
+    d = row_numbers(df, [base], [F.col(order)], "_n")
     used = df.select(F.col(base).alias("slug")).distinct()
     old = used.limit(0) if existing is None else existing.select("slug").distinct()
     number = F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("bigint")
     stem = F.regexp_replace("slug", r"-\d+$", "")
     numbered = old.unionByName(used).filter(number >= 2).select(stem.alias(base), number.alias("_v"))
     whole = old.select(F.col("slug").alias(base), F.lit(1).cast("bigint").alias("_v"))
-    taken = whole.unionByName(numbered).groupBy(base).agg(F.max("_v").alias("_top"), F.min("_v").alias("_low"))
-    d = d.join(taken, base, "left")
-    free = F.coalesce(F.col("_low") > 1, F.lit(True))
-    top = F.coalesce(F.col("_top"), F.lit(1))
-    no = F.when(free, F.when(F.col("_n") == 1, 1).otherwise(top + F.col("_n") - 1)).otherwise(top + F.col("_n"))
-    slug = F.when(no == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), no.cast("string")))
-    return d.withColumn("slug", slug).drop("_n", "_top", "_low")
+    taken = row_numbers(whole.unionByName(numbered).distinct(), [base], [F.col("_v")], "_i")
+    marks = taken.select(base, (F.col("_v") - F.col("_i")).alias("_n"), F.lit(1).cast("bigint").alias("_taken"))
+    asks = d.select(base, "_n", F.lit(0).cast("bigint").alias("_taken")).distinct()
+    both = running_sums(marks.unionByName(asks), [base], [F.col("_n"), F.col("_taken")], {"_before": F.col("_taken")})
+    no = both.filter("_taken = 0").select(base, "_n", (F.col("_n") + F.col("_before")).alias("_no"))
+    slug = F.when(F.col("_no") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("_no").cast("string")))
+    return d.join(no, [base, "_n"]).withColumn("slug", slug).drop("_n", "_no")

@@ -1,8 +1,8 @@
 """Ranks and running sums that do not put a whole group into one task.
 
-A window over a group sorts the group in one task. Here the group is first cut into buckets
-by an expression that is monotone in the sort order. Bucket totals are small and are summed
-across buckets; the sort only ever sees one bucket.
+A window over a group sorts the group in one task. Here the rows are range-partitioned by group and order first, with sampled
+splitters, so a part is bounded for any distribution. Counts or sums per (group, part) are few and are added up; the
+sort only ever sees one part of one group.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladderspark.storage import materialize
+
 
 def with_group(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     """Attach group aggregates. The aggregate combines map-side, the join may broadcast it."""
@@ -19,57 +21,46 @@ def with_group(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     return df.join(stats, list(by))
 
 
-def id_block(id_col: str, size: int = 65536) -> Column:
-    """Second bucket for orders that end with a numeric id: splits runs of equal values."""
-    return F.floor(F.col(id_col) / size)
-
+def _parts(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df with _range, the number of its range of (by, order). Stored, so that every reader sees the same ranges."""
+    return materialize(df.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
-def _bucketed(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[str]]:
-    names = [f"_b{i}" for i in range(len(buckets))]
-    return df.select("*", *[b.alias(n) for n, b in zip(names, buckets)]), names
 
+def _with_starts(parts: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Attach to every row the sums over the parts of its group that come before; null keys are a group."""
+    totals = parts.groupBy(*by, "_range").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_range").alias("_q"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    on = parts["_range"] == starts["_q"]
+    for b in by:
+        on = on & parts[b].eqNullSafe(starts[f"_k_{b}"])
+    return parts.join(starts, on).drop("_q", *[f"_k_{b}" for b in by])
 
-def row_numbers(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], buckets: Sequence[Column], name: str
-) -> DataFrame:
-    """row_number() over (partition by ``by`` order by ``order``).
 
-    ``buckets`` are non-null columns, ascending in the same order as ``order``.
-    """
-    cut, names = _bucketed(df, buckets)
-    keys = [*by, *names]
-    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        cut.join(starts, keys)
-        .withColumn(name, F.col("_before") + F.row_number().over(local))
-        .drop("_before", *names)
-    )
+def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """row_number() over (partition by ``by`` order by ``order``)."""
+    parts = _parts(df, by, order)
+    local = Window.partitionBy(*by, "_range").orderBy(*order)
+    placed = _with_starts(parts, by, {"n": F.count(F.lit(1))})
+    return placed.withColumn(name, F.col("_s_n") + F.row_number().over(local)).drop("_range", "_s_n")
 
 
-def running_sums(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    buckets: Sequence[Column],
-    sums: dict[str, Column],
-) -> DataFrame:
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
     """sum() over (partition by ``by`` order by ``order`` rows unbounded preceding)."""
-    cut, names = _bucketed(df, buckets)
-    cut = cut.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
-    keys = [*by, *names]
-    totals = cut.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*by).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums]
-    )
-    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(starts, keys)
+    parts = _parts(df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()]), by, order)
+    local = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _with_starts(parts, by, {n: F.sum(f"_v_{n}") for n in sums})
     for n in sums:
-        joined = joined.withColumn(n, F.col(f"_s_{n}") + F.sum(f"_v_{n}").over(local))
-    return joined.drop(*names, *[f"_v_{n}" for n in sums], *[f"_s_{n}" for n in sums])
+        out = out.withColumn(n, F.col(f"_s_{n}") + F.sum(f"_v_{n}").over(local))
+    return out.drop("_range", *[f"_v_{n}" for n in sums], *[f"_s_{n}" for n in sums])
+
+
+def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str) -> DataFrame:
+    """The first ``k`` rows of each group with their place: every task keeps k rows of a group before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn(name, place.cast("bigint")).filter(F.col(name) <= k)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

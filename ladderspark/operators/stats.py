@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
-from ladderspark.operators.scan import id_block, row_numbers
+from ladderspark.operators.scan import row_numbers, top_rows
 
 
 def team_stats(results: DataFrame, by: Sequence[str] = ("team_id",)) -> DataFrame:
@@ -114,19 +114,17 @@ def qa_report(df: DataFrame, file: str, round_key: str) -> DataFrame:
 def country_ranking(board: DataFrame, cfg: RatingConfig) -> DataFrame:
     """Country score: mean of the best N active, non-provisional teams."""
     ok = board.filter("is_active and not is_provisional and country <> ''")
-    ranked = row_numbers(ok, ["country"], [F.col("rating").desc(), F.col("team_id")],
-                         [F.floor(-F.col("rating") * 100), id_block("team_id")], "_place")
-    top = F.col("_place") <= cfg.country_top_n
-    d = ranked.groupBy("country").agg(
-        F.avg(F.when(top, F.col("rating"))).alias("score"),
+    top = top_rows(ok, ["country"], [F.col("rating").desc(), F.col("team_id")], cfg.country_top_n, "_place")
+    best = top.groupBy("country").agg(
+        F.avg("rating").alias("score"), F.max(F.when(F.col("_place") == 1, F.col("team_id"))).alias("best_team"))
+    d = ok.groupBy("country").agg(
         F.count(F.lit(1)).alias("teams"),
         *[F.count_if(F.col("tier") == t).alias(t.lower()) for t in ("Elite", "Champion", "Expert", "Competitor")],
-        F.max(F.when(F.col("_place") == 1, F.col("team_id"))).alias("best_team"),
         F.max("rating").alias("best_rating"),
-    )
+    ).join(best, "country")
     d = d.filter(F.col("teams") >= cfg.min_country_teams)
     d = d.withColumn("is_provisional", F.col("teams") < cfg.country_top_n)
-    return row_numbers(d, [], [F.col("score").desc(), F.col("country")], [F.floor(-F.col("score"))], "rank")
+    return row_numbers(d, [], [F.col("score").desc(), F.col("country")], "rank")
 
 
 def country_size_counts(board: DataFrame) -> DataFrame:
@@ -138,8 +136,7 @@ def country_size_counts(board: DataFrame) -> DataFrame:
 def regional_ranks(board: DataFrame, regions: DataFrame) -> DataFrame:
     """Ranks inside a region instead of a size group (A21); ``regions`` maps country to region."""
     d = board.filter("is_active").join(regions, "country")
-    return row_numbers(d, ["region"], [F.col("rating").desc(), F.col("team_id")],
-                       [F.floor(-F.col("rating") * 100), id_block("team_id")], "region_rank")
+    return row_numbers(d, ["region"], [F.col("rating").desc(), F.col("team_id")], "region_rank")
 
 
 def head_to_head(results: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -188,8 +185,7 @@ def run_summaries(results: DataFrame) -> DataFrame:
 
 def run_results(results: DataFrame) -> DataFrame:
     """Result table of each run with its place in print order: finishers by rank, then the eliminated."""
-    at = F.coalesce(F.col("rank"), F.lit(2**31)).cast("bigint")
-    return row_numbers(results, ["run_id"], [at, F.col("team_id")], [at, id_block("team_id")], "line").select(
+    return row_numbers(results, ["run_id"], [F.col("rank").asc_nulls_last(), F.col("team_id")], "line").select(
         "run_id", "line", "team_id", "handler", "dog", "rank", "eliminated", "total_faults", "time"
     )
 

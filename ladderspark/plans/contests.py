@@ -69,7 +69,7 @@ def _build_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     # rank() per run over the coarse score: counts per score level, summed from the best level down
     levels = d.filter("not eliminated").groupBy("run_id", "coarse").agg(F.count(F.lit(1)).alias("_k"))
     best = [F.col("coarse").desc()]
-    levels = running_sums(levels, ["run_id"], best, [-F.floor(F.col("coarse") / 1024)], {"_upto": F.col("_k")})
+    levels = running_sums(levels, ["run_id"], best, {"_upto": F.col("_k")})
     levels = levels.select("run_id", "coarse", (F.col("_upto") - F.col("_k") + 1).alias("_place"))
     d = d.join(levels, ["run_id", "coarse"], "left")
     done = ~F.col("eliminated")

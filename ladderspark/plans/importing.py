@@ -24,20 +24,19 @@ class ImportResult:
     handlers: DataFrame
     entities: DataFrame
     log: DataFrame
+    messages: DataFrame
 
 
 def import_log(rows: DataFrame, errors: DataFrame, warnings: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row per file: status, row count, resolved and new entities, number and sample of messages.
+    """One row per file: status, row count, resolved and new entities, number of messages.
 
-    ``errors`` and ``warnings`` keep every message; the log joins the first twenty of each.
+    The messages themselves are a relation of their own (``messages`` of the import). A rejected file has no warnings.
     """
-    def joined(d: DataFrame, name: str) -> DataFrame:
-        placed = row_numbers(d, ["file"], [F.col("line"), F.col("message")], [F.floor(F.col("line") / 65536)], "_n")
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 20, F.struct("_n", "message")))), lambda x: x["message"]), "\n")
-        return placed.groupBy("file").agg(F.count(F.lit(1)).alias(f"{name}_count"), text.alias(name))
+    def counted(d: DataFrame, name: str) -> DataFrame:
+        return d.groupBy("file").agg(F.count(F.lit(1)).alias(f"{name}_count"))
 
     d = rows.groupBy("file").agg(F.count(F.lit(1)).alias("row_count"))
-    d = d.join(joined(errors, "errors"), "file", "left").join(joined(warnings, "warnings"), "file", "left").join(counts, "file", "left")
+    d = d.join(counted(errors, "errors"), "file", "left").join(counted(warnings, "warnings"), "file", "left").join(counts, "file", "left")
     status = F.when(F.col("errors_count") > 0, "Rejected").when(F.col("warnings_count") > 0, "PartialWarning").otherwise("Success")
     return d.withColumn("status", status).na.fill(0)
 
@@ -52,6 +51,10 @@ def import_results(
     All files are imported by one plan, every step keyed on names or ids instead of one row at a time.
     """
     rows, errors = validate_results(rows)
+    again = rows.join(known.select("slug"), "slug", "left_semi").groupBy("file", "slug").agg(F.min("line").alias("line"))
+    missing = rows.join(comps.select("slug"), "slug", "left_anti").groupBy("file", "slug").agg(F.min("line").alias("line"))
+    told = lambda d, text: d.select("file", "line", F.concat(F.lit("Competition '"), F.coalesce("slug", F.lit("")), F.lit(text)).alias("message"))
+    errors = errors.select("file", "line", "message").unionByName(told(again, "' is already imported.")).unionByName(told(missing, "' is unknown."))
     errors = materialize(errors, "errors")
     fixed = repair_rank(rows)
     warnings = fixed.filter("warning is not null").select("file", "line", F.col("warning").alias("message"))
@@ -64,7 +67,7 @@ def import_results(
     skipped = first.filter("mapped is null").select("file", "line", F.concat(
         F.lit("Round '"), F.col("round_key"), F.lit("': size category '"), F.col("size"),
         F.when(F.col("excluded"), F.lit("' is excluded.")).otherwise(F.lit("' is unknown."))).alias("message"))
-    runs = row_numbers(usable, [], [F.col("slug"), F.col("round_key")], [F.col("slug")], "run_id").select(
+    runs = row_numbers(usable, [], [F.col("slug"), F.col("round_key")], "run_id").select(
         "run_id", "slug", "round_key", F.coalesce(F.col("date").try_cast("date"), F.col("comp_date")).alias("date"),
         F.coalesce(F.col("run_number").try_cast("int"), F.lit(1)).alias("run_number"), F.col("mapped").alias("size"),
         F.initcap("discipline").alias("discipline"), (F.lower("is_team_round") == "true").alias("is_team_round"), "judge",
@@ -100,5 +103,8 @@ def import_results(
         F.count_distinct(F.when(F.col("handler_stage") == "new", F.col("handler_id"))).alias("new_handlers"),
         F.count_distinct(F.when(F.col("entity_stage") == "new", F.col("entity_id"))).alias("new_entities"),
         F.count_distinct(F.when(F.col("_new") == 1, F.col("team_id"))).alias("new_teams"))
-    log = import_log(rows, errors, warnings.unionByName(skipped), counts)
-    return ImportResult(runs, results, all_teams, people, entities.unionByName(new_dim.select(entities.columns)), log)
+    warnings = warnings.unionByName(skipped).join(errors.select("file").distinct(), "file", "left_anti")
+    log = import_log(rows, errors, warnings, counts)
+    messages = errors.select(F.lit("error").alias("kind"), "file", "line", "message").unionByName(
+        warnings.select(F.lit("warning").alias("kind"), "file", "line", "message"))
+    return ImportResult(runs, results, all_teams, people, entities.unionByName(new_dim.select(entities.columns)), log, messages)

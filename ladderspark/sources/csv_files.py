@@ -2,69 +2,81 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
 from ladderspark.functions.names import strip
-from ladderspark.operators.scan import id_block, row_numbers
-from ladderspark.schema import CANONICAL, HEADER_SYNONYMS, LEADERBOARD, strings
-
-
-def detect_format(columns: list[str]) -> str:
-    """Source format by header."""
-    if columns[:4] == CANONICAL[:4]:
-        return "target"
-    have = set(columns)
-    if {"competition_id", "run_id", "run_description"} <= have:
-        return "kacr"
-    if {"bid", "run_description", "size_class"} <= have:
-        return "agigames"
-    return "unknown"
-
-
-def header_groups(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by header line. Only one line per file reaches the driver, as in the file listing itself."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
-    known = "|".join(["round_key", "run_description", "handler", "handler_name"])
-    heads = lines.filter(F.col("at") == 0).filter(F.regexp_like(F.lower("value"), F.lit(rf'(^|,)\s*"?({known})"?\s*(,|$)')))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, head in heads.groupBy("file").agg(F.first("value")).toLocalIterator():
-        names = tuple(h.strip().strip('"').strip().lower() for h in head.lstrip("﻿").split(","))
-        groups.setdefault(names, []).append(file)
-    return groups
+from ladderspark.operators.scan import row_numbers
+from ladderspark.schema import CANONICAL, HEADER_SYNONYMS, LEADERBOARD
+from ladderspark.storage import materialize
+
+QUOTED = {"escape": '"'}  # a quote inside a quoted field is doubled
+
+
+def format_of(names: Column) -> Column:
+    """Source format by the array of header names."""
+    have = lambda *wanted: F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), names)) == 0
+    return (
+        F.when(F.slice(names, 1, 4) == F.array(*[F.lit(c) for c in CANONICAL[:4]]), "target")
+        .when(have("competition_id", "run_id", "run_description"), "kacr")
+        .when(have("bid", "run_description", "size_class"), "agigames")
+        .otherwise("unknown")
+    )
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), _seq (place in the order of files and lines), value; stored.
+
+    Lines are numbered inside the block that one task reads; the counts of blocks and files are added up.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_pos"), "value")
+    raw = materialize(raw, "lines")
+    sizes = raw.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    files = sizes.groupBy("file").agg(F.sum("_n").alias("_all"))
+    files = files.select("file", F.coalesce(F.sum("_all").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    starts = sizes.select("file", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).join(files, "file")
+    inside = F.row_number().over(Window.partitionBy("file", "_at").orderBy("_pos"))
+    lines = raw.join(starts, ["file", "_at"]).withColumn("line", F.col("_before") + inside)
+    return materialize(lines.select("file", "line", (F.col("_first") + F.col("line")).alias("_seq"), "value"), "numbered")
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """file, names: the first line of every file, lower-cased and trimmed."""
+    first = lines.filter("line = 1").withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    return first.select("file", F.transform(_fields(first), lambda n: F.lower(F.coalesce(strip(n), F.lit("")))).alias("names"))
+
+
+def _fields(lines: DataFrame) -> Column:
+    """The fields of a line; as many as the widest header of all files can have."""
+    width = lines.filter("line = 1").agg(F.coalesce(F.max(F.length(F.regexp_replace("value", "[^,]", ""))), F.lit(0))).first()[0] + 1
+    parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"quote": '"', **QUOTED})
+    return F.array(*[parsed[f"c{i}"] for i in range(width)])
+
+
+def detect_formats(spark: SparkSession, path: str) -> DataFrame:
+    """file, format of every file of a path."""
+    return headers(numbered_lines(spark, path)).select("file", format_of(F.filter("names", lambda n: n != "")).alias("format"))
 
 
 def read_results_csv(spark: SparkSession, path: str, columns: list[str] = CANONICAL) -> DataFrame:
     """All result files of a path as trimmed strings.
 
-    Files may differ in header case, order, synonyms and optional columns. Adds ``file``, ``source``
-    (directory name), ``line`` within the read order, and ``_seq``; blank rows are skipped.
+    The first line of a file is its header, whatever it holds; files may differ in header case, order, synonyms and optional columns.
+    Adds ``file``, ``source`` (directory name), ``line`` in the file (the header is line 1) and ``_seq``, the order of files and lines;
+    blank rows are skipped. A field does not go over the end of a line.
     """
-    frames = []
-    for names, files in sorted(header_groups(spark, path).items()):
-        raw = (spark.read.schema(strings(list(names))).option("header", True).option("enforceSchema", True)
-               .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-               .csv(files))
-        renamed: dict[str, list] = {}
-        for n in names:
-            renamed.setdefault(HEADER_SYNONYMS.get(n, n), []).append(F.nullif(strip(F.col(n)), F.lit("")))
-        picked = [F.coalesce(*renamed[c]).alias(c) if c in renamed else F.lit(None).cast("string").alias(c) for c in columns]
-        d = raw.select(*picked, F.col("_metadata.file_path").alias("file"))
-        frames.append(d.filter(F.coalesce(*[F.col(c) for c in columns]).isNotNull()))
-    if not frames:
-        return spark.createDataFrame([], strings([*columns, "file", "source"])).withColumn("_seq", F.lit(0).cast("bigint"))
-    d = reduce(DataFrame.unionByName, frames)
-    return d.withColumn("source", F.element_at(F.split("file", "/"), -2)).withColumn("_seq", F.monotonically_increasing_id())
-
-
-def sort_canonical(df: DataFrame) -> DataFrame:
-    """Print order: round key, finishers before eliminated, rank, then input order."""
-    rank = F.coalesce(F.col("rank").try_cast("int"), F.lit(99999))
-    return df.orderBy("round_key", F.col("eliminated") == "True", rank, "_seq")
+    lines = numbered_lines(spark, path)
+    names = F.transform("names", lambda n: F.coalesce(*[F.when(n == old, F.lit(new)) for old, new in HEADER_SYNONYMS.items()], n))
+    heads = headers(lines).withColumn("names", names)
+    places = lambda c: F.filter(F.transform("names", lambda n, i: F.when(n == c, i)), lambda i: i.isNotNull())
+    heads = heads.select("file", *[places(c).alias(f"_at_{c}") for c in columns])
+    rows = lines.filter("line > 1").select("file", "line", "_seq", _fields(lines).alias("_f")).join(heads, "file")
+    value = lambda c: F.get(F.filter(F.transform(f"_at_{c}", lambda i: F.nullif(strip(F.get("_f", i)), F.lit(""))), lambda v: v.isNotNull()), F.lit(0))
+    d = rows.select(*[value(c).alias(c) for c in columns], "file", F.element_at(F.split("file", "/"), -2).alias("source"), "line", "_seq")
+    return d.filter(F.coalesce(*[F.col(c) for c in columns]).isNotNull())
 
 
 def write_canonical(df: DataFrame, path: str) -> None:
@@ -72,18 +84,17 @@ def write_canonical(df: DataFrame, path: str) -> None:
 
     Rows are range-partitioned by (competition, round), so a big competition spreads over tasks.
     """
-    rank = F.coalesce(F.col("rank").try_cast("int"), F.lit(99999))
-    order = ["competition", "round_key", F.col("eliminated") == "True", rank, "_seq"]
+    rank = F.col("rank").try_cast("int").asc_nulls_last()
+    order = [F.col("competition"), F.col("round_key"), F.col("eliminated") == "True", rank, F.col("_seq")]
     (df.repartitionByRange(*order).sortWithinPartitions(*order)
      .select(*CANONICAL, F.col("competition").alias("comp_dir"))
-     .write.mode("overwrite").partitionBy("comp_dir").option("header", True).csv(path))
+     .write.mode("overwrite").partitionBy("comp_dir").options(header=True, **QUOTED).csv(path))
 
 
 def leaderboard_rows(board: DataFrame, cfg: RatingConfig, size: str = "size_group") -> DataFrame:
     """Eligible teams per size with place and the file's rounding."""
     ok = board.filter(F.col("run_count") >= cfg.min_runs)
-    placed = row_numbers(ok, [size], [F.col("rating").desc(), F.col("team_id")],
-                         [F.floor(-F.col("rating") * 100), id_block("team_id")], "rank")
+    placed = row_numbers(ok, [size], [F.col("rating").desc(), F.col("team_id")], "rank")
     pct = lambda c: F.round(F.col(c) * 100.0 / F.col("run_count"), 1)
     return placed.select(
         "rank", "handler", F.col("dog").alias("call_name"), F.lit("").alias("registered_name"), F.col(size).alias("size"), "country",
@@ -98,6 +109,4 @@ def write_leaderboard(board: DataFrame, cfg: RatingConfig, path: str) -> None:
     """Leaderboard CSV files, one directory per size, best first."""
     rows = leaderboard_rows(board, cfg).withColumn("size_dir", F.col("size"))
     (rows.repartitionByRange("size_dir", "rank").sortWithinPartitions("size_dir", "rank")
-     .write.mode("overwrite").partitionBy("size_dir").option("header", True).csv(path))
-
-
+     .write.mode("overwrite").partitionBy("size_dir").options(header=True, **QUOTED).csv(path))

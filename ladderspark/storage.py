@@ -40,12 +40,25 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 def overwrite_table(df: DataFrame, path: str) -> DataFrame:
     """Replace all rows of a derived table.
 
-    The input may itself read the old table, so the new rows are complete in a staging
-    table before the old ones go.
+    The input may itself read the old table. The new rows are complete in a folder beside it before the folders are renamed; whatever
+    fails before that leaves the old table, and the old rows go last.
     """
-    staged = materialize(df, "staged")
-    staged.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex[:12]
+    new, old = f"{path}-new-{mark}", f"{path}-old-{mark}"
+    df.write.parquet(new)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(place(path))
+    if there and not fs.rename(place(path), place(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(place(new), place(path)):
+        if there:
+            fs.rename(place(old), place(path))
+        raise OSError(f"cannot put the new table at {path}")
+    if there:
+        fs.delete(place(old), True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
