@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ladderspark.storage import materialize
@@ -31,11 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(edges["a"].isNotNull() & edges["b"].isNotNull() & (edges["a"] != edges["b"])).distinct()
     mark = None
     while True:
-        e = materialize(e, "stars")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now[0] == 0 or now == mark:
+        seen = Observation()
+        e = materialize(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum")), "stars")
+        now = seen.get
+        if now["n"] == 0 or now == mark:
             break
         mark = now
-        e = _small_star(_large_star(e).distinct()).distinct()
+        e = _small_star(_large_star(e)).distinct()
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

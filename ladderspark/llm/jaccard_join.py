@@ -2,12 +2,12 @@
 
 Distance 1 - similarity is a metric, but nearly all pairs of texts have distance 1, where no pivot separates anything. So the regions are made
 where distances are below 1: a text belongs to the region of a pivot if both hold one of the shingles that decide about it. With the shingles
-of a set ordered from rare to frequent, two sets of the wanted similarity share one among the first n - ceil(0.75 n) + 1 of each; each such
-shingle is the root of a region, its pivot a text with it, and a text at a border stands in several regions.
+of a set ordered from rare to frequent, two sets of the wanted similarity share one among the first n - ceil(0.75 n) + 1 of each. One text
+around each such shingle is its pivot, the texts around all shingles of a pivot are its region, and a text at a border stands in several regions.
 
 Inside a region texts link to the pivot by their distance. Texts of the pivot's class need no further comparison with each other. The
-others become pivots in turn, round by round, against the texts that the triangle inequality leaves: |d(x, p) - d(q, p)| <= 0.25. It
-ends when every text outside of the pivot's class has been a pivot, so no link between different classes can be missed.
+others become pivots in turn, round by round, against the texts that the triangle inequality through the pivot leaves (in the form of
+_window). It ends when every text outside of the pivot's class has been a pivot, so no link between different classes can be missed.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from ladderspark.storage import materialize
 
 WIDTH = 5
 PERCENT = 75
-TOKENS_PER_RANGE = 4_000_000
-TEXTS_PER_BUCKET = 20_000
+TOKENS_PER_RANGE = 2_000_000
+TEXTS_PER_BUCKET = 10_000
 LOW = np.uint64((1 << 48) - 1)
 
 _SENT = "part int, base long, texts binary, sizes binary, counts binary, tokens binary"
 _BACK = "bucket int, uids binary, sizes binary, ids binary, counts binary, tokens binary, classes binary"
-_SETS = "uid long, doc_id long, n long, set_key binary, prefix array<long>, tokens array<long>"
+_SETS = "h long, doc_id long, n long, set_key binary, prefix array<long>, tokens array<long>"
 
 
 def _bucket_of(uids: np.ndarray, buckets: int) -> np.ndarray:
@@ -49,10 +49,8 @@ def _sends(ranges: int, buckets: int, width: int):
 
         uid = TaskContext.get().partitionId() << 33
         empty = b""
-        for batch in batches:
+        for batch in T.parts(batches):
             n_texts = batch.num_rows
-            if not n_texts:
-                continue
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             found = []
             for first, h, bounds in T.words(batch.column(1)):
@@ -148,10 +146,15 @@ def _sets(percent: int):
         mine, who = uids[is_home], np.repeat(uids[~is_home], _all(t.column("counts"), np.int32))
         tok, cls = _all(t.column("tokens"), np.uint64), _all(t.column("classes"), np.uint8)
         order = np.lexsort((tok, cls, who))
-        who, tok = who[order], tok[order]
+        who, tok, cls = who[order], tok[order], cls[order]
         by = np.argsort(mine)
         mine, sizes, ids = mine[by], sizes[by], ids[by]
         a, b = np.searchsorted(who, mine, "left"), np.searchsorted(who, mine, "right")
+        # A text whose shingles are in many texts is near to many: it makes the better pivot and gets the smaller number.
+        sums = np.append(0, np.cumsum(cls, dtype=np.int64))
+        central = (sums[b] - sums[a]) / np.maximum(sizes, 1)
+        rank = 255 - np.minimum(255, central * 12).astype(np.uint64)
+        nodes = (rank << np.uint64(55) | (mine.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << 55) - 1))).astype(np.int64)
         keys, prefixes, sets = [], [], []
         for n, i, j in zip(sizes.tolist(), a.tolist(), b.tolist()):
             alone = n - (j - i)
@@ -164,14 +167,14 @@ def _sets(percent: int):
             prefixes.append(tok[i:i + deciding].view(np.int64))
             sets.append(own.view(np.int64))
         longs = pa.list_(pa.int64())
-        return pa.table([pa.array(mine), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(prefixes, longs), pa.array(sets, longs)],
-                        names=["uid", "doc_id", "n", "set_key", "prefix", "tokens"])
+        return pa.table([pa.array(nodes), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(prefixes, longs), pa.array(sets, longs)],
+                        names=["h", "doc_id", "n", "set_key", "prefix", "tokens"])
 
     return group
 
 
 def shared_shingles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Stored: uid, doc_id, n, set_key, prefix, tokens of every row (see _sets). Two shuffles, both of packed arrays: hashes by range, and what
+    """Stored: h, doc_id, n, set_key, prefix, tokens of every row (see _sets). Two shuffles, both of packed arrays: hashes by range, and what
     is shared of them back by text. A shingle that no other text has can't be part of a link, so it is only counted."""
     spark = docs.sparkSession
     n_docs, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
@@ -185,54 +188,68 @@ def shared_shingles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y) -> x, y, common, joint; stored."""
-    x = sets.select(F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
-    y = sets.select(F.col("uid").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
+    x = sets.select(F.col("h").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
+    y = sets.select(F.col("h").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
     common = F.size(F.array_intersect("tx", "ty")).cast("long")
     both = pairs.join(x, "x").join(y, "y").select("x", "y", common.alias("common"), (F.col("nx") + F.col("ny")).alias("sum"))
     return materialize(both.select("x", "y", "common", (F.col("sum") - F.col("common")).alias("joint")), "jaccard-pairs")
 
 
-def _fits(a: str, b: str, percent: int):
-    """Sizes so different that the similarity is below the bound are left out."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _window(first: str, second: str, percent: int):
+    """Can two texts be similar enough, by what each has in common with the pivot? (n: shingles, c: those that other texts share, i: those of the pivot)
+
+    They have at most min(i, i') shingles of the pivot and min(c - i, c' - i') others in common. This is the triangle inequality
+    |d(x, p) - d(q, p)| <= d(x, q) on the sets themselves, and sharper, for it also sees shingles that no one shares.
+    """
+    n, c, i, m, d, j = (F.col(f"{p}{k}") for p in (first, second) for k in ("n", "c", "i"))
+    common = F.least(i, j) + F.least(c - i, d - j)
+    return common * 100 >= (n + m - common) * percent
+
 
+def classes_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(h, n, prefix, tokens) of texts with different sets -> (node, component) of every text that has a link.
 
-def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between texts with different sets, enough to connect every class: (x, y) by uid."""
-    own = F.xxhash64("uid")
-    postings = sets.select("uid", "n", own.alias("h"), F.explode("prefix").alias("root"))
-    roots = postings.groupBy("root").agg(
-        F.count("*").alias("c"), F.bit_xor("h").alias("mark"), F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min(F.struct("h", "uid", "n")).alias("p")).where("c > 1")
-    # Shingles with the same texts make one region.
-    roots = roots.groupBy("c", "mark", "lo", "hi", "p").agg(F.min("root").alias("root"))
-    region = materialize(postings.join(roots.select("root", F.col("p.uid").alias("pivot"), F.col("p.n").alias("pn")), "root"), "jaccard-regions")
-    first = region.where((F.col("uid") != F.col("pivot")) & _fits("n", "pn", percent)).select(F.col("uid").alias("x"), F.col("pivot").alias("y")).distinct()
-    checked = _verified(first, sets)
+    h numbers the texts, central ones first: the smallest h around a shingle is its pivot, and the same one for shingles that go together.
+    """
+    postings = sets.select("h", F.explode("prefix").alias("root"))
+    roots = postings.groupBy("root").agg(F.count("*").alias("texts"), F.min("h").alias("pivot")).where("texts > 1").select("root", "pivot")
+    region = postings.join(roots, "root").where(F.col("h") != F.col("pivot"))
+    checked = _verified(region.select(F.col("h").alias("x"), F.col("pivot").alias("y")).distinct(), sets)
     near = F.col("common") * 100 >= F.col("joint") * percent
-    distance = 1 - F.col("common") / F.col("joint")
-    to_pivot = checked.select(F.col("x").alias("uid"), F.col("y").alias("pivot"), distance.alias("d"))
-    region = region.join(to_pivot, ["uid", "pivot"], "left").select("root", "uid", "n", "h", "pivot", F.when(F.col("uid") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
+    region = checked.select(F.col("x").alias("h"), F.col("y").alias("pivot"), F.col("common").alias("i")).join(sets.select("h", "n", F.size("tokens").cast("long").alias("c")), "h")
     region = materialize(region, "jaccard-regions")
-    past = region.groupBy("root").agg(F.lit(None).cast("long").alias("upto"))
-    width = 8
+    # Labels join texts that are known to be of one class; they need not be complete.
+    first = checked.where(near).groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label"))
+    second = first.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    label = first.join(second, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    label = materialize(sets.select(F.col("h").alias("node")).join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "jaccard-labels")
+    past, width = None, 16
     while True:
-        label = components(checked.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        of = label.select(F.col("node").alias("uid"), F.col("component").alias("label"))
-        of_pivot = label.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_label"))
-        at = region.join(of, "uid", "left").join(of_pivot, "pivot", "left").withColumn("label", F.coalesce("label", "uid")).withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-        outside = at.where(F.col("label") != F.col("pivot_label")).join(past, "root").where(F.col("upto").isNull() | (F.col("h") > F.col("upto")))
-        order = F.row_number().over(Window.partitionBy("root").orderBy("h"))
-        chosen = materialize(outside.withColumn("k", order).where(F.col("k") <= width).select("root", F.col("uid").alias("q"), F.col("n").alias("qn"), F.col("h").alias("qh"), F.col("d").alias("qd"), F.col("label").alias("q_label")), "jaccard-pivots")
+        at = region.join(label.select(F.col("node").alias("h"), "label"), "h").join(label.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot")
+        outside = at.where(F.col("label") != F.col("pivot_label"))
+        if past is not None:
+            outside = outside.join(past, "pivot").where(F.col("h") > F.col("upto"))
+        place = F.row_number().over(Window.partitionBy("pivot").orderBy("h"))
+        chosen = outside.withColumn("k", place).where(F.col("k") <= width)
+        chosen = materialize(chosen.select("pivot", F.col("h").alias("q"), F.col("n").alias("q_n"), F.col("c").alias("q_c"), F.col("i").alias("q_i"), F.col("label").alias("q_label")), "jaccard-pivots")
         if chosen.isEmpty():
-            return checked.where(near).select("x", "y")
-        window = F.coalesce(F.abs(F.col("d") - F.col("qd")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-        pairs = at.join(chosen, "root").where((F.col("label") != F.col("q_label")) & (F.col("uid") != F.col("pivot")) & _fits("n", "qn", percent) & window)
-        pairs = pairs.select(F.greatest("uid", "q").alias("x"), F.least("uid", "q").alias("y")).distinct()
-        seen = checked.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-        fresh = _verified(pairs.join(seen, ["x", "y"], "left_anti"), sets)
+            break
+        pairs = at.join(chosen, "pivot").where((F.col("label") != F.col("q_label")) & _window("", "q_", percent))
+        pairs = pairs.select(F.greatest("h", "q").alias("x"), F.least("h", "q").alias("y")).distinct()
+        fresh = _verified(pairs.join(checked.select("x", "y"), ["x", "y"], "left_anti"), sets)
         checked = checked.unionByName(fresh)
-        past = materialize(chosen.groupBy("root").agg(F.max("qh").alias("upto")), "jaccard-past")
-        width *= 8
+        hook = _label_pairs(fresh.where(near), label).groupBy(F.col("a").alias("label")).agg(F.min("b").alias("less"))
+        label = materialize(label.join(hook, "label", "left").select("node", F.coalesce("less", "label").alias("label")), "jaccard-labels")
+        past, width = chosen.groupBy("pivot").agg(F.max("q").alias("upto")), width * 8
+    edges = label.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return components(edges.union(_label_pairs(checked.where(near), label)))
+
+
+def _label_pairs(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links between texts -> (a, b): distinct pairs of different labels, the larger one first."""
+    lx, ly = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("x", "y"))
+    pairs = links.join(lx, "x").join(ly, "y").where(F.col("lx") != F.col("ly"))
+    return pairs.select(F.greatest("lx", "ly").alias("a"), F.least("lx", "ly").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -243,16 +260,15 @@ def near_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     no shingles and no links. Rows with a null doc_id are left out; repeated rows are rows of one class. Ties need no rule; other columns are ignored.
     """
     sets = shared_shingles(docs.where(F.col("doc_id").isNotNull()), width, percent)
-    first = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("uid").alias("rep"))
-    copies = materialize(sets.select("uid", "set_key").join(first, "set_key").where(F.col("uid") != F.col("rep")).select("uid", "rep"), "set-copies")
-    single = materialize(sets.where(F.col("prefix").isNotNull()).join(copies.select("uid"), "uid", "left_anti").select("uid", "n", "prefix", "tokens"), "jaccard-sets")
-    found = links(single, percent)
-    edges = copies.select(F.col("uid").alias("a"), F.col("rep").alias("b")).union(found.select("x", "y"))
-    classes = components(edges)
-    named = classes.join(sets.select(F.col("uid").alias("node"), "doc_id"), "node")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = classes.join(least, "component").select(F.col("node").alias("uid"), "component_id")
-    return sets.select("uid", "doc_id", F.col("n").alias("n_shingles")).join(of, "uid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("h").alias("rep"))
+    copies = sets.select("h", "set_key").join(first, "set_key").where(F.col("h") != F.col("rep"))
+    copies = materialize(copies.select("h", "rep"), "set-copies")
+    single = sets.where(F.col("prefix").isNotNull()).select("h", "n", "prefix", "tokens").join(copies.select("h"), "h", "left_anti")
+    classes = classes_of(materialize(single, "jaccard-sets"), percent)
+    ids = sets.select("h", "doc_id", F.col("n").alias("n_shingles")).join(copies, "h", "left").withColumn("node", F.coalesce("rep", "h"))
+    ids = ids.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
+    least = ids.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return ids.join(least, "class").select("doc_id", "n_shingles", "component_id")
 
 
 @query("op5_jaccard_join")

@@ -18,6 +18,13 @@ _FACTORS = _RNG.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.ui
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def parts(batches, rows: int = 2500):
+    """Smaller record batches: bounds the arrays that stand in memory at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread every bit over the whole number."""
     h = h ^ (h >> np.uint64(31))
