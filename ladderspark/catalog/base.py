@@ -1,4 +1,4 @@
-"""Registry of queries and their reference SQL."""
+"""Registry of queries and the SQL they are compared with."""
 
 from __future__ import annotations
 

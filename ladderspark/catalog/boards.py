@@ -55,17 +55,17 @@ def r6s(*cols, src=""):
 # -------------------------------------------------------------- filters, dedup, model field
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity FROM (SELECT *, row_number() OVER
-  (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 8 + l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")
+  (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 8 + l_linenumber, l_quantity) AS rn FROM lineitem) WHERE rn = 1""")
 def dedup_first(spark, sf):
     d = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return first_rows(d, ["l_suppkey", "l_partkey"], F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return first_rows(d, ["l_suppkey", "l_partkey"], F.struct(F.col("l_orderkey") * 8 + F.col("l_linenumber"), "l_quantity"))
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity FROM (SELECT *, row_number() OVER
-  (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 8 + l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1""")
+  (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 8 + l_linenumber DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1""")
 def dedup_last(spark, sf):
     d = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return last_rows(d, ["l_suppkey", "l_partkey"], F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return last_rows(d, ["l_suppkey", "l_partkey"], F.struct(F.col("l_orderkey") * 8 + F.col("l_linenumber"), "l_quantity"))
 
 
 @query(with_results("SELECT run_id, team_id, date FROM results WHERE date >= (SELECT MAX(date) FROM results) - 730"))

@@ -13,7 +13,7 @@ from ladderspark.operators import stats as S
 from ladderspark.plans.contests import results, table
 from ladderspark.plans.importing import import_results
 from ladderspark.plans.normalize import normalize_source
-from ladderspark.schema import CANONICAL
+from ladderspark.schema import CANONICAL, LEADERBOARD, strings
 from ladderspark.sources import csv_files as C
 from ladderspark.sources import nested as J
 from ladderspark.sources import pages as H
@@ -64,7 +64,7 @@ def _board(spark, sf):
 def write_leaderboard(spark, sf):
     path = new_path(spark, "leaderboard")
     C.write_leaderboard(_board(spark, sf), CFG, path)
-    d = spark.read.option("header", True).csv(path)
+    d = spark.read.schema(strings(LEADERBOARD)).option("header", True).csv(path)
     return d.select(c("rank").cast("bigint").alias("rank"), "handler", "size", "country", "tier", c("num_runs").cast("bigint").alias("num_runs"), "last_competition")
 
 

@@ -174,7 +174,7 @@ def country_from_text(c: Column) -> Column:
     by_two = F.when(F.length(first) == 2, lookup(TEXT_ISO2, first))
     alias = lookup(TEXT_CODE_ALIASES, first, first)
     by_three = F.when((F.length(first) == 3) & alias.isin(sorted(set(TEXT_COUNTRIES.values()))), alias)
-    # The reference tries names from long to short and takes the first one that occurs as words.
+    # Names are tried from long to short; the first one that occurs as words counts.
     low = F.lower(t)
     inside = F.coalesce(*[
         F.when(F.regexp_like(low, F.lit(rf"\b{name.lower()}\b")), F.lit(TEXT_COUNTRIES[name]))

@@ -1,6 +1,6 @@
 """Identity resolution: who competed.
 
-The reference resolves row by row, so that a row sees what earlier rows created. Here every
+Resolving row by row lets a row see what earlier rows created. Here every
 distinct name is matched against the stored dimension at once; what stays unmatched is grouped by
 its own key and created once, with the lowest ``_seq`` as the canonical row.
 """

@@ -71,7 +71,8 @@ def import_results(
         "run_id", "slug", "round_key", F.coalesce(F.col("date").try_cast("date"), F.col("comp_date")).alias("date"),
         F.coalesce(F.col("run_number").try_cast("int"), F.lit(1)).alias("run_number"), F.col("mapped").alias("size"),
         F.initcap("discipline").alias("discipline"), (F.lower("is_team_round") == "true").alias("is_team_round"), "judge",
-        F.when(F.col("mapped") != F.col("size"), F.col("size")).alias("original_size"))
+        F.when(F.col("mapped") != F.col("size"), F.col("size")).alias("original_size"),
+        *[strip(F.col(c)).try_cast("double").alias(c) for c in ("sct", "mct", "course_length") if c in usable.columns])
     runs = materialize(runs, "runs")
 
     rated = ok.filter("mapped is not null").join(runs.select("slug", "round_key", "run_id"), ["slug", "round_key"])
@@ -96,6 +97,7 @@ def import_results(
     results = first_rows(d.select(
         "run_id", "team_id", "_seq", "file", F.when(~F.col("out"), strip(F.col("rank")).try_cast("int")).alias("rank"), F.col("out").alias("eliminated"),
         *[F.col(c).try_cast("double").alias(c) for c in ("faults", "refusals", "time_faults", "total_faults", "time", "speed")],
+        *[F.nullif(strip(F.col(c)), F.lit("")).alias(c) for c in ("start_no",) if c in d.columns],
     ), ["run_id", "team_id"], F.col("_seq"))
     fresh = all_teams.join(teams.select("team_id"), "team_id", "left_anti").select("team_id", F.lit(1).alias("_new"))
     counts = d.join(fresh, "team_id", "left").groupBy("file").agg(
