@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,11 +10,12 @@ from ladderspark.llm.common import query, table, whole_text
 from ladderspark.storage import materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
+SPLITTER = 64  # letters of a text in the key of its range
 _RUNS = "pid int, run long, lead boolean, keep_id long, group_size long, text_sha256 string, head binary, tail binary"
 
 
 def _walk(names: list[str], n_carried: int, keep_rows: bool):
-    """Batches sorted by (text, length descending, id) -> each row with its run of equal texts inside this partition.
+    """Batches in which equal texts are neighbours, longer originals first -> each row with its run of equal texts inside this partition.
 
     A run is written when it ends, since only then its size is known; only identifiers wait, never texts.
     """
@@ -24,12 +23,11 @@ def _walk(names: list[str], n_carried: int, keep_rows: bool):
 
     def rows(batches):
         pid = TaskContext.get().partitionId()
-        text, run, first_id, size, started = None, -1, None, 0, False
+        text, sha, run, first_id, size, started = None, None, -1, None, 0, False
         waiting: list = []
 
         def closed(last: bool):
             n = len(lead)
-            sha = hashlib.sha256(text).hexdigest()
             cols = [pa.array([pid] * n, pa.int32()), pa.array([run] * n, pa.int64()), pa.array(lead, pa.bool_()), pa.array([first_id] * n, pa.int64()),
                     pa.array([size] * n, pa.int64()), pa.array([sha] * n, pa.string()),
                     pa.array([text if i == 0 and run == 0 else None for i in range(n)], pa.binary()),
@@ -42,7 +40,8 @@ def _walk(names: list[str], n_carried: int, keep_rows: bool):
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             ids = batch.column(1).to_pylist()
-            carried = [batch.column(3 + i) for i in range(n_carried)]
+            shas = batch.column(3).to_pylist()
+            carried = [batch.column(5 + i) for i in range(n_carried)]
             begin = 0
             for i, t in enumerate(texts):
                 if started and t == text:
@@ -54,7 +53,7 @@ def _walk(names: list[str], n_carried: int, keep_rows: bool):
                     done.append(_joined(pa, names, closed(False), waiting, n_carried, keep_rows))
                     held += done[-1].num_rows
                     waiting = []
-                text, run, first_id, size, started, lead, begin = t, run + 1, ids[i], 1, True, [True], i
+                text, sha, run, first_id, size, started, lead, begin = t, shas[i], run + 1, ids[i], 1, True, [True], i
                 if held >= 2000:
                     yield from done
                     done, held = [], 0
@@ -88,8 +87,11 @@ def _runs(docs: DataFrame, keep_rows: bool) -> tuple[DataFrame, list[str]]:
     keyed = docs.select(
         F.translate(whole_text(), BLANKS, "").alias("norm"), F.col("doc_id").cast("long").alias("id"), F.char_length(whole_text()).cast("long").alias("n"),
         *[docs[c].alias(o) for c, o in zip(docs.columns, own)])
-    order = [F.col("norm"), F.col("n").desc(), F.col("id").asc_nulls_last()]
-    # Length and id take part, so the sampled splitters cut a large group of equal texts, too.
+    keyed = keyed.withColumn("sha", F.sha2("norm", 256)).withColumn("start", F.substring("norm", 1, SPLITTER))
+    keyed = keyed.select("norm", "id", "n", "sha", "start", *own)
+    # The splitters, which the driver samples, see the start of the text and its digest: bounded, and equal for equal texts alone. Length and id
+    # take part, so a large group of equal texts is cut, too.
+    order = [F.col("start"), F.col("sha"), F.col("n").desc(), F.col("id").asc_nulls_last()]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = "id long, " + _RUNS + "".join(f", {o} {t}" for o, (_, t) in zip(own, docs.dtypes))
     names = [f.split(" ")[0] for f in ("id long, " + _RUNS).split(", ")] + own
