@@ -12,12 +12,11 @@ from ladderspark.llm.common import query, table, whole_text
 
 ALPHA = 0.1  # added to every count, for both models
 TOKENS_PER_RANGE = 2_000_000
-TEXTS_PER_BUCKET = 20_000
 LOW = np.uint64((1 << 40) - 1)
 START = np.uint64(0x53544152543A3A31)  # stands before the first word
 
 _SENT = "part int, base long, target boolean, texts binary, sizes binary, counts binary, tokens binary, times binary"
-_BACK = "bucket int, uids binary, sizes binary, ids binary, losses binary"
+_BACK = "base long, texts binary, sizes binary, ids binary, losses binary"
 _SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
@@ -25,10 +24,6 @@ def _range_of(tok: np.ndarray, ranges: int) -> np.ndarray:
     return ((tok >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
 
-def _bucket_of(uids: np.ndarray, buckets: int) -> np.ndarray:
-    return (T.mixed(uids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
 def _packed(tok: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((tok & LOW).view(np.uint8).reshape(-1, 8)[:, :5])
 
@@ -88,8 +83,8 @@ def _count_distinct(t):
     return pa.table({"n": pa.array([len(np.unique(_unpacked(t.column("tokens"))))], pa.int64())})
 
 
-def _sends(ranges: int, buckets: int):
-    """Texts -> the counts of their grams by range of hashes, and their ids and sizes by bucket of texts. A gram is 40 bits within its range."""
+def _sends(ranges: int):
+    """Texts -> the counts of their grams by range of hashes, and their ids and sizes (a part below 0). A batch has its own base. A gram is 40 bits within its range."""
     def rows(batches):
         import pyarrow as pa
 
@@ -107,13 +102,9 @@ def _sends(ranges: int, buckets: int):
                 sizes[first:first + len(bounds) - 1] = np.diff(bounds)
             tok, text, times = (np.concatenate(x) for x in zip(*found))
             out = []
-            home = _bucket_of(uid + np.arange(batch.num_rows), buckets)
-            mine = np.flatnonzero(~target)
-            mine = mine[np.argsort(home[mine], kind="stable")]
-            cuts = np.searchsorted(home[mine], np.arange(buckets + 1))
-            for q in np.flatnonzero(np.diff(cuts)).tolist():
-                own = mine[cuts[q]:cuts[q + 1]]
-                out.append((ranges + q, uid, False, own.astype(np.int32).tobytes(), sizes[own].tobytes(), known[own].tobytes(), ids[own].tobytes(), b""))
+            own = np.flatnonzero(~target)
+            if len(own):
+                out.append((-1 - ((uid >> 33) + uid // len(own)) % ranges, uid, False, own.astype(np.uint16).tobytes(), sizes[own].tobytes(), known[own].tobytes(), ids[own].tobytes(), b""))
             part = _range_of(tok, ranges) * 2 + target[text]
             order = np.argsort(part.astype(np.uint16) if ranges < 1 << 15 else part, kind="stable")
             tok, text, times, part = tok[order], text[order], times[order], part[order]
@@ -126,7 +117,7 @@ def _sends(ranges: int, buckets: int):
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(head_cuts[r], head_cuts[r + 1])
                 a, b = cuts[r], cuts[r + 1]
-                out.append((r // 2, uid, bool(r % 2), text[heads[own]].astype(np.int32).tobytes(), b"", counts[own].tobytes(), packed[a:b].tobytes(), times[a:b].tobytes()))
+                out.append((r // 2, uid, bool(r % 2), text[heads[own]].astype(np.uint16).tobytes(), b"", counts[own].tobytes(), packed[a:b].tobytes(), times[a:b].tobytes()))
             uid += batch.num_rows
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -134,24 +125,22 @@ def _sends(ranges: int, buckets: int):
     return rows
 
 
-def _answers(ranges: int, buckets: int, alpha: float, words: int):
-    """One range of grams -> counts under both models, and from them each text's share of both losses, by bucket of texts."""
+def _answers(alpha: float, words: int):
+    """One range of grams -> counts under both models, and from them each text's share of both losses, back to its batch."""
     def group(key, t):
         import pyarrow as pa
 
-        part, out = key[0].as_py(), []
-        lengths = [len(x) // 4 for x in t.column("texts").to_pylist()]
-        uids = np.frombuffer(b"".join(t.column("texts").to_pylist()), np.int32) + np.repeat(np.array(t.column("base").to_pylist(), np.int64), lengths)
-        if part >= ranges:
-            known = np.frombuffer(b"".join(t.column("counts").to_pylist()), bool)
-            ids = b"".join(t.column("tokens").to_pylist())
-            out.append((part - ranges, uids.tobytes(), b"".join(t.column("sizes").to_pylist()), ids + known.tobytes(), b""))
+        out = []
+        bases, texts = t.column("base").to_pylist(), t.column("texts").to_pylist()
+        lengths = [len(x) // 2 for x in texts]
+        if key[0].as_py() < 0:
+            out = list(zip(bases, texts, t.column("sizes").to_pylist(), [i + k for i, k in zip(t.column("tokens").to_pylist(), t.column("counts").to_pylist())], [b""] * len(bases)))
         else:
             counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int32)
             times = np.frombuffer(b"".join(t.column("times").to_pylist()), np.int32)
             target = np.repeat(np.array(t.column("target").to_pylist(), bool), lengths)
             tok = _unpacked(t.column("tokens"))
-            entry = np.repeat(np.arange(len(uids)), counts)
+            entry = np.repeat(np.arange(len(counts)), counts)
             order = np.argsort(tok)
             new = np.ones(len(tok), bool)
             new[1:] = tok[order][1:] != tok[order][:-1]
@@ -168,34 +157,32 @@ def _answers(ranges: int, buckets: int, alpha: float, words: int):
             losses = []
             for c in (c_target, c_back):
                 each = (sign * np.log(c + add))[number[mine]] * times[mine]
-                losses.append(np.bincount(entry[mine], each, len(uids)))
-            texts = np.flatnonzero(~target)
-            home = _bucket_of(uids[texts], buckets)
-            texts = texts[np.argsort(home, kind="stable")]
-            cuts = np.searchsorted(np.sort(home), np.arange(buckets + 1))
+                losses.append(np.bincount(entry[mine], each, len(counts)))
             both = np.stack(losses, 1).astype(np.float32)
-            for q in np.flatnonzero(np.diff(cuts)).tolist():
-                own = texts[cuts[q]:cuts[q + 1]]
-                out.append((q, uids[own].tobytes(), b"", b"", both[own].tobytes()))
+            at = 0
+            for base, own, n, goal in zip(bases, texts, lengths, t.column("target").to_pylist()):
+                if not goal:
+                    out.append((base, own, b"", b"", both[at:at + n].tobytes()))
+                at += n
         columns = list(zip(*out)) or [()] * 5
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, [pa.int32()] + [pa.binary()] * 4)], names=[f.split(" ")[0] for f in _BACK.split(", ")])
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, [pa.int64()] + [pa.binary()] * 4)], names=[f.split(" ")[0] for f in _BACK.split(", ")])
 
     return group
 
 
 def _scores(t):
-    """One bucket of texts -> both losses per word and their difference."""
+    """One batch of texts -> both losses per word and their difference."""
     import pyarrow as pa
 
-    rows = list(zip(*(t.column(c).to_pylist() for c in ("uids", "sizes", "ids", "losses"))))
+    rows = list(zip(*(t.column(c).to_pylist() for c in ("texts", "sizes", "ids", "losses"))))
     home = [r for r in rows if r[1]]
     join = lambda xs, kind: np.frombuffer(b"".join(xs), kind)
-    uid, size = join([r[0] for r in home], np.int64), join([r[1] for r in home], np.int32)
+    uid, size = join([r[0] for r in home], np.uint16), join([r[1] for r in home], np.int32)
     ids = np.concatenate([np.frombuffer(r[2][:8 * (len(r[1]) // 4)], np.int64) for r in home]) if home else np.zeros(0, np.int64)
     known = np.concatenate([np.frombuffer(r[2][8 * (len(r[1]) // 4):], bool) for r in home]) if home else np.zeros(0, bool)
     order = np.argsort(uid)
     uid, size, ids, known = uid[order], size[order], ids[order], known[order]
-    who = np.searchsorted(uid, join([r[0] for r in rows if r[3]], np.int64))
+    who = np.searchsorted(uid, join([r[0] for r in rows if r[3]], np.uint16))
     losses = join([r[3] for r in rows], np.float32).reshape(-1, 2).astype(float)
     empty = size == 0
     per_word = [np.bincount(who, losses[:, i], len(uid)) / np.maximum(size, 1) for i in (0, 1)]
@@ -218,15 +205,14 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float =
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.lit(False).alias("target"))
     rows = rows.union(target.select(F.lit(None).cast("long"), whole_text(), F.lit(True)))
-    n_docs, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(max(parts, chars // 3 // TOKENS_PER_RANGE), 1 << 20)
-    buckets = max(parts, n_docs // TEXTS_PER_BUCKET)
     seen = rows.select("text").mapInArrow(_vocabulary(ranges), "part int, tokens binary")
     words = seen.groupBy("part").applyInArrow(_count_distinct, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sent = rows.mapInArrow(_sends(ranges, buckets), _SENT)
-    back = sent.groupBy("part").applyInArrow(_answers(ranges, buckets, alpha, max(words, 1)), _BACK)
-    return back.groupBy("bucket").applyInArrow(_scores, _SCORED)
+    sent = rows.mapInArrow(_sends(ranges), _SENT)
+    back = sent.groupBy("part").applyInArrow(_answers(alpha, max(words, 1)), _BACK)
+    return back.groupBy("base").applyInArrow(_scores, _SCORED)
 
 
 @query("op6_lm_scoring")
