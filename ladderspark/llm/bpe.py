@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ladderspark.llm.common import free_name, query, table
 
-MAX_STATES = 150_000  # the machine is thrown away and built again beyond this
-MAX_WORDS = 600_000  # likewise the memo of short pieces
+MAX_STATES = 80_000  # the machine is thrown away and built again beyond this
+MAX_WORDS = 250_000  # likewise the memo of short pieces
+MAX_PAIRS = 400_000  # likewise what is known of pairs of tokens
 LONG_PIECE = 64
 BLOCK = 1 << 16
 
@@ -96,7 +97,7 @@ class Transducer:
         key = (a + 1) << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.border(a, b)
         return known
