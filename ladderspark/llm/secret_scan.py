@@ -50,41 +50,54 @@ def _bare(spans: Column) -> Column:
 
 
 def found_parts(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, base (spans of the base kinds), weak (spans of the weak kinds, apart from the base ones); stored, one row per row of docs."""
+    """rid, doc_id, base (spans of the base kinds), weak (spans of the weak kinds with `alone`: no base span overlaps); stored, one row per row of docs.
+
+    An assignment whose value is too short for the base kind is a weak secret.
+    """
     text = F.translate(whole_text(), _MARK, "\ufffd")
-    t = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
-    assign = F.filter(_spans(F.col("text"), ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= ASSIGN_MIN)
-    base = F.concat(_bare(assign), _bare(_spans(F.col("text"), LONG_ACCESS, 1)), _bare(_spans(F.col("text"), LONG_HEX, 2)))
-    weak = F.concat(_bare(_spans(F.col("text"), WEAK_ID, 3)), _bare(_spans(F.col("text"), WEAK_SECRET, 4)), _bare(_spans(F.col("text"), ENDPOINT, 5)))
-    parts = t.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.array_sort(base).alias("base"), weak.alias("weak"))
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return materialize(parts.withColumn("weak", apart), "secret-parts")
+    t = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("assign", _spans(F.col("text"), ASSIGN, 0))
+    value = lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2))
+    base = F.concat(_bare(F.filter("assign", lambda s: value(s) >= ASSIGN_MIN)), _bare(_spans(F.col("text"), LONG_ACCESS, 1)), _bare(_spans(F.col("text"), LONG_HEX, 2)))
+    short = F.transform(F.filter("assign", lambda s: value(s) < ASSIGN_MIN), lambda s: F.struct(s["start"].alias("start"), F.lit(4).alias("kind"), s["end"].alias("end")))
+    weak = F.concat(short, _bare(_spans(F.col("text"), WEAK_ID, 3)), _bare(_spans(F.col("text"), WEAK_SECRET, 4)), _bare(_spans(F.col("text"), ENDPOINT, 5)))
+    parts = t.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.array_sort(base).alias("base"), F.array_distinct(weak).alias("weak"))
+    alone = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    marked = F.transform("weak", lambda w: F.struct(w["start"].alias("start"), w["kind"].alias("kind"), w["end"].alias("end"), alone(w).alias("alone")))
+    return materialize(parts.withColumn("weak", marked), "secret-parts")
+
+
+def _blocks(margin: int) -> Column:
+    """The blocks of SCOPE code points that a span covers, from `margin` before it to `margin` after it."""
+    return F.explode(F.sequence(F.floor((F.col("start") - margin) / SCOPE), F.floor((F.col("end") + margin) / SCOPE)))
 
 
 def _near(df: DataFrame, other: DataFrame) -> DataFrame:
-    """Rows of df with a row of other in the same text whose start is at most SCOPE code points away.
+    """Rows of df with a row of other in the same text that overlaps or has at most SCOPE code points between; a row may come several times.
 
-    An interval join: other stands in its block of the text and both neighbours, so a join on (text, block) sees every partner.
+    An interval join: a span stands in every block it covers, other also in those within SCOPE, so a join on (text, block) sees every
+    partner. A span of n code points has n / SCOPE + 4 blocks at most, and a block holds at most one span of a kind per two code points.
     """
-    cell = F.floor(F.col("start") / SCOPE)
-    spread = other.select(F.col("rid").alias("o_rid"), F.col("start").alias("o_start"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("o_cell"))
-    on = (F.col("rid") == F.col("o_rid")) & (cell == F.col("o_cell")) & (F.abs(F.col("start") - F.col("o_start")) <= SCOPE)
-    return df.join(spread, on, "left_semi")
+    left = df.withColumn("cell", _blocks(0))
+    spread = other.select(F.col("rid").alias("o_rid"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), _blocks(SCOPE).alias("o_cell"))
+    gap = F.greatest(F.col("o_start") - F.col("end"), F.col("start") - F.col("o_end"))
+    return left.join(spread, (F.col("rid") == F.col("o_rid")) & (F.col("cell") == F.col("o_cell")) & (gap <= SCOPE), "left_semi")
 
 
 def linked_parts(found: DataFrame) -> DataFrame:
     """rid, links: the weak spans that are reported.
 
     An identifier or endpoint is reported with a secret near it, a weak secret with an identifier or endpoint near it. Base spans
-    take part as they are: access as identifier, assign and hex as secret.
+    take part as they are: access as identifier, assign and hex as secret. A weak span that overlaps a base span is a partner of others
+    but is not reported, as the base span is.
     """
-    every = F.concat("base", "weak")
+    whole = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit(False).alias("alone")))
+    every = F.concat(whole, F.col("weak"))
     secret = F.exists(every, lambda s: s["kind"].isin(0, 2, 4))
     partner = F.exists(every, lambda s: s["kind"].isin(1, 3, 5))
-    parts = found.where((F.size("weak") > 0) & secret & partner).select("rid", F.inline(every))
+    parts = found.where(F.exists("weak", lambda w: w["alone"]) & secret & partner).select("rid", F.inline(every))
     secrets, partners = parts.where(F.col("kind").isin(0, 2, 4)), parts.where(F.col("kind").isin(1, 3, 5))
-    kept = _near(secrets.where(F.col("kind") == 4), partners).unionByName(_near(partners.where(F.col("kind") > 2), secrets))
-    return kept.groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("links"))
+    kept = _near(secrets.where("alone"), partners).unionByName(_near(partners.where("alone"), secrets))
+    return kept.groupBy("rid").agg(F.collect_set(F.struct("start", "kind", "end")).alias("links"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -213,6 +213,37 @@ def test_weak_parts_need_each_other(spark):
     assert got == {1: [3, 5, 4], 2: [], 3: [], 4: [], 5: [3, 0]}
 
 
+def test_parts_of_one_credential_are_linked(spark):
+    hexed, long_url = "0123456789abcdef" * 2, "https://a.b/" + "-" * 600
+    rows = [
+        (1, "username: alice / password: hunter22 / https://db.example.com/login"), (2, f"client_id: {hexed} / client_key: Zx9QwErTy7"),
+        (3, "https://db.example.com/?token=abcdefghijklmnop pass: Zx9QwErTy7"), (4, long_url + " pwd=hunter22xx"), (5, "pwd=hunter22xx " + long_url + " user=bob"),
+        (6, "user=bob" + " " * 256 + "pwd=hunter22xx"), (7, "user=bob" + " " * 257 + "pwd=hunter22xx"), (8, "pwd=" + "Q" * 300 + " " * 256 + "user=bob"), (9, "token: hunter22"),
+        (10, "login=root DB_PASSWORD='root'"), (11, f"client_id: {hexed}"), (12, None),
+    ]
+    got = {r.doc_id: [(s.kind, dict(rows)[r.doc_id][s.start:s.end]) for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pwd, bob, url = (4, "pwd=hunter22xx"), (3, "user=bob"), (5, long_url)
+    assert got == {
+        1: [(3, "username: alice"), (4, "password: hunter22"), (5, "https://db.example.com/login")], 2: [(2, hexed), (4, "client_key: Zx9QwErTy7")],
+        3: [(0, "token=abcdefghijklmnop"), (4, "pass: Zx9QwErTy7")], 4: [url, pwd], 5: [pwd, url],
+        6: [bob, pwd], 7: [], 8: [(4, "pwd=" + "Q" * 300), bob], 9: [], 10: [(3, "login=root"), (4, "PASSWORD='root")], 11: [(2, hexed)], 12: [],
+    }
+
+
+def test_linked_parts_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    pieces = ["user=bob", "pwd=hunter22xx", "https://a.b/c", "secret=abcdefghijklmnopq", "token: abc", "AKIA" + "B" * 16, "f" * 20, "https://c.d/" + "-" * 400, "pwd=" + "-" * 350]
+    rows = [(i, "".join(rng.choice(pieces) + " " * rng.choice([1, 200, 250, 256, 257, 300, 520]) for _ in range(rng.randrange(2, 8)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = {r.doc_id: [(*b, False) for b in r.base] + [tuple(w) for w in r.weak] for r in secret_scan.found_parts(docs).collect()}
+    near = lambda a, b: max(a[0] - b[2], b[0] - a[2]) <= secret_scan.SCOPE and (a[1] in (0, 2, 4)) != (b[1] in (0, 2, 4))
+    for r in secret_scan.scan(docs).collect():
+        want = [a[:3] for a in parts[r.doc_id] if a[1] < 3 or a[3] and any(near(a, b) for b in parts[r.doc_id])]
+        assert [tuple(s) for s in r.spans] == sorted(want)
+
+
 def test_url_filter(spark):
     rows = [
         (1, "http://a.example.net/x", '<link rel="canonical" href="http://b.net/y">'), (2, "http://b.net/y#q", '<META http-equiv="refresh" content="0; url=http://shop.com/de/z">'),
