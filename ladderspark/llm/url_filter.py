@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,11 @@ RULES = (
     ("block", "com", "/de/"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_TAG = r"(?is)<(?:link|meta|base)\b[^>]*>"
+# HTML's named references (some also count without a semicolon), and pieces of an attribute: a reference, other text, a lone &.
+_NAMED = "\x02".join(f"{name}\x01{value}" for name, value in html5.items())
+_PIECE = r"(?s)(&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=;]))|[^&]+|&)"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -47,19 +53,66 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def address(url: Column) -> Column:
-    """Host, path and query: an address without scheme and fragment. Null without a host."""
-    host = host_of(url)
-    return F.when(host != "", F.concat(host, F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^#]*)", 1)))
+    """Host, path and query: an address without scheme and fragment. Null without a host; an empty path is /, segments . and .. are resolved."""
+    host, query = host_of(url), F.regexp_extract(_after_scheme(url), r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.when(host != "", F.concat(host, _without_dots(path_of(url)), query))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path without segments . and .., each .. taking the segment before it away; / for the empty one."""
+    def step(acc, part):
+        up = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        return F.when(part == "..", up).when(part == ".", acc).otherwise(F.concat(acc, F.array(part)))
+
+    parts = F.split(F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path), "/", -1)
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    return F.when(path == "", F.lit("/")).when(path.rlike(r"/\.\.?(?:/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The url with a scheme that `target` stands for on the page `base`; null for schemes without //, such as mailto:."""
+    site, path = F.concat(F.lit("http://"), host_of(base)), path_of(base)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^.*/", 0))
+    return (
+        F.when(target.rlike(_SCHEME), F.when(target.rlike(_SCHEME + "//"), target)).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("/"), F.concat(site, target)).when(target.startswith("?"), F.concat(site, path, target))
+        .when((target == "") | target.startswith("#"), base).otherwise(F.concat(site, folder, target))
+    )
+
+
+def unescaped(value: Column) -> Column:
+    """An attribute with its character references decoded once, without blanks around it. Unknown names stay, numbers of no character give U+FFFD."""
+    names = F.str_to_map(F.lit(_NAMED), F.lit("\x02"), F.lit("\x01"))
+
+    def char(piece):
+        decimal = F.hex(F.concat(F.lit("0"), F.regexp_extract(piece, r"^&#0*([0-9]{0,7});?$", 1)).cast("long"))
+        code = F.upper(F.lpad(F.when(piece.rlike("^&#[xX]"), F.regexp_extract(piece, r"^&#[xX]0*([0-9a-fA-F]{0,6});?$", 1)).otherwise(decimal), 8, "0"))
+        good = code.between("00000001", "0000D7FF") | code.between("0000E000", "0010FFFF")
+        number = F.decode(F.unhex(F.when(good, code).otherwise("0000FFFD")), "UTF-32")
+        return F.when(piece.startswith("&#") & (F.length(piece) > 2), number).when(piece.startswith("&"), F.coalesce(F.try_element_at(names, F.substring(piece, 2, 40)), piece)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(value, F.lit(_PIECE), F.lit(1))
+    return F.regexp_replace(F.when(value.contains("&"), F.array_join(F.transform(pieces, char), "")).otherwise(value), r"^\s+|\s+$", "")
 
 
 def targets(url: Column, html: Column) -> Column:
-    """Addresses the page names as its own: canonical link, refresh redirect, og:url. A path is taken on the page's host."""
+    """Addresses the page names as its own: canonical link, refresh redirect, og:url, resolved against the page's url or its <base>."""
+    def attribute(tags, tag, pattern):
+        return F.transform(F.filter(tags, lambda t: t.rlike(tag)), lambda t: F.regexp_extract(t, pattern, 1))
+
+    def on_page(tags):
+        href = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+        canonical = attribute(tags, r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b""", href)
+        refresh = attribute(tags, r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""")
+        shared = attribute(tags, r"""(?is)^<meta\b.*\bproperty\s*=\s*["']?og:url\b""", r"""(?is)\bcontent\s*=\s*["']?([^"'\s>]+)""")
+        bases = F.transform(F.filter(F.transform(attribute(tags, r"(?is)^<base\b", href), unescaped), lambda t: t != ""), lambda t: resolved(url, t))
+        base = F.coalesce(F.get(F.filter(F.slice(bases, 1, 1), lambda b: host_of(b) != ""), F.lit(0)), url)
+        named = F.filter(F.transform(F.concat(canonical, refresh, shared), unescaped), lambda t: t != "")
+        # A transform of an array of one binds its value, so that it is computed once.
+        return F.transform(F.array(base), lambda b: F.transform(F.transform(named, lambda t: resolved(b, t)), address))[0]
+
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(f"({_TAG})"), F.lit(1))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b""")), lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""")), lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
-    shared = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\b.*\bproperty\s*=\s*["']?og:url\b""")), lambda t: F.regexp_extract(t, r"""(?is)\bcontent\s*=\s*["']?([^"'\s>]+)""", 1))
-    whole = lambda t: F.when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.startswith("/"), F.concat(F.lit("http://"), host_of(url), t)).otherwise(t)
-    return F.filter(F.transform(F.concat(canonical, refresh, shared), lambda t: address(whole(t))), lambda t: t.isNotNull())
+    return F.filter(F.transform(F.array(tags), on_page)[0], lambda t: t.isNotNull())
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -77,7 +130,7 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
     named = materialize(named.withColumn("rule", rule).withColumn("own", own), "url-pages")
     edges = named.select(F.col("at").alias("a"), F.explode("to").alias("b"))
     if redirects is not None:
-        edges = edges.union(redirects.select(address(F.col("from_url")), address(F.col("to_url"))))
+        edges = edges.union(redirects.select(address(F.col("from_url")), address(resolved(F.coalesce("from_url", F.lit("")), F.col("to_url")))))
     classes = materialize(components(edges), "url-classes")
     node_url = F.concat(F.lit("http://"), F.col("node"))
     by_name = classes.withColumn("own", rule_of(host_of(node_url), path_of(node_url), rules)[1])

@@ -266,6 +266,30 @@ def test_url_filter(spark):
         assert (r.host, r.path, r.rule) == (host, path, fit and fit[1] + fit[2]) and (fit is None or r.verdict == fit[0])
 
 
+def test_link_targets(spark):
+    at, to = "http://S.net/a/b?q=1#f", lambda href: f"<link rel='canonical' href=\"{href}\">"
+    rows = [
+        (at, to("login.html"), "s.net/a/login.html"), (at, to("?id=3"), "s.net/a/b?id=3"), (at, to("/x"), "s.net/x"), (at, to("//T.net"), "t.net/"), (at, to("#top"), "s.net/a/b?q=1"),
+        (at, to("../c/./d/.."), "s.net/c/"), (at, to("/../../e"), "s.net/e"), (at, to("go?u=http://evil.net/"), "s.net/a/go?u=http://evil.net/"), (at, to("mailto:bob@x.net"), None), (at, "<link rel=canonical>", None),
+        (at, to("https://t.net/z?a=1&amp;b=2&#38;c=3&#x26;d"), "t.net/z?a=1&b=2&c=3&d"), (at, to("/?a&amp;amp;b&copy=1&nosuch;&#233;&#x1F600;&#x110000;&#99999999999;"), "s.net/?a&amp;b&copy=1&nosuch;é😀\ufffd\ufffd"),
+        ("http://s.net", to("item2"), "s.net/item2"), ("http://s.net?q", to("?r"), "s.net/?r"), ("noscheme", to("item2"), None), (at, '<base href="/v/w"><meta http-equiv=refresh content="0; url=item">', "s.net/v/item"),
+        (at, '<meta property="og:url" content="./item&#x2F;3">', "s.net/a/item/3"),
+    ]
+    got = spark.createDataFrame([r[:2] for r in rows], "url string, html string").select(url_filter.targets(F.col("url"), F.col("html"))).collect()
+    assert [list(r[0]) for r in got] == [[r[2]] if r[2] else [] for r in rows]
+
+
+def test_blocks_reach_aliases(spark):
+    to = lambda href: f'<link rel="canonical" href="{href}">'
+    rows = [
+        (1, "https://shop.com/de/z?a=1&b=2", ""), (2, "http://x.net/1", to("https://shop.com/de/z?a=1&amp;b=2")), (3, "http://y.net/d/e", to("item2")), (4, "http://y.net/d/item2", to("http://x.net/1")),
+        (5, "http://z.net", ""), (6, "http://z.net/k", to("http://z.net/")), (7, "http://z.net/l", to("http://z.net")), (8, "http://z.net/", to("//y.net/d/e")), (9, "http://other.net/k", to("l")), (10, "http://w.net/a/1", ""),
+    ]
+    moved = spark.createDataFrame([("http://w.net/a/1", "../b"), ("http://w.net/b", "http://z.net")], "from_url string, to_url string")
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), moved).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 10}
+
+
 def test_quality_on_held_out_rows(spark, nothing):
     sf = SF.replace("0.001", "0.01")
     got = QUERIES["op9_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
