@@ -33,6 +33,8 @@ NOTICES = (
     ("all rights reserved", "all-rights-reserved"),
 )
 LETTERS_PER_EDIT = 14
+# Labels that only the last word tells apart: it has no edits there.
+LAST_WORD_EXACT = ("cc-by-nc", "cc-by-sa")
 
 _WORD = b"0-9a-z\x80-\xff"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,7 +59,8 @@ class Scanner:
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(text[a:b], []).append((len(self.notices), a))
-            self.notices.append((regex.compile(r"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(text, literal_spaces=True), k)), len(text), k, label))
+            head = text.rpartition(" ")[0] if label in LAST_WORD_EXACT else text
+            self.notices.append((regex.compile(r"(?b)(?<![^ ])(?:%s){e<=%d}%s(?![^ ])" % (regex.escape(head, literal_spaces=True), k, regex.escape(text[len(head):], literal_spaces=True))), len(text), k, label))
         self.seeds = ahocorasick.Automaton()
         for piece, places in seeds.items():
             self.seeds.add_word(piece, (len(piece), places))
@@ -77,17 +80,21 @@ class Scanner:
                 windows.setdefault(notice, []).append((at - k, at + length + k))
         found = []
         for notice, spans in windows.items():
-            pattern, _, _, label = self.notices[notice]
+            pattern, length, k, label = self.notices[notice]
             merged: list[list[int]] = []
             for a, b in sorted(spans):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([max(a, 0), b])
-            for a, b in merged:
-                while (m := pattern.search(flat, a, b)) is not None:
+            while merged:
+                a, b = merged.pop()
+                if b < len(flat) and flat[b] != " ":
+                    b = flat.rfind(" ", a, b)  # the pattern takes b for the end of the text, so it has to be the end of a word
+                # The best match comes first; worse ones may stand on both sides of it.
+                if b - a >= length - k and (m := pattern.search(flat, a, b)) is not None:
                     found.append((m.start(), m.end(), sum(m.fuzzy_counts), label))
-                    a = max(m.end(), a + 1)
+                    merged += [[a, max(m.start() - 1, a)], [max(m.end(), a + 1), b]]
         return sorted(found)
 
     def scan(self, text: str):
@@ -117,7 +124,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """One row per row of docs (doc_id, text): words, places of the base phrases, labels, score and the spans of the notices (code points).
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased. A notice may differ by one edit in 14 letters
-    (at least one); its spans start and end with whole words. Null counts as empty: no words, no labels, score 0, null word places. The score is 1 with a base
+    (at least one; none in the last word of LAST_WORD_EXACT); its spans start and end with whole words and don't overlap for one notice. Null counts as empty: no words, no labels, score 0, null word places. The score is 1 with a base
     phrase, else 1 - edits / length of the best notice. Rows stand alone, so repeats and null ids pass through; other columns are ignored.
     """
     def rows(batches):

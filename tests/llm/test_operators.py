@@ -135,6 +135,22 @@ def test_notice_with_edits(text, label):
         assert 0 <= s["start"] < s["end"] <= len(text)
 
 
+@pytest.mark.parametrize("text,spans", [
+    ("all right reserved all rights reserved", [("all-rights-reserved", 0, 18, 1), ("all-rights-reserved", 19, 38, 0)]),
+    ("all right reserved all rights reserved all rights reservd", [("all-rights-reserved", 0, 18, 1), ("all-rights-reserved", 19, 38, 0), ("all-rights-reserved", 39, 57, 1)]),
+    ("licensed under cc byzantine", []), ("licensed under cc by", [("cc-by", 0, 20, 0)]), ("licensed under cc by nd", [("cc-by", 0, 20, 0)]),
+    ("Licenced under CC BY-NC", [("cc-by", 0, 20, 1), ("cc-by-nc", 0, 23, 1)]), ("licensed under cc by sa xyz", [("cc-by", 0, 20, 0), ("cc-by-sa", 0, 23, 0)]),
+])
+def test_all_notices_of_a_window(text, spans):
+    found = licenses.Scanner(licenses.PHRASES, licenses.NOTICES).scan(text)[7]
+    assert sorted((s["label"], s["start"], s["end"], s["edits"]) for s in found) == sorted(spans)
+
+
+def test_many_notices_in_one_window():
+    found = licenses.Scanner(licenses.PHRASES, licenses.NOTICES).scan("all right reserved all rights reserved " * 300)[7]
+    assert [(s["start"], s["edits"]) for s in found] == [(39 * i + d, e) for i in range(300) for d, e in ((0, 1), (19, 0))]
+
+
 def test_bpe_is_what_the_tokenizer_gives(spark, plain, nothing):
     tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     path = tokenizers.path("byte_bpe_50k.tiktoken")
