@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from ladderspark.llm import bpe, exact_dedup, fingerprints, jaccard_join, licenses, lm_scoring, mixing, quality, secret_scan, url_filter  # noqa: F401
+from ladderspark.llm import bpe, embedding_dedup, exact_dedup, fill_middle, fingerprints, importance, jaccard_join, licenses, lm_scoring, mixing, quality, secret_scan, url_filter  # noqa: F401
 from ladderspark.llm.common import QUERIES, SQL
 
 
