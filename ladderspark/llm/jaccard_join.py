@@ -16,11 +16,11 @@ import hashlib
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderspark.llm import tokens as T
-from ladderspark.llm.common import query, table, whole_text
+from ladderspark.llm.common import free_name, query, table, whole_text
 from ladderspark.llm.graph import components
 from ladderspark.storage import materialize
 
@@ -32,7 +32,12 @@ LOW = np.uint64((1 << 48) - 1)
 
 _SENT = "part int, base long, texts binary, sizes binary, counts binary, tokens binary"
 _BACK = "bucket int, uids binary, sizes binary, ids binary, counts binary, tokens binary, classes binary"
-_SETS = "h long, doc_id long, n long, set_key binary, prefix array<long>, tokens array<long>"
+_SETS = "h long, doc_id long, row_key binary, n long, set_key binary, prefix array<long>, tokens array<long>"
+
+
+def row_key() -> Column:
+    """16 bytes that tell rows with equal doc_id and different texts apart."""
+    return F.unhex(F.md5(whole_text().cast("binary")))
 
 
 def _bucket_of(uids: np.ndarray, buckets: int) -> np.ndarray:
@@ -40,9 +45,9 @@ def _bucket_of(uids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sends(ranges: int, buckets: int, width: int):
-    """Texts -> for each range of shingle hashes the hashes of all texts of a batch, and for each bucket of texts their ids and sizes.
+    """Texts -> for each range of shingle hashes the hashes of all texts of a batch, and for each bucket of texts their ids, keys and sizes.
 
-    A hash is 48 bits within its range. uid numbers the rows: task and place.
+    A hash is 48 bits within its range. uid numbers the rows: task and place. The size of a row without an id is sent as its complement.
     """
     def rows(batches):
         import pyarrow as pa
@@ -52,19 +57,22 @@ def _sends(ranges: int, buckets: int, width: int):
         for batch in T.parts(batches):
             n_texts = batch.num_rows
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            nameless = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "V16")
             found = []
             for first, h, bounds in T.words(batch.column(1)):
                 tok, text = T.shingles(h, bounds, width)
                 found.append((tok, text + first))
             tok, text = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int32)
             sizes = np.bincount(text, minlength=n_texts).astype(np.int32)
+            signed = np.where(nameless, ~sizes, sizes)
             out = []
             home = _bucket_of(uid + np.arange(n_texts), buckets)
             order = np.argsort(home, kind="stable")
             cuts = np.searchsorted(home[order], np.arange(buckets + 1))
             for q in np.flatnonzero(np.diff(cuts)).tolist():
                 own = order[cuts[q]:cuts[q + 1]]
-                out.append((ranges + q, uid, own.astype(np.int32).tobytes(), sizes[own].tobytes(), empty, ids[own].tobytes()))
+                out.append((ranges + q, uid, own.astype(np.int32).tobytes(), signed[own].tobytes(), keys[own].tobytes(), ids[own].tobytes()))
             part = ((tok >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.uint16 if ranges < 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
             tok, text, part = tok[order], text[order], part[order]
@@ -77,7 +85,7 @@ def _sends(ranges: int, buckets: int, width: int):
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(head_cuts[r], head_cuts[r + 1])
                 who = text[heads[own]]
-                out.append((r, uid, who.tobytes(), sizes[who].tobytes(), counts[own].tobytes(), packed[cuts[r]:cuts[r + 1]].tobytes()))
+                out.append((r, uid, who.tobytes(), empty, counts[own].tobytes(), packed[cuts[r]:cuts[r + 1]].tobytes()))
             uid += n_texts
             kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["part", "base", "texts", "sizes", "counts", "tokens"])
@@ -97,10 +105,9 @@ def _answers(ranges: int, buckets: int):
         part = key[0].as_py()
         at = [len(x) // 4 for x in t.column("texts").to_pylist()]
         uids = _all(t.column("texts"), np.int32) + np.repeat(np.array(t.column("base").to_pylist(), np.int64), at)
-        sizes = _all(t.column("sizes"), np.int32)
         out = []
         if part >= ranges:
-            out.append((part - ranges, uids.tobytes(), sizes.tobytes(), _all(t.column("tokens"), np.int64).tobytes(), b"", b"", b""))
+            out.append((part - ranges, uids.tobytes(), *(b"".join(t.column(c).to_pylist()) for c in ("sizes", "tokens", "counts")), b"", b""))
         else:
             counts = _all(t.column("counts"), np.int32)
             raw = _all(t.column("tokens"), np.uint8).reshape(-1, 6)
@@ -143,12 +150,15 @@ def _sets(percent: int):
         homes = [len(i) // 8 for i in t.column("ids").to_pylist()]
         lengths = [len(u) // 8 for u in t.column("uids").to_pylist()]
         is_home = np.repeat(np.array([h > 0 for h in homes], bool), lengths)
-        mine, who = uids[is_home], np.repeat(uids[~is_home], _all(t.column("counts"), np.int32))
+        split = [[c for c, h in zip(t.column("counts").to_pylist(), homes) if (h > 0) == home] for home in (True, False)]
+        row_keys, counts = np.frombuffer(b"".join(split[0]), "V16"), np.frombuffer(b"".join(split[1]), np.int32)
+        mine, who = uids[is_home], np.repeat(uids[~is_home], counts)
         tok, cls = _all(t.column("tokens"), np.uint64), _all(t.column("classes"), np.uint8)
         order = np.lexsort((tok, cls, who))
         who, tok, cls = who[order], tok[order], cls[order]
         by = np.argsort(mine)
-        mine, sizes, ids = mine[by], sizes[by], ids[by]
+        mine, sizes, ids, row_keys = mine[by], sizes[by], ids[by], row_keys[by]
+        nameless, sizes = sizes < 0, np.where(sizes < 0, ~sizes, sizes)
         a, b = np.searchsorted(who, mine, "left"), np.searchsorted(who, mine, "right")
         # A text whose shingles are in many texts is near to many: it makes the better pivot and gets the smaller number.
         sums = np.append(0, np.cumsum(cls, dtype=np.int64))
@@ -167,21 +177,21 @@ def _sets(percent: int):
             prefixes.append(tok[i:i + deciding].view(np.int64))
             sets.append(own.view(np.int64))
         longs = pa.list_(pa.int64())
-        return pa.table([pa.array(nodes), pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(prefixes, longs), pa.array(sets, longs)],
-                        names=["h", "doc_id", "n", "set_key", "prefix", "tokens"])
+        return pa.table([pa.array(nodes), pa.array(ids, mask=nameless), pa.array([k.tobytes() for k in row_keys], pa.binary()), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(prefixes, longs), pa.array(sets, longs)],
+                        names=["h", "doc_id", "row_key", "n", "set_key", "prefix", "tokens"])
 
     return group
 
 
 def shared_shingles(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Stored: h, doc_id, n, set_key, prefix, tokens of every row (see _sets). Two shuffles, both of packed arrays: hashes by range, and what
+    """Stored: h, doc_id, row_key, n, set_key, prefix, tokens of every row (see _sets). Two shuffles, both of packed arrays: hashes by range, and what
     is shared of them back by text. A shingle that no other text has can't be part of a link, so it is only counted."""
     spark = docs.sparkSession
     n_docs, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(max(parts, chars // 5 // TOKENS_PER_RANGE), 1 << 20)
     buckets = max(parts, n_docs // TEXTS_PER_BUCKET)
-    sent = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(_sends(ranges, buckets, width), _SENT)
+    sent = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), row_key().alias("row_key")).mapInArrow(_sends(ranges, buckets, width), _SENT)
     back = sent.groupBy("part").applyInArrow(_answers(ranges, buckets), _BACK)
     return materialize(back.groupBy("bucket").applyInArrow(_sets(percent), _SETS), "shingle-sets")
 
@@ -252,23 +262,56 @@ def _label_pairs(links: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("lx", "ly").alias("a"), F.least("lx", "ly").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs with a doc_id (doc_id, text): doc_id, n_shingles, component_id.
-
-    Sets of distinct shingles of `width` words (A-Z lower-cased, blanks [\\x20\\x09-\\x0D] between words) link if 100 * common >=
-    percent * joint; shingles count by 64-bit hashes. component_id is the smallest doc_id that links reach. Null and empty texts have
-    no shingles and no links. Rows with a null doc_id are left out; repeated rows are rows of one class. Ties need no rule; other columns are ignored.
-    """
-    sets = shared_shingles(docs.where(F.col("doc_id").isNotNull()), width, percent)
+def near_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Stored: one row per row of docs (doc_id, text): h (a number of the row), doc_id, row_key, n_shingles, class, tied (is there another row in the class)."""
+    sets = shared_shingles(docs, width, percent)
     first = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("h").alias("rep"))
     copies = sets.select("h", "set_key").join(first, "set_key").where(F.col("h") != F.col("rep"))
     copies = materialize(copies.select("h", "rep"), "set-copies")
     single = sets.where(F.col("prefix").isNotNull()).select("h", "n", "prefix", "tokens").join(copies.select("h"), "h", "left_anti")
     classes = classes_of(materialize(single, "jaccard-sets"), percent)
-    ids = sets.select("h", "doc_id", F.col("n").alias("n_shingles")).join(copies, "h", "left").withColumn("node", F.coalesce("rep", "h"))
-    ids = ids.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
-    least = ids.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(least, "class").select("doc_id", "n_shingles", "component_id")
+    ids = sets.select("h", "doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("set_key").isNotNull().alias("copied"))
+    ids = ids.join(copies, "h", "left").withColumn("node", F.coalesce("rep", "h")).join(classes, "node", "left")
+    tied = F.col("copied") | F.col("component").isNotNull()
+    return materialize(ids.select("h", "doc_id", "row_key", "n_shingles", F.coalesce("component", "node").alias("class"), tied.alias("tied")), "near-rows")
+
+
+def near_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+
+    Sets of distinct shingles of `width` words (A-Z lower-cased, blanks [\\x20\\x09-\\x0D] between words) link if 100 * common >=
+    percent * joint; shingles count by 64-bit hashes. component_id is the smallest doc_id that links reach. Null and empty texts have
+    no shingles and no links. A row with a null doc_id is linked like any other; component_id is null if no row of the class has an id. Repeated rows are
+    rows of one class. Ties need no rule; other columns are ignored.
+    """
+    rows = near_rows(docs, width, percent)
+    # Stored, so that the join reads two plain exchanges and a class of very many rows can be split at runtime.
+    least = materialize(rows.where("tied").groupBy("class").agg(F.min("doc_id").alias("component_id")), "near-least")
+    apart = rows.where("not tied").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return apart.union(rows.where("tied").join(least, "class").select("doc_id", "n_shingles", "component_id"))
+
+
+def without_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without all but one of each class: the smallest doc_id stays (null ids last; of rows with one id any one).
+
+    Rows are told apart by doc_id and text, so an id that repeats with another text is another row. Of rows with equal id and text only one stays, which one doesn't matter
+    to the class. Rows without links stay, empty texts and repeats of them too. An empty table gives an empty result.
+    """
+    rows = near_rows(docs.select("doc_id", "text"), width, percent).where("tied")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "row_key")
+    first = materialize(rows.groupBy("class").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first"), "near-first")
+    gone = rows.join(first, "class").where(F.col("h") != F.col("first.h")).select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
+    stays = first.select(F.col("first.doc_id").alias("stays_id"), F.col("first.row_key").alias("stays_key"))
+    same = lambda a, b: a[a.columns[0]].eqNullSafe(b[b.columns[0]]) & (a[a.columns[1]] == b[b.columns[1]])
+    repeated = materialize(stays.join(gone, same(stays, gone)).select("stays_id", "stays_key"), "near-repeated")
+    gone = materialize(gone, "near-gone")
+    key = free_name(docs, "row_key")
+    keyed = docs.withColumn(key, row_key())
+    is_row = lambda b: keyed["doc_id"].eqNullSafe(b[b.columns[0]]) & (keyed[key] == b[b.columns[1]])
+    kept = keyed.join(gone, is_row(gone), "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.union(keyed.join(repeated, is_row(repeated), "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.select(*docs.columns)
 
 
 @query("op5_jaccard_join")

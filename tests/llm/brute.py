@@ -46,9 +46,10 @@ def shingle_set(text, width=5):
     return frozenset(tuple(w[i:i + width]) for i in range(max(len(w) - width + 1, 1))) if w else frozenset()
 
 
-def near(rows):
-    sets = [(i, shingle_set(t)) for i, t in rows]
-    parent = {i: i for i, _ in sets}
+def near_groups(rows):
+    """(size of the set, number of its class) for every row; rows are told apart by their place."""
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
@@ -56,15 +57,23 @@ def near(rows):
         return x
 
     inverted = defaultdict(list)
-    for k, (_, s) in enumerate(sets):
+    for k, s in enumerate(sets):
         for x in s:
             inverted[x].append(k)
-    for k, (i, s) in enumerate(sets):
+    for k, s in enumerate(sets):
         for j, common in Counter(j for x in s for j in inverted[x] if j < k).items():
-            if 100 * common >= 75 * (len(s) + len(sets[j][1]) - common):
-                a, b = sorted((root(i), root(sets[j][0])))
+            if 100 * common >= 75 * (len(s) + len(sets[j]) - common):
+                a, b = sorted((root(k), root(j)))
                 parent[b] = a
-    return sorted((i, len(s), root(i)) for i, s in sets)
+    return [(len(s), root(k)) for k, s in enumerate(sets)]
+
+
+def near(rows):
+    groups, least = near_groups(rows), {}
+    for (i, _), (_, g) in zip(rows, groups):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return sorted(((i, n, least.get(g)) for (i, _), (n, g) in zip(rows, groups)), key=lambda r: tuple((x is None, x) for x in r))
 
 
 PARAGRAPH = re.compile(r"[^\n]{80,}?[.!?](?=\s)|[^\n]+")

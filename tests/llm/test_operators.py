@@ -34,7 +34,7 @@ def key(row):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in QUERIES} >= {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} >= {f"op{i}" for i in range(1, 14)}
 
 
 def test_exact_groups(spark, plain, docs, nothing):
@@ -65,11 +65,36 @@ def test_exact_group_over_many_partitions(spark):
 def test_near_classes(spark, plain, nothing):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op5_jaccard_join"](spark, SF).collect()]
     assert sorted(got) == brute.near(plain)
-    odd = brute.odd_rows(spark).unionByName(spark.createDataFrame([(None, "a b")], "doc_id long, text string"), allowMissingColumns=True)
+    odd = brute.odd_rows(spark)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_classes(odd).collect()) == brute.near(brute.ODD)
     assert jaccard_join.near_classes(nothing).count() == 0
 
 
+A, B = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+NAMELESS = [
+    (5, A), (6, A + " more"), (3, B), (5, B.replace("b30", "x30")), (None, A + " end"), (None, A + " end"), (None, "alone in the world of words"), (9, "c d e f g h i"), (9, "c d e f g h i"),
+    (None, "null ids that are copies of"), (None, "null ids that are copies of"), (None, ""), (None, None), (12, ""), (5, "some other text with the same id"),
+]
+
+
+def test_near_classes_without_or_with_repeated_ids(spark):
+    got = jaccard_join.near_classes(spark.createDataFrame(NAMELESS, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == brute.near(NAMELESS)
+
+
+@pytest.mark.parametrize("rows", [NAMELESS, [(5, A), (6, A + " more"), (3, B), (5, B + " more")], [(7, A)] * 4, [(None, A)] * 3 + [(None, B)], []])
+def test_one_row_of_each_near_class_stays(spark, rows):
+    docs = spark.createDataFrame([(i, t, n, "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, row_key int, H string")
+    left = jaccard_join.without_near_copies(docs)
+    assert left.columns == docs.columns
+    kept, groups = {r["row_key"] for r in left.collect()}, defaultdict(list)
+    for n, (_, g) in enumerate(brute.near_groups(rows)):
+        groups[g].append(n)
+    for g in groups.values():
+        best = min((rows[n][0] is None, rows[n][0] or 0) for n in g)
+        assert [(rows[n][0] is None, rows[n][0] or 0) for n in g if n in kept] == [best]
+
+
 def test_near_classes_of_edited_copies(spark):
     """Chains and texts at the border of the similarity, so that later pivots are needed."""
     base = [f"w{i}" for i in range(120)]
