@@ -1,7 +1,7 @@
 """From raw documents to token ids: quality, exact and near duplicates, mixing, encoding.
 
-Every stage gets what the one before it kept. Rows with a null doc_id pass the near-duplicate stage; repeated rows are removed by exact
-deduplication; the mix may repeat rows. An empty table gives an empty result; further columns are carried along to the last stage.
+Every stage gets what the one before it kept. Repeated rows are removed by exact deduplication, and rows with null or repeated ids are told apart by their
+texts in the near-duplicate stage; the mix may repeat rows. An empty table gives an empty result; further columns are carried along to the last stage.
 """
 
 from __future__ import annotations
@@ -26,9 +26,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class stays."""
-    classes = jaccard_join.near_classes(docs.select("doc_id", "text"))
-    copies = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
