@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import codecs
 import re
+import struct
 from itertools import islice
 from typing import Iterator
 
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ladderspark.llm.common import free_name, query, table
 
-MAX_STATES = 80_000  # the machine is thrown away and built again beyond this
-MAX_WORDS = 250_000  # likewise the memo of short pieces
-MAX_PAIRS = 400_000  # likewise what is known of pairs of tokens
+MAX_STATES = 300_000  # moves that are remembered besides the edges of the trie
+MAX_WORDS = 100_000  # short pieces in one generation of their memo
+MAX_PAIRS = 200_000  # pairs of tokens in one generation of theirs
 LONG_PIECE = 64
+SEEN = 1 << 20  # marks for pieces that came once
 BLOCK = 1 << 16
 
 # A faster form of a known pattern, equal to it on ASCII text.
@@ -29,34 +31,50 @@ ASCII_FORM = {
 class Transducer:
     """Bytes in, token ids out.
 
-    Merging by rank gives the one sequence of tokens in which every two neighbours, encoded together, stay as they are. So a path is
-    (place in the trie of tokens, last finished token, tokens not yet written); a byte moves on in the trie and, where a token ends
-    that may follow the last one, also starts the next token. A state is the set of live paths. What all paths agree on is written at
-    once, so a token waits at most for the bytes of the longest token. States and moves are made when first needed.
+    Merging by rank gives the one sequence of tokens in which every two neighbours, encoded together, stay as they are. So the machine that reads a token from
+    any place on, and starts another one where a token ends that may follow the last, has one path to each place. Determinised, its state is the set of
+    places in the trie of tokens at which it may stand. Such a set is a node with all its suffixes that are nodes, too, so a state is numbered by its longest node
+    and there are never more states than nodes. Moves that are no edges of the trie are made when first needed. What a path has
+    read before is no part of the state: `last` holds the token that ends at each place, and that is all a later token has to fit.
+    Tokens before the place where all open paths meet are written, so they wait at most for the bytes of a few tokens.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.next: dict[int, int] = {}  # node * 256 + byte -> node
-        self.ends: list[int] = [-1]
+        self.size_of = {i: len(t) for t, i in ranks.items()}
+        self.edges: dict[int, int] = {}  # node * 256 + byte -> node
+        ends = [-1]
+        above, depth = [0], [0]
         for token, i in ranks.items():
             node = 0
             for b in token:
                 at = node << 8 | b
-                node = self.next.get(at)
-                if node is None:
-                    node = self.next[at] = len(self.ends)
-                    self.ends.append(-1)
-            self.ends[node] = i
+                on = self.edges.get(at)
+                if on is None:
+                    on = self.edges[at] = len(ends)
+                    ends.append(-1)
+                    above.append(at)
+                    depth.append(depth[node] + 1)
+                node = on
+            ends[node] = i
+        # The longest proper suffix of a node that is a node, and the tokens that end at it, long ones first.
+        self.suffix = [0] * len(ends)
+        self.found: list[tuple[tuple[int, int], ...]] = [()] * len(ends)
+        for node in sorted(range(1, len(ends)), key=depth.__getitem__):
+            parent, byte = above[node] >> 8, above[node] & 255
+            if parent:
+                up = self.suffix[parent]
+                while up and up << 8 | byte not in self.edges:
+                    up = self.suffix[up]
+                self.suffix[node] = self.edges.get(up << 8 | byte, 0)
+            more = self.found[self.suffix[node]]
+            self.found[node] = ((ends[node], depth[node]), *more) if ends[node] >= 0 else more
+        self.depth = depth
+        self.moves: dict[int, int] = {}  # made when needed: state * 256 + byte -> state
         self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self.spines: dict[int, list[tuple[bytes, int, int]]] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        start = ((0, -1, ()),)
-        self.states, self.number = [start], {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte -> next state and what is written
 
     def spine(self, token: int, side: int) -> list[tuple[bytes, int, int]]:
         """The parts that stand at one end of a token while it is merged (0: its start, 1: its end), as (part, merged at, merged into more at); empty
@@ -93,13 +111,14 @@ class Transducer:
 
     def follows(self, a: int, b: int) -> bool:
         """Do both tokens stay if they are encoded together? They don't if parts at the border are merged with each other before
-        their own side takes either; of equal ranks the left pair is merged first."""
+        their own side takes either; of equal ranks the left pair is merged first. Pairs not asked for in a whole generation are forgotten."""
         key = (a + 1) << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > MAX_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.border(a, b)
+            if len(self.pairs) >= MAX_PAIRS:
+                self.old_pairs, self.pairs = self.pairs, {}
+            known = self.old_pairs.get(key)
+            known = self.pairs[key] = self.border(a, b) if known is None else known
         return known
 
     def border(self, a: int, b: int) -> bool:
@@ -117,77 +136,96 @@ class Transducer:
                         return False
         return bool(right)
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        paths, settled = [], True
-        child, ends, fits = self.next.get, self.ends, self.pairs.get
-        for node, last, wait in self.states[state]:
-            on = child(node << 8 | byte)
-            if on is not None:
-                paths.append((on, last, wait))
-                if not wait:
-                    settled = False
-                token = ends[on]
-                if token >= 0:
-                    fit = fits((last + 1) << 32 | token)
-                    if self.follows(last, token) if fit is None else fit:
-                        paths.append((0, token, wait + (token,)))
-        written: tuple[int, ...] = ()
-        if settled:  # every path waits for tokens: write those they share
-            one = paths[0][2]
-            n = next((i for i in range(len(one)) if any(p[2][i:i + 1] != one[i:i + 1] for p in paths)), len(one))
-            written = one[:n]
-            paths = [(node, last, wait[n:]) for node, last, wait in paths]
-        key = tuple(paths)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-        found = self.moves[state << 8 | byte] = (to, written)
-        return found
+    def move(self, state: int, byte: int) -> int:
+        at = state
+        while True:
+            to = self.edges.get(at << 8 | byte)
+            if to is not None or not at:
+                break
+            at = self.suffix[at]
+        if at == state:  # an edge of the trie, or nothing goes on from the root
+            return to or 0
+        if len(self.moves) >= MAX_STATES:
+            self.moves.clear()
+        self.moves[state << 8 | byte] = to or 0
+        return to or 0
+
+    def written(self, last: list[int], start: int, end: int) -> list[int]:
+        """The tokens of the path that leads from place start to place end, which are numbers in last."""
+        out, size_of = [], self.size_of
+        while end > start:
+            out.append(last[end])
+            end -= size_of[last[end]]
+        out.reverse()
+        return out
 
-    def tail(self, state: int) -> tuple[int, ...]:
-        """What is still to be written if the piece ends here: the one path at the start of a token is the whole encoding."""
-        for node, _, wait in self.states[state]:
-            if node == 0:
-                return wait
-        raise ValueError("the vocabulary lacks single bytes")
+    def meeting(self, last: list[int], state: int) -> int:
+        """The last place that all paths share which may still go on."""
+        here, open_ = len(last) - 1, set()
+        while state:
+            open_.add(here - self.depth[state])
+            state = self.suffix[state]
+        open_.add(here)
+        while len(open_) > 1:
+            place = max(open_)
+            open_.remove(place)
+            open_.add(place - self.size_of[last[place]])
+        return open_.pop()
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:  # a piece that is a token is that token, reachable by merges or not
             return [self.ranks[piece]]
         out: list[int] = []
-        state, known = 0, self.moves.get
+        edge, made, found, fits = self.edges.get, self.moves.get, self.found, self.pairs.get
+        state, here, last = 0, 0, [-1]  # last[here]: the token that ends there, whatever follows
         for b in piece:
-            step = known(state << 8 | b)
-            if step is None:
-                if len(self.states) >= MAX_STATES:
-                    here = self.states[state]
-                    self.forget()
-                    known = self.moves.get
-                    state = self.number.setdefault(here, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(here)
-                step = self.move(state, b)
-            state, written = step
-            if written:
-                out += written
-        out += self.tail(state)
+            at = state << 8 | b
+            state = edge(at)
+            if state is None:
+                state = made(at)
+                if state is None:
+                    state = self.move(at >> 8, b)
+            here += 1
+            for token, size in found[state]:
+                before = last[here - size]
+                fit = fits((before + 1) << 32 | token)
+                if fit is None:
+                    fit = self.follows(before, token)
+                    fits = self.pairs.get
+                if fit:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks single bytes")
+            if here >= BLOCK:
+                meet = self.meeting(last, state)
+                out += self.written(last, 0, meet)
+                last, here = last[meet:], here - meet
+        out += self.written(last, 0, here)
         return out
 
 
 class _Words(dict):
-    """Short piece -> its ids as bytes; filled by the transducer."""
+    """Short piece -> its ids as bytes, filled by the transducer when a piece comes for the second time. Pieces that don't come in a whole generation are forgotten."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
-        self.machine = machine
+        self.machine, self.old, self.seen = machine, {}, bytearray(SEEN)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join([i.to_bytes(4, "little") for i in self.machine.encode(piece.encode("utf-8"))])
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8")
+            ids = self.machine.encode(raw)
+            ids = struct.pack(f"<{len(ids)}I", *ids)
+            at = hash(raw) & SEEN - 1
+            if len(piece) > LONG_PIECE or not self.seen[at]:
+                self.seen[at] = 1
+                return ids
+        if len(self) >= MAX_WORDS:
+            self.old, self.seen = dict(self), bytearray(SEEN)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
