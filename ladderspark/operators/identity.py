@@ -64,13 +64,13 @@ def _contained_pairs(short: DataFrame, long: DataFrame, size: int) -> DataFrame:
     return rarest.join(lg, ["country", "gram"]).filter(hit).select("short_key", "long_key")
 
 
-def match_containment(df: DataFrame, dim: DataFrame) -> DataFrame:
-    """Id of the one dimension name of the country that contains the name or is contained in it.
+def containment_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, id): the names of the country that contain an asked name or are contained in it, not equal to it.
 
-    Only for names of ten letters and two tokens. Needs ``key, norm, country``.
+    Only for asked names of ten letters and two tokens. ``asked`` has ``key, norm, country``, ``names`` has ``id, norm, country``.
     """
-    asked = df.filter((F.length("norm") >= GRAM) & F.contains("norm", F.lit(" "))).select("key", "norm", "country")
-    names = dim.filter("norm <> ''").select("id", "norm", "country")
+    asked = asked.filter((F.length("norm") >= GRAM) & F.contains("norm", F.lit(" "))).select("key", "norm", "country")
+    names = names.filter("norm <> ''").select("id", "norm", "country")
     # Both sides are read once per part size, so they are stored first.
     asked, names = materialize(asked, "asked"), materialize(names, "names")
     as_short = lambda d, key: d.select("country", F.col(key).alias("short_key"), F.col("norm").alias("short_name"))
@@ -84,7 +84,15 @@ def match_containment(df: DataFrame, dim: DataFrame) -> DataFrame:
         part = sized.filter(F.col("_size") == n)
         pairs = _contained_pairs(as_short(part, "id"), as_long(asked, "key"), n)
         found = found.unionByName(pairs.select(F.col("long_key").alias("key"), F.col("short_key").alias("id")))
-    found = found.groupBy("key").agg(
+    return found
+
+
+def match_containment(df: DataFrame, dim: DataFrame) -> DataFrame:
+    """Id of the one dimension name of the country that contains the name or is contained in it.
+
+    Only for names of ten letters and two tokens. Needs ``key, norm, country``.
+    """
+    found = containment_pairs(df, dim).groupBy("key").agg(
         F.count(F.lit(1)).alias("_n"), F.min("id").alias("contained_id")
     ).filter("_n = 1").drop("_n")
     return df.join(found, "key", "left")
@@ -229,18 +237,41 @@ def _word_list(name: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(name, r"(?U)[^\w]+", " "), " "), lambda w: w != "")
 
 
-def _word_text(name: Column) -> Column:
-    return F.array_join(_word_list(name), " ")
+def near_names(asked: DataFrame, mine: DataFrame) -> DataFrame:
+    """Rows of asked (handler_id, size, name) with the rows of mine (handler_id, own_size, own_name) of the same handler, same or adjacent size,
+    and the same name or one whose words stand inside the other.
 
+    The words of a contained name are a run of the words of the longer one, so its longest word is among them: candidates come from an equality join
+    on that word, both ways round, and every name is exploded into its distinct words at most.
+    """
+    word = lambda c: F.array_max(F.transform(_word_list(F.col(c)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    words = lambda c: F.explode(F.array_distinct(_word_list(F.col(c))))
+    key = ["handler_id", "w"]
+    inside = asked.withColumn("w", word("name")).join(mine.withColumn("w", words("own_name")), key)
+    around = asked.withColumn("w", words("name")).join(mine.withColumn("w", word("own_name")), key)
+    return inside.unionByName(around).filter(
+        N.size_compatible(F.col("size"), F.col("own_size"))
+        & ((F.col("name") == F.col("own_name")) | N.word_contained(F.col("name"), F.col("own_name"))))
 
-def _word_runs(name: Column) -> Column:
-    """All runs of consecutive words of a name."""
-    def runs(words: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(
-            F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " ")))))
 
-    empty = F.array().cast("array<string>")
-    return N.let(_word_list(name), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(empty))
+def entity_names(rows: DataFrame) -> DataFrame:
+    """One row per (handler_id, raw, size): the first ``_seq``, the cleaned name, and the normalized full, call and registered name."""
+    d = first_rows(rows.select("handler_id", "raw", "size", "_seq"), ["handler_id", "raw", "size"], F.col("_seq"))
+    clean = N.clean_entity_name(F.col("raw"))
+    d = d.withColumn("clean", clean).withColumn("_x", N.extract_call_name(F.col("clean")))
+    return d.select("handler_id", "raw", "size", "_seq", "clean", N.normalize_name(F.col("clean")).alias("full"),
+                    F.when(F.col("_x.call_name").isNotNull(), N.normalize_name(F.col("_x.call_name"))).alias("call"),
+                    F.when(F.col("_x.registered_name").isNotNull(), N.normalize_name(F.col("_x.registered_name"))).alias("reg"))
+
+
+def name_tries(d: DataFrame) -> DataFrame:
+    """The names to look for, in their order: call name, full name, registered name."""
+    tries = F.array_compact(F.array(
+        F.when(F.col("call").isNotNull(), F.struct(F.lit(1).alias("no"), F.col("call").alias("name"))),
+        F.struct(F.lit(2).alias("no"), F.col("full").alias("name")),
+        F.when(F.col("reg").isNotNull(), F.struct(F.lit(3).alias("no"), F.col("reg").alias("name"))),
+    ))
+    return d.select("handler_id", "size", "_seq", F.explode(tries).alias("t")).select("handler_id", "size", "_seq", "t.no", "t.name")
 
 
 def resolve_entities(rows: DataFrame, dim: DataFrame, owned: DataFrame, alias: DataFrame) -> DataFrame:
@@ -250,19 +281,8 @@ def resolve_entities(rows: DataFrame, dim: DataFrame, owned: DataFrame, alias: D
     adjacent size, exactly one), global alias or name if the name is specific (more than ten
     letters), new. ``owned`` has ``handler_id, id``; ``dim`` has ``id, call_norm, reg_norm, size``.
     """
-    d = first_rows(rows.select("handler_id", "raw", "size", "_seq"), ["handler_id", "raw", "size"], F.col("_seq"))
-    clean = N.clean_entity_name(F.col("raw"))
-    d = d.withColumn("clean", clean).withColumn("_x", N.extract_call_name(F.col("clean")))
-    d = d.select("handler_id", "raw", "size", "_seq", "clean", N.normalize_name(F.col("clean")).alias("full"),
-                 F.when(F.col("_x.call_name").isNotNull(), N.normalize_name(F.col("_x.call_name"))).alias("call"),
-                 F.when(F.col("_x.registered_name").isNotNull(), N.normalize_name(F.col("_x.registered_name"))).alias("reg"))
-    d = materialize(d, "entities")
-    tries = F.array_compact(F.array(
-        F.when(F.col("call").isNotNull(), F.struct(F.lit(1).alias("no"), F.col("call").alias("name"))),
-        F.struct(F.lit(2).alias("no"), F.col("full").alias("name")),
-        F.when(F.col("reg").isNotNull(), F.struct(F.lit(3).alias("no"), F.col("reg").alias("name"))),
-    ))
-    v = d.select("handler_id", "size", "_seq", F.explode(tries).alias("t")).select("handler_id", "size", "_seq", "t.no", "t.name")
+    d = materialize(entity_names(rows), "entities")
+    v = name_tries(d)
     by_alias = v.join(alias.select(F.col("alias_name").alias("name"), F.col("canonical_id").alias("id")), "name")
     named = dim.select("id", "size", F.explode(F.array_distinct(F.array("call_norm", "reg_norm"))).alias("name")).filter("name <> ''")
     by_name = v.join(named, ["name", "size"])
@@ -275,17 +295,9 @@ def resolve_entities(rows: DataFrame, dim: DataFrame, owned: DataFrame, alias: D
     hits = hits.groupBy("_seq").agg(
         pick(1, True).alias("own_alias"), pick(2, True).alias("own_exact"),
         pick(1, False).alias("any_alias"), pick(2, False).alias("any_exact"))
-    # Fuzzy: the words of a contained name are a run of the words of the longer one, so candidates
-    # come from an equality join of a whole name with the word runs of the other, both ways round.
     mine = owned.select("handler_id", "id").distinct().join(dim.select("id", F.col("size").alias("own_size"), "call_norm", "reg_norm"), "id")
     mine = mine.select("handler_id", "id", "own_size", F.explode(F.array_distinct(F.array("call_norm", "reg_norm"))).alias("own_name")).filter("own_name <> ''")
-    asked = v.filter(F.length("name") >= 3)
-    key = ["handler_id", "w"]
-    inside = asked.withColumn("w", _word_text(F.col("name"))).join(mine.withColumn("w", F.explode(_word_runs(F.col("own_name")))), key)
-    around = asked.withColumn("w", F.explode(_word_runs(F.col("name")))).join(mine.withColumn("w", _word_text(F.col("own_name"))), key)
-    near = inside.unionByName(around).filter(
-        N.size_compatible(F.col("size"), F.col("own_size"))
-        & ((F.col("name") == F.col("own_name")) | N.word_contained(F.col("name"), F.col("own_name"))))
+    near = near_names(v.filter(F.length("name") >= 3), mine)
     near = near.select("_seq", "id").distinct().groupBy("_seq").agg(
         F.count(F.lit(1)).alias("_n"), F.min("id").alias("fuzzy")).filter("_n = 1").drop("_n")
     d = d.join(hits, "_seq", "left").join(near, "_seq", "left")

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
-from ladderspark.operators.scan import first_rows, row_numbers, running_sums, with_group
-from ladderspark.storage import materialize, new_path
+from ladderspark.operators.scan import first_rows, row_numbers, sums_back_and_forth, with_group
+from ladderspark.storage import materialize, matching, new_path, remove
 
 
 
@@ -30,9 +30,8 @@ def pl_update(df: DataFrame, run: Sequence[str], cfg: RatingConfig) -> DataFrame
     d = with_group(df, run, _c2=F.sum(sig2 + F.lit(cfg.beta**2)))
     d = d.withColumn("_c", F.sqrt("_c2")).withColumn("_e", F.exp(F.col("mu") / F.col("_c")))
     ties = d.groupBy(*run, "rank_in").agg(F.sum("_e").alias("_E"), F.count(F.lit(1)).alias("_a"))
-    ties = running_sums(ties, run, [F.col("rank_in").desc()], {"_S": F.col("_E")})
-    ties = running_sums(
-        ties, run, [F.col("rank_in")], {"_z1": 1 / F.col("_S"), "_z2": 1 / (F.col("_S") * F.col("_S"))}
+    ties = sums_back_and_forth(
+        ties, run, "rank_in", {"_S": F.col("_E")}, {"_z1": 1 / F.col("_S"), "_z2": 1 / (F.col("_S") * F.col("_S"))}
     )
     d = d.join(ties.select(*run, "rank_in", "_a", "_z1", "_z2"), [*run, "rank_in"])
     e, z1, z2, c = F.col("_e"), F.col("_z1"), F.col("_z2"), F.col("_c")
@@ -204,12 +203,13 @@ def _plackett_luce(mu, sigma, rank, beta, kappa):
     return omega, sigma * np.sqrt(np.maximum(1.0 - delta, kappa)) - sigma
 
 
-def _replay_pool(cfg: RatingConfig, sigma_max: float | None):
+def _fold(cfg: RatingConfig, sigma_max: float | None):
+    """Runs of one pool inside one batch, one after the other."""
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["run_seq", "team_id"], kind="stable").reset_index(drop=True)
         code, teams = pd.factorize(pdf["team_id"])
-        mu = np.full(len(teams), cfg.mu0)
-        sigma = np.full(len(teams), cfg.sigma0)
+        _, first = np.unique(code, return_index=True)
+        mu, sigma = pdf["mu"].to_numpy()[first].copy(), pdf["sigma"].to_numpy()[first].copy()
         rank = pdf["model_rank"].to_numpy(dtype="float64", na_value=np.nan)
         weight = pdf["weight"].to_numpy()
         extra = pdf["extra_var"].to_numpy()
@@ -230,56 +230,68 @@ def _replay_pool(cfg: RatingConfig, sigma_max: float | None):
             out[2, lo:hi], out[3, lo:hi] = mu[who], sigma[who]
         for i, name in enumerate(_STATE):
             pdf[name] = out[i]
+        pdf["leaves"] = pdf["next_batch"].notna() & ~pdf["team_id"].duplicated(keep="last")
         return pdf
 
     return fold
 
 
-def _replay_waves(entries: DataFrame, pool: str, cfg: RatingConfig, sigma_max: float | None) -> DataFrame:
-    """Replay run by run: wave k updates the k-th run of every pool as one distributed plan.
+def _update_level(now: DataFrame, pool: str, cfg: RatingConfig, sigma_max: float | None) -> DataFrame:
+    """All runs of one level at once: no team starts twice, so the order among them doesn't matter."""
+    if sigma_max is not None:
+        grown = F.least(F.lit(sigma_max), F.sqrt(F.col("sigma") * F.col("sigma") + F.col("extra_var")))
+        now = now.withColumn("sigma", F.when(F.col("extra_var") > 0, grown).otherwise(F.col("sigma")))
+    moved = pl_update(now.filter("model_rank is not null").withColumnRenamed("model_rank", "rank_in"), [pool, "run_id"], cfg)
+    kept = now.filter("model_rank is null").select("*", F.col("mu").alias("new_mu"), F.col("sigma").alias("new_sigma"))
+    step = moved.withColumnRenamed("rank_in", "model_rank").unionByName(kept)
+    step = step.withColumnsRenamed({"mu": "prev_mu", "sigma": "prev_sigma"}).withColumnsRenamed({"new_mu": "mu", "new_sigma": "sigma"})
+    return step.withColumn("leaves", F.col("next_batch").isNotNull())
 
-    State and history of each wave are tables in shared storage, so lineage stays one wave long
-    and a lost executor costs at most one wave.
+
+def run_levels(entries: DataFrame, pool: str = "pool") -> DataFrame:
+    """Level of every run: pool, run_id, level, entries (rows of the run); stored.
+
+    A run is one level after the runs of the same day that a team of it came from, and all runs of a day are after those of earlier days. So no team
+    starts twice in a level, and runs of all pools and places share one. There are as many levels as days, times the most runs that depend on each
+    other within a day: the graph has an edge from each team's run to its next one, and longest paths are only followed inside a day.
     """
-    spark = entries.sparkSession
-    entries = materialize(entries.withColumn("wave", F.col("run_seq")), "field", ["wave"])
-    last = entries.agg(F.max("wave")).first()[0] or 0
-    history = new_path(spark, "history")
-    state = entries.select(pool, "team_id").distinct().select(
-        pool, "team_id", F.lit(cfg.mu0).alias("mu"), F.lit(cfg.sigma0).alias("sigma")
-    )
-    state = materialize(state, "state")
-    for k in range(1, last + 1):
-        now = entries.filter(F.col("wave") == k).drop("wave").join(state, [pool, "team_id"])
-        if sigma_max is not None:
-            grown = F.least(F.lit(sigma_max), F.sqrt(F.col("sigma") * F.col("sigma") + F.col("extra_var")))
-            now = now.withColumn("sigma", F.when(F.col("extra_var") > 0, grown).otherwise(F.col("sigma")))
-        moved = pl_update(
-            now.filter("model_rank is not null").withColumnRenamed("model_rank", "rank_in"), [pool, "run_id"], cfg
-        ).withColumnRenamed("rank_in", "model_rank")
-        kept = now.filter("model_rank is null").select(
-            "*", F.col("mu").alias("new_mu"), F.col("sigma").alias("new_sigma")
-        )
-        step = moved.unionByName(kept)
-        (
-            step.withColumnRenamed("mu", "prev_mu").withColumnRenamed("sigma", "prev_sigma")
-            .withColumnRenamed("new_mu", "mu").withColumnRenamed("new_sigma", "sigma")
-            .select(pool, *_FIELD, *_STATE)
-            .write.parquet(f"{history}/wave={k}")
-        )
-        done = spark.read.parquet(f"{history}/wave={k}").select(
-            pool, "team_id", F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma")
-        )
-        state = materialize(
-            state.join(done, [pool, "team_id"], "left").select(
-                pool, "team_id",
-                F.coalesce("_mu", "mu").alias("mu"), F.coalesce("_sigma", "sigma").alias("sigma"),
-            ),
-            "state",
-        )
-    if last == 0:
-        return entries.drop("wave").select(pool, *_FIELD, *[F.lit(0.0).alias(c) for c in _STATE])
-    return spark.read.parquet(history).drop("wave")
+    career = Window.partitionBy(pool, "team_id").orderBy("run_seq")
+    runs = entries.groupBy(pool, "run_id").agg(F.min("date").alias("day"), F.count(F.lit(1)).alias("entries"))
+    day = F.coalesce(F.datediff("day", F.lit("1970-01-01")), F.lit(-(1 << 30)))
+    runs = materialize(runs.withColumn("day", day), "runs")
+    steps = entries.select(pool, "run_id", F.lag("run_id").over(career).alias("before")).filter("before is not null").distinct()
+    steps = steps.join(runs.select(pool, "run_id", "day"), [pool, "run_id"]).join(
+        runs.select(pool, F.col("run_id").alias("before"), F.col("day").alias("day_before")), [pool, "before"])
+    steps = materialize(steps, "run-steps")
+    if not steps.filter("day < day_before").isEmpty():
+        raise ValueError("run_seq is not in the order of the dates")
+    edges = steps.filter("day = day_before").select(pool, "run_id", "before")
+    depth = runs.withColumn("depth", F.lit(0))
+    busy = not edges.isEmpty()
+    while busy:
+        ahead = edges.join(depth.select(pool, F.col("run_id").alias("before"), (F.col("depth") + 1).alias("least")), [pool, "before"])
+        ahead = ahead.groupBy(pool, "run_id").agg(F.max("least").alias("least"))
+        moved = materialize(depth.join(ahead, [pool, "run_id"], "left").select(
+            pool, "run_id", "day", "entries", F.greatest("depth", F.coalesce("least", F.lit(0))).alias("depth"),
+            F.coalesce(F.col("least") > F.col("depth"), F.lit(False)).alias("moved")), "depths")
+        busy = not moved.filter("moved").isEmpty()
+        depth = moved.drop("moved")
+    # One row per level, so this window is as long as the calendar.
+    levels = depth.groupBy("day", "depth").count().select("day", "depth", F.row_number().over(Window.orderBy("day", "depth")).alias("level"))
+    return materialize(depth.join(levels, ["day", "depth"]).select(pool, "run_id", "level", "entries"), "levels")
+
+
+def _batches(spark, levels: DataFrame, most: int) -> tuple[DataFrame, list[tuple[int, bool]]]:
+    """Levels in order, as many together as have at most ``most`` entries; a larger level stands alone. Returns (level, batch), and of each batch its number and
+    whether it is such a level. The driver sees one count per level."""
+    rows, made, held = [], [], 0
+    for level, n in sorted(levels.groupBy("level").agg(F.sum("entries")).collect()):
+        if not made or held + n > most:
+            made.append((len(made), n > most))
+            held = 0
+        held += n
+        rows.append((level, made[-1][0]))
+    return spark.createDataFrame(rows, "level int, batch int"), made
 
 
 def replay(
@@ -288,24 +300,53 @@ def replay(
     *,
     pool: str = "pool",
     sigma_max: float | None = None,
-    group_limit: int = 2_000_000,
+    batch_entries: int = 100_000,
 ) -> DataFrame:
     """Sequential replay over ordered runs (R3): one row per entrant with the state before and after.
 
-    Pools are independent. A pool of at most ``group_limit`` entries is folded in one task; larger
-    ones go run by run as distributed plans. Both give the same values.
+    Runs that share no team need no order, so the replay goes by levels of the run graph (``run_levels``), over all pools at once. A level is one
+    distributed update of all its runs (``pl_update``), however many entries a pool or a run has. Levels too small for a job of their own are taken together, up to
+    ``batch_entries`` entries, and folded run by run inside each pool: no task ever gets more than that. Both give the same values. A batch reads its own
+    rows and the states that earlier batches addressed to it, writes its history and the states of the teams that moved, addressed to the next batch they
+    start in, and drops what it read. ``run_seq`` orders the runs of a pool and must follow their dates.
     """
+    spark = entries.sparkSession
     entries = materialize(entries.select(pool, *_FIELD), "entries")
-    sizes = entries.groupBy(pool).count()
-    large = sizes.filter(F.col("count") > group_limit).select(pool)
-    schema = entries.select(pool, *_FIELD).schema
-    for name in _STATE:
-        schema = schema.add(name, "double")
-    if large.isEmpty():
-        return entries.groupBy(pool).applyInPandas(_replay_pool(cfg, sigma_max), schema)
-    small = entries.join(large, pool, "left_anti").groupBy(pool).applyInPandas(_replay_pool(cfg, sigma_max), schema)
-    waves = _replay_waves(entries.join(large, pool, "left_semi"), pool, cfg, sigma_max)
-    return small.unionByName(waves.select(*schema.fieldNames()))
+    levels = run_levels(entries, pool)
+    plan, batches = _batches(spark, levels, batch_entries)
+    numbered = entries.join(levels.join(plan, "level").select(pool, "run_id", "batch"), [pool, "run_id"])
+    later = Window.partitionBy(pool, "team_id").orderBy("batch").rangeBetween(1, Window.unboundedFollowing)
+    numbered = materialize(numbered.withColumn("next_batch", F.min("batch").over(later)), "batched", ["batch"])
+    history, mail = new_path(spark, "history"), new_path(spark, "states")
+    columns = [pool, *_FIELD, *_STATE]
+    state = numbered.select(pool, "team_id", F.lit(0.0).alias("_mu"), F.lit(0.0).alias("_sigma")).schema
+    for number, alone in batches:
+        now = numbered.filter(F.col("batch") == number).drop("batch")
+        sent = matching(spark, f"{mail}/sender=*/to={number}")
+        if sent:
+            now = now.join(spark.read.schema(state).parquet(*sent), [pool, "team_id"], "left")
+        else:
+            now = now.withColumns({"_mu": F.lit(None).cast("double"), "_sigma": F.lit(None).cast("double")})
+        now = now.select("*", F.coalesce("_mu", F.lit(cfg.mu0)).alias("mu"), F.coalesce("_sigma", F.lit(cfg.sigma0)).alias("sigma")).drop("_mu", "_sigma")
+        if alone:
+            done = _update_level(now, pool, cfg, sigma_max)
+        else:
+            schema = now.select(pool, *_FIELD, "next_batch", *[F.lit(0.0).alias(c) for c in _STATE], F.lit(True).alias("leaves")).schema
+            done = now.groupBy(pool).applyInPandas(_select_columns(_fold(cfg, sigma_max), schema.fieldNames()), schema)
+        written = f"{history}/batch={number}"
+        done.select(*columns, "next_batch", "leaves").write.parquet(written)
+        if number < len(batches) - 1:
+            on = spark.read.parquet(written).filter("leaves").select(
+                pool, "team_id", F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"), F.col("next_batch").alias("to"))
+            on.write.partitionBy("to").parquet(f"{mail}/sender={number}")
+        remove(spark, sent)
+    if not batches:
+        return entries.select("*", *[F.lit(0.0).alias(c) for c in _STATE])
+    return spark.read.parquet(history).select(*columns)
+
+
+def _select_columns(fn, names):
+    return lambda pdf: fn(pdf)[names]
 
 
 # ---------------------------------------------------------------- display values

@@ -26,10 +26,11 @@ def _parts(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFra
     return materialize(df.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def _with_starts(parts: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Attach to every row the sums over the parts of its group that come before; null keys are a group."""
+def _with_starts(parts: DataFrame, by: Sequence[str], sums: dict[str, Column], backwards: bool = False) -> DataFrame:
+    """Attach to every row the sums over the parts of its group that come before (after, if backwards); null keys are a group."""
     totals = parts.groupBy(*by, "_range").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = F.col("_range").desc() if backwards else F.col("_range")
+    before = Window.partitionBy(*by).orderBy(ranges).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *[F.col(b).alias(f"_k_{b}") for b in by], F.col("_range").alias("_q"),
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
@@ -47,14 +48,28 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     return placed.withColumn(name, F.col("_s_n") + F.row_number().over(local)).drop("_range", "_s_n")
 
 
-def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
-    """sum() over (partition by ``by`` order by ``order`` rows unbounded preceding)."""
-    parts = _parts(df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()]), by, order)
+def _sums_over(parts: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column], backwards: bool = False) -> DataFrame:
+    """Running sums over stored ranges; keeps _range for further sums. Backwards, ``order`` is the reverse of the order of the ranges."""
+    parts = parts.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
     local = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _with_starts(parts, by, {n: F.sum(f"_v_{n}") for n in sums})
+    out = _with_starts(parts, by, {n: F.sum(f"_v_{n}") for n in sums}, backwards)
     for n in sums:
         out = out.withColumn(n, F.col(f"_s_{n}") + F.sum(f"_v_{n}").over(local))
-    return out.drop("_range", *[f"_v_{n}" for n in sums], *[f"_s_{n}" for n in sums])
+    return out.drop(*[f"_v_{n}" for n in sums], *[f"_s_{n}" for n in sums])
+
+
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """sum() over (partition by ``by`` order by ``order`` rows unbounded preceding)."""
+    return _sums_over(_parts(df, by, order), by, order, sums).drop("_range")
+
+
+def sums_back_and_forth(df: DataFrame, by: Sequence[str], order: str, back: dict[str, Column], forth: dict[str, Column]) -> DataFrame:
+    """Sums from the end of the group to the row, then sums of expressions over these from its start to the row, on one stored range table.
+
+    ``order`` is unique within a group.
+    """
+    parts = _sums_over(_parts(df, by, [F.col(order)]), by, [F.col(order).desc()], back, True)
+    return _sums_over(parts, by, [F.col(order)], forth).drop("_range")
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str) -> DataFrame:

@@ -56,7 +56,6 @@ def recalculate(
     rank_mode: str = "source",
     eliminated: str = "last",
     old: DataFrame | None = None,
-    group_limit: int = 2_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """``teams`` has ``team_id`` and ``size_group``; every team comes out, rated or reset.
 
@@ -64,7 +63,7 @@ def recalculate(
     """
     field = rated_field(live_window(results, cfg.live_window_days), cfg, pool=pool,
                         rank_mode=rank_mode, eliminated=eliminated)
-    history = replay(field, cfg, pool=pool, group_limit=group_limit)
+    history = replay(field, cfg, pool=pool)
     history = materialize(history, "replayed")
     rank = "rank" if rank_mode == "source" else "model_rank"
     states = team_states(history, ["team_id"], rank)

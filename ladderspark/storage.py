@@ -61,6 +61,20 @@ def overwrite_table(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders and files whose path fits the pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found] if found else []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _tables: dict[tuple[str, str, str], DataFrame] = {}
 
 

@@ -81,22 +81,71 @@ def test_rank_ranges(spark):
     assert np.allclose(whole, cut, atol=1e-9)
 
 
-def test_waves_equal_grouped_replay(spark):
-    d = field(spark, random_field())
-    cols = ["pool", "run_id", "team_id", "prev_mu", "prev_sigma", "mu", "sigma"]
-    key = lambda r: r[:3]
-    for cap in (None, 8.333):
-        one = sorted((tuple(r) for r in R.replay(d, CFG, sigma_max=cap).select(cols).collect()), key=key)
-        two = sorted((tuple(r) for r in R.replay(d, CFG, sigma_max=cap, group_limit=0).select(cols).collect()), key=key)
-        assert [r[:3] for r in one] == [r[:3] for r in two]
-        assert np.allclose([r[3:] for r in one], [r[3:] for r in two], atol=1e-9)
-
-
-def test_mixed_pool_sizes(spark):
+def sequential(rows, sigma_max=None):
+    """Run after run, in plain Python."""
+    state, out = {}, []
+    for pool, seq in sorted({(r[0], r[2]) for r in rows}):
+        runs = [r for r in rows if (r[0], r[2]) == (pool, seq)]
+        for r in runs:
+            m, s = state.get((pool, r[3]), (CFG.mu0, CFG.sigma0))
+            state[pool, r[3]] = (m, min(sigma_max, math.sqrt(s * s + r[9])) if sigma_max and r[9] > 0 else s)
+        before = {r[3]: state[pool, r[3]] for r in runs}
+        ranked = [r for r in runs if r[7] is not None]
+        after = brute([before[r[3]][0] for r in ranked], [before[r[3]][1] for r in ranked], [r[7] for r in ranked])
+        for r, (m, s) in zip(ranked, after):
+            mu, sigma = before[r[3]]
+            state[pool, r[3]] = (mu + r[8] * (m - mu), max(CFG.sigma_min, (sigma + r[8] * (s - sigma)) * CFG.sigma_decay))
+        out += [(pool, r[1], r[3], *before[r[3]], *state[pool, r[3]]) for r in runs]
+    return sorted(out)
+
+
+def meeting_rows(days=6, pools=("hot", "b"), seed=3):
+    """Several runs a day; some share teams, some are at other places. The pool "hot" has most of the entries."""
+    import datetime
+
+    rnd, rows = random.Random(seed), []
+    for pool in pools:
+        seq, teams = 0, 60 if pool == "hot" else 12
+        for day in range(days):
+            for place in range(4 if pool == "hot" else 1):
+                here = range(place * teams // 4, (place + 2) * teams // 4) if pool == "hot" else range(teams)
+                for _ in range(rnd.choice([1, 2, 3])):
+                    seq += 1
+                    for t in rnd.sample(here, min(len(here), 10)):
+                        rank = rnd.choice([1, 2, 3, 4, None])
+                        rows.append((pool, 1000 + seq, seq, t, datetime.date(2024, 1, 1 + day * 3), rank, False, rank, rnd.choice([1.0, 1.2]), rnd.choice([0.0, 0.5])))
+    return rows
+
+
+@pytest.mark.parametrize("rows,cap,entries", [
+    (random_field(), None, 100_000), (random_field(), 8.333, 20), (random_field(), None, 0), (meeting_rows(), 8.333, 100_000), (meeting_rows(), None, 60), (meeting_rows(3), 8.4, 0),
+])
+def test_replay_by_levels_equals_run_after_run(spark, rows, cap, entries):
+    got = R.replay(field(spark, rows), CFG, sigma_max=cap, batch_entries=entries).select("pool", "run_id", "team_id", "prev_mu", "prev_sigma", "mu", "sigma").collect()
+    got, want = sorted(map(tuple, got)), sequential(rows, cap)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-9)
+
+
+def test_levels_of_the_run_graph(spark):
+    rows = meeting_rows()
+    got = {(r.pool, r.run_id): r.level for r in R.run_levels(field(spark, rows)).collect()}
+    last, longest = {}, {}
+    for pool, seq, day in sorted({(r[0], r[2], r[4]) for r in rows}):
+        teams = [r[3] for r in rows if (r[0], r[2]) == (pool, seq)]
+        longest[pool, 1000 + seq] = (day, max([longest[last[pool, t]][1] + 1 for t in teams if (pool, t) in last and longest[last[pool, t]][0] == day], default=0))
+        for t in teams:
+            last[pool, t] = (pool, 1000 + seq)
+    order = {x: i + 1 for i, x in enumerate(sorted(set(longest.values())))}
+    assert got == {run: order[x] for run, x in longest.items()}
+    assert len(order) < len(longest)
+
+
+def test_replay_of_nothing_and_of_wrong_order(spark):
     rows = random_field()
-    extra = [r for r in random_field(runs=2) if r[0] == "b"]
-    d = field(spark, [r for r in rows if r[0] == "a"] + extra)
-    assert R.replay(d, CFG, group_limit=30).count() == d.count()
+    assert R.replay(field(spark, rows).limit(0), CFG).count() == 0
+    with pytest.raises(ValueError):
+        R.replay(field(spark, [(*r[:2], 100 - r[2], *r[3:]) for r in rows]), CFG)
 
 
 def test_display_values(spark):
