@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["contests", "boards", "names", "values", "identity", "judges", "rows", "sources"]
+_MODULES = ["contests", "boards", "names", "values", "identity", "judges", "rows", "sources", "imports"]
 
 
 def load():

@@ -11,7 +11,6 @@ from ladderspark.functions import values as V
 from ladderspark.functions.names import normalize_name
 from ladderspark.operators import stats as S
 from ladderspark.plans.contests import results, table
-from ladderspark.plans.importing import import_results
 from ladderspark.plans.normalize import normalize_source
 from ladderspark.schema import CANONICAL, LEADERBOARD, strings
 from ladderspark.sources import csv_files as C
@@ -244,42 +243,3 @@ def typed_text_records(spark, sf):
                     F.when(out, "DISQ (R)").otherwise(F.concat(s(c("o_custkey") % 60), F.lit(".00 s"))), F.lit("\n5.50 TP\n6.12 m/s\nEXC_0\n"))
     d = H.text_block_records(table(spark, sf, "orders").select(c("o_orderkey").alias("k"), body.alias("text")), "k", "text", "^(\\d+º|-)$")
     return H.typed_record(d).drop("record_no")
-
-
-# -------------------------------------------------------------- import
-
-IMPORT = f"""SELECT o_orderkey AS _seq, o_orderkey AS line, 'file' || CAST(CAST(floor(o_orderkey / 25) AS BIGINT) AS STRING) AS file, 'comp' || CAST(CAST(floor(o_orderkey / 25) AS BIGINT) AS STRING) AS slug, 'r' || CAST(o_orderkey % 2 AS STRING) AS round_key,
-  CASE WHEN o_orderkey % 499 = 0 THEN '' ELSE first || ' ' || last || ' ' || tag END AS handler, 'N' || CAST(nk AS STRING) AS country, 'Rex ' || tag AS dog, 'agility' AS discipline, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 100 < 25 THEN 'Huge' ELSE 'L' END AS size,
-  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CAST(o_orderkey % 25 + 1 AS STRING) END AS rank, 'false' AS eliminated, '' AS is_team_round, CAST(NULL AS STRING) AS date, CAST(NULL AS STRING) AS run_number, 'J' AS judge,
-  '5' AS faults, '' AS refusals, '' AS time_faults, '5' AS total_faults, '30.5' AS time, '' AS speed, o_custkey FROM {{orders}} JOIN ({PEOPLE}) ON k = o_custkey"""
-IMPORT_SQL = f"""i AS (SELECT *, {norm_sql('handler')} AS hn FROM {text(IMPORT)}),
-  dup AS (SELECT *, row_number() OVER (PARTITION BY file, round_key, handler, dog ORDER BY line) AS n FROM i),
-  bad AS (SELECT file, COUNT(*) AS errors FROM (SELECT file FROM dup WHERE handler = '' UNION ALL SELECT file FROM dup WHERE n > 1 AND handler <> '') GROUP BY 1),
-  ok AS (SELECT *, rank = '' AS out FROM i WHERE file NOT IN (SELECT file FROM bad)),
-  rated AS (SELECT * FROM ok WHERE size = 'L')"""
-
-
-def _imported(spark, sf):
-    rows = frame(spark, sf, IMPORT)
-    comps = rows.select("slug").distinct().select("slug", F.lit("FCI").alias("organization"), F.lit("2024-05-01").cast("date").alias("comp_date"))
-    people = frame(spark, sf, f"SELECT k AS id, first || ' ' || last || ' ' || tag AS name, 'N' || CAST(nk AS STRING) AS country FROM ({PEOPLE}) WHERE nk < 20")
-    people = people.select("id", "name", normalize_name(c("name")).alias("norm"), "country")
-    none = people.filter("false")
-    ents = none.select("id", c("norm").alias("call_norm"), c("norm").alias("reg_norm"), c("norm").alias("size"))
-    alias = none.select(c("name").alias("alias_name"), c("id").alias("canonical_id"))
-    teams = none.select(c("id").alias("team_id"), c("id").alias("handler_id"), c("id").alias("entity_id"), F.lit(25.0).alias("mu"), F.lit(8.3).alias("sigma"))
-    return import_results(rows, comps, people, alias, ents, alias, teams, CFG, comps.filter("false"))
-
-
-@query(f"""WITH {IMPORT_SQL} SELECT i.file, COUNT(*) AS row_count, coalesce(any_value(b.errors), 0) AS errors_count,
-  CASE WHEN any_value(b.errors) IS NOT NULL THEN 'Rejected' WHEN COUNT(*) FILTER (rank = '') > 0 OR COUNT(*) FILTER (size = 'Huge') > 0 THEN 'PartialWarning' ELSE 'Success' END AS status,
-  CASE WHEN any_value(b.errors) IS NULL THEN COUNT(DISTINCT hn) FILTER (size = 'L') ELSE 0 END AS teams FROM i LEFT JOIN bad b USING (file) GROUP BY i.file""")
-def import_log(spark, sf):
-    return _imported(spark, sf).log.select("file", "row_count", "errors_count", "status", "teams")
-
-
-@query(f"""WITH {IMPORT_SQL}, r AS (SELECT slug, round_key, row_number() OVER (ORDER BY slug, round_key) AS run_id FROM rated GROUP BY slug, round_key)
-  SELECT run_id, _seq, CASE WHEN NOT out THEN CAST(rank AS INTEGER) END AS rank, out AS eliminated, 5.0::DOUBLE AS faults, 30.5::DOUBLE AS time FROM rated JOIN r USING (slug, round_key)
-  QUALIFY row_number() OVER (PARTITION BY run_id, hn ORDER BY _seq) = 1""")
-def import_results_query(spark, sf):
-    return _imported(spark, sf).results.select("run_id", "_seq", "rank", "eliminated", "faults", "time")

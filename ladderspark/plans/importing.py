@@ -4,25 +4,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
+from ladderspark.functions import names as N
 from ladderspark.functions.names import strip
 from ladderspark.functions.values import map_category
+from ladderspark.operators import first_come as FC
 from ladderspark.operators import identity as I
+from ladderspark.operators.rounds import unique_slugs
 from ladderspark.operators.scan import first_rows, row_numbers
 from ladderspark.operators.validate import DISCIPLINES, accept_or_reject, repair_rank, validate_results
-from ladderspark.storage import materialize
+from ladderspark.storage import commit_tables, materialize, read_tables, version
+
+
+TABLES = ["competitions", "handlers", "handler_aliases", "entities", "entity_aliases", "teams", "runs", "results"]
 
 
 @dataclass
 class ImportResult:
-    runs: DataFrame
-    results: DataFrame
-    teams: DataFrame
-    handlers: DataFrame
-    entities: DataFrame
+    """``tables`` holds all tables after the import, by the names of TABLES; ``log`` and ``messages`` are about this import alone."""
+
+    tables: dict[str, DataFrame]
     log: DataFrame
     messages: DataFrame
 
@@ -41,15 +45,30 @@ def import_log(rows: DataFrame, errors: DataFrame, warnings: DataFrame, counts:
     return d.withColumn("status", status).na.fill(0)
 
 
-def import_results(
-    rows: DataFrame, comps: DataFrame, handlers: DataFrame, handler_alias: DataFrame, entities: DataFrame,
-    entity_alias: DataFrame, teams: DataFrame, cfg: RatingConfig, known: DataFrame,
-) -> ImportResult:
+def _new_entities(found: DataFrame, breeds: DataFrame) -> DataFrame:
+    """Stored form of the created entities: display names like the normalized ones (three or more words without a call name are a registered name)."""
+    d = found.filter("stage = 'new'").withColumn("_x", N.extract_call_name(F.col("clean")))
+    call, registered = F.col("_x.call_name"), F.col("_x.registered_name")
+    long = call.isNull() & (F.size(F.split("clean", " ")) >= 3)
+    shown = F.when(long, F.col("clean")).otherwise(F.coalesce(registered, F.when(call.isNotNull(), F.col("clean"))))
+    return d.select("id", "_seq", F.when(long, F.lit("")).otherwise(F.coalesce(call, "clean")).alias("call_name"), shown.alias("registered_name"), "size").join(breeds, "_seq", "left")
+
+
+def _with_slugs(d: DataFrame, text: Column, order: str, existing: DataFrame) -> DataFrame:
+    slugged = unique_slugs(d.withColumn("_base", N.slugify(text)), "_base", order, existing.filter("slug is not null").select("slug"))
+    return slugged.drop("_base")
+
+
+def import_results(rows: DataFrame, comps: DataFrame, tables: dict[str, DataFrame], cfg: RatingConfig) -> ImportResult:
     """Validate, create runs, resolve identities, write results, log.
 
-    ``rows`` are string rows with ``file, slug, line, _seq``; ``comps`` gives ``slug, organization, date``.
-    All files are imported by one plan, every step keyed on names or ids instead of one row at a time.
+    ``rows`` are string rows with ``file, slug, line, _seq``; ``comps`` gives ``slug, organization, comp_date``; ``tables`` the stored ones:
+    competitions (slug), handlers (id, name, norm, country, slug), handler_aliases (alias_name, canonical_id, source), entities (id, call_name, registered_name, call_norm,
+    reg_norm, breed, size), entity_aliases (with type), teams (team_id, handler_id, entity_id, slug, mu, sigma), and runs and results if there are any.
+    All files are imported by one plan. A row sees what earlier rows created, by ``_seq``. A known or unknown competition rejects its file.
     """
+    handlers, entities, teams = tables["handlers"], tables["entities"], tables["teams"]
+    known = tables["competitions"]
     rows, errors = validate_results(rows)
     again = rows.join(known.select("slug"), "slug", "left_semi").groupBy("file", "slug").agg(F.min("line").alias("line"))
     missing = rows.join(comps.select("slug"), "slug", "left_anti").groupBy("file", "slug").agg(F.min("line").alias("line"))
@@ -67,8 +86,9 @@ def import_results(
     skipped = first.filter("mapped is null").select("file", "line", F.concat(
         F.lit("Round '"), F.col("round_key"), F.lit("': size category '"), F.col("size"),
         F.when(F.col("excluded"), F.lit("' is excluded.")).otherwise(F.lit("' is unknown."))).alias("message"))
-    runs = row_numbers(usable, [], [F.col("slug"), F.col("round_key")], "run_id").select(
-        "run_id", "slug", "round_key", F.coalesce(F.col("date").try_cast("date"), F.col("comp_date")).alias("date"),
+    top_run = tables["runs"].agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] if "runs" in tables else 0
+    runs = row_numbers(usable, [], [F.col("slug"), F.col("round_key")], "_n").select(
+        (F.col("_n") + top_run).alias("run_id"), "slug", "round_key", F.coalesce(F.col("date").try_cast("date"), F.col("comp_date")).alias("date"),
         F.coalesce(F.col("run_number").try_cast("int"), F.lit(1)).alias("run_number"), F.col("mapped").alias("size"),
         F.initcap("discipline").alias("discipline"), (F.lower("is_team_round") == "true").alias("is_team_round"), "judge",
         F.when(F.col("mapped") != F.col("size"), F.col("size")).alias("original_size"),
@@ -76,22 +96,32 @@ def import_results(
     runs = materialize(runs, "runs")
 
     rated = ok.filter("mapped is not null").join(runs.select("slug", "round_key", "run_id"), ["slug", "round_key"])
-    rated = materialize(rated, "rated")
-    who = I.resolve_handlers(rated.select(F.col("handler").alias("raw"), F.coalesce("country", F.lit("")).alias("country"), "_seq"), handlers, handler_alias)
-    who = materialize(who, "who")
-    people = handlers.unionByName(I.new_handlers(who).select(handlers.columns))
-    d = rated.withColumn("country", F.coalesce("country", F.lit(""))).join(
-        who.select(F.col("raw").alias("handler"), "country", "handler_id", F.col("stage").alias("handler_stage")), ["handler", "country"])
+    breed = F.nullif(strip(F.col("breed")), F.lit("")) if "breed" in rated.columns else F.lit(None).cast("string")
+    filled = {c: F.coalesce(c, F.lit("")) for c in ("country", "handler", "dog")}
+    rated = materialize(rated.withColumns({**filled, "breed": breed}), "rated")
+    who, created, name_aliases = FC.resolve_handlers(rated.select(F.col("handler").alias("raw"), "country", "_seq"), handlers, tables["handler_aliases"])
+    created = _with_slugs(created, F.col("name"), "id", handlers)
+    slugs = handlers.select("id", "slug").union(created.select("id", "slug"))
+    people = I.backfill_handlers(handlers.select("id", "name", "norm", "country").unionByName(created.drop("slug")), who).join(slugs, "id")
+    people = materialize(people.select("id", "name", "norm", "country", "slug"), "handlers")
+    d = materialize(rated.join(who.select(F.col("raw").alias("handler"), "country", "handler_id", F.col("stage").alias("handler_stage")), ["handler", "country"]), "handled")
     owned = teams.select("handler_id", F.col("entity_id").alias("id"))
-    found = I.resolve_entities(d.select("handler_id", F.col("dog").alias("raw"), F.col("mapped").alias("size"), "_seq"), entities, owned, entity_alias)
-    found = materialize(found, "found")
-    top = entities.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-    created, new_dim = I.new_entities(found, top)
-    ids = found.filter("stage <> 'new'").unionByName(created)
-    d = d.join(ids.select("handler_id", F.col("raw").alias("dog"), F.col("size").alias("mapped"), F.col("id").alias("entity_id"), F.col("stage").alias("entity_stage")),
+    call_names = tables["entity_aliases"].filter("type = 'CallName'")
+    found, fresh, dog_aliases = FC.resolve_entities(d.select("handler_id", F.col("dog").alias("raw"), F.col("mapped").alias("size"), "_seq"), entities, owned, call_names)
+    d = d.join(found.select("handler_id", F.col("raw").alias("dog"), F.col("size").alias("mapped"), F.col("id").alias("entity_id"), F.col("stage").alias("entity_stage")),
                ["handler_id", "dog", "mapped"])
     d = materialize(d, "identified")
-    all_teams = materialize(I.resolve_teams(d.select("handler_id", "entity_id"), teams, cfg), "teams")
+    shown = _new_entities(found, d.select("_seq", "breed")).drop("_seq")
+    norms = entities.select("id", "call_norm", "reg_norm").union(fresh.select("id", "call_norm", "reg_norm"))
+    again = d.join(found.select("handler_id", F.col("raw").alias("dog"), F.col("size").alias("mapped"), "clean"), ["handler_id", "dog", "mapped"])
+    dogs = entities.select("id", "call_name", "registered_name", "size", "breed").unionByName(shown)
+    dogs = I.backfill_entities(dogs, again.select(F.col("entity_id").alias("id"), F.col("clean").alias("name"), "breed", "_seq")).join(norms, "id")
+    dogs = materialize(dogs.select("id", "call_name", "registered_name", "call_norm", "reg_norm", "breed", "size"), "dogs")
+    all_teams = materialize(I.resolve_teams(d.select("handler_id", "entity_id"), teams.drop("slug"), cfg), "teams")
+    named = all_teams.join(teams.select("team_id"), "team_id", "left_anti").join(people.select(F.col("id").alias("handler_id"), "name"), "handler_id").join(
+        dogs.select(F.col("id").alias("entity_id"), "call_name"), "entity_id")
+    named = _with_slugs(named, F.concat_ws(" ", "name", "call_name"), "team_id", teams)
+    team_slugs = teams.select("team_id", "slug").union(named.select("team_id", "slug"))
     d = d.join(all_teams.select("handler_id", "entity_id", "team_id"), ["handler_id", "entity_id"])
     d = d.withColumn("out", F.lower(strip(F.col("eliminated"))) == "true")
     results = first_rows(d.select(
@@ -99,8 +129,8 @@ def import_results(
         *[F.col(c).try_cast("double").alias(c) for c in ("faults", "refusals", "time_faults", "total_faults", "time", "speed")],
         *[F.nullif(strip(F.col(c)), F.lit("")).alias(c) for c in ("start_no",) if c in d.columns],
     ), ["run_id", "team_id"], F.col("_seq"))
-    fresh = all_teams.join(teams.select("team_id"), "team_id", "left_anti").select("team_id", F.lit(1).alias("_new"))
-    counts = d.join(fresh, "team_id", "left").groupBy("file").agg(
+    new_team = all_teams.join(teams.select("team_id"), "team_id", "left_anti").select("team_id", F.lit(1).alias("_new"))
+    counts = d.join(new_team, "team_id", "left").groupBy("file").agg(
         F.count_distinct("handler_id").alias("handlers"), F.count_distinct("entity_id").alias("entities"), F.count_distinct("team_id").alias("teams"),
         F.count_distinct(F.when(F.col("handler_stage") == "new", F.col("handler_id"))).alias("new_handlers"),
         F.count_distinct(F.when(F.col("entity_stage") == "new", F.col("entity_id"))).alias("new_entities"),
@@ -109,4 +139,21 @@ def import_results(
     log = import_log(rows, errors, warnings, counts)
     messages = errors.select(F.lit("error").alias("kind"), "file", "line", "message").unionByName(
         warnings.select(F.lit("warning").alias("kind"), "file", "line", "message"))
-    return ImportResult(runs, results, all_teams, people, entities.unionByName(new_dim.select(entities.columns)), log, messages)
+    after = {
+        "competitions": known.select("slug").union(ok.select("slug").distinct()), "handlers": people, "entities": dogs,
+        "handler_aliases": tables["handler_aliases"].select("alias_name", "canonical_id", "source").union(name_aliases.select("alias_name", "canonical_id", "source")),
+        "entity_aliases": tables["entity_aliases"].select("alias_name", "canonical_id", "type", "source").union(
+            dog_aliases.select("alias_name", "canonical_id", F.lit("CallName"), "source")),
+        "teams": all_teams.join(team_slugs, "team_id").select("team_id", "handler_id", "entity_id", "slug", "mu", "sigma"),
+        "runs": tables["runs"].unionByName(runs, allowMissingColumns=True) if "runs" in tables else runs,
+        "results": tables["results"].unionByName(results, allowMissingColumns=True) if "results" in tables else results,
+    }
+    return ImportResult(after, log, messages)
+
+
+def import_files(spark: SparkSession, root: str, rows: DataFrame, comps: DataFrame, cfg: RatingConfig) -> ImportResult:
+    """Import into the tables stored under root and commit all of them at once; a commit of somebody else meanwhile is an error and changes nothing."""
+    at = version(spark, root)
+    done = import_results(rows, comps, read_tables(spark, root), cfg)
+    commit_tables(spark, root, done.tables, based_on=at)
+    return ImportResult(read_tables(spark, root), done.log, done.messages)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,42 +39,107 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def overwrite_table(df: DataFrame, path: str) -> DataFrame:
-    """Replace all rows of a derived table.
+# ---------------------------------------------------------------- tables that are replaced together
+
+END = "end"  # last line of a commit; without it the commit isn't there yet
+_COMMITS = "_commits"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    found = matching(spark, f"{root}/{_COMMITS}/*.commit")
+    return sorted(((int(f.rsplit("/", 1)[1].split(".")[0]), f) for f in found), reverse=True)
+
+
+def _read_commit(spark: SparkSession, file: str) -> dict[str, dict] | None:
+    """Table -> folder and schema; None if the commit is not complete."""
+    fs, path = _fs(spark, file)
+    stream = fs.open(path)
+    try:
+        lines = bytes(stream.readAllBytes()).decode("utf-8").split("\n")
+    finally:
+        stream.close()
+    return {t["name"]: t for t in map(json.loads, lines[:-1])} if lines[-1] == END else None
+
 
-    The input may itself read the old table. The new rows are complete in a folder beside it before the folders are renamed; whatever
-    fails before that leaves the old table, and the old rows go last.
+def _current(spark: SparkSession, root: str) -> tuple[int, dict[str, dict]]:
+    for number, file in _commits(spark, root):
+        tables = _read_commit(spark, file)
+        if tables is not None:
+            return number, tables
+    return 0, {}
+
+
+def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All tables under root as of one commit. What is read later stays that commit's, whatever is committed meanwhile."""
+    _, tables = _current(spark, root)
+    return {n: spark.read.schema(StructType.fromJson(t["schema"])).parquet(f"{root}/{t['folder']}") for n, t in tables.items()}
+
+
+def commit_tables(spark: SparkSession, root: str, new: dict[str, DataFrame], *, based_on: int | None = None) -> int:
+    """Replace the given tables under root together, keep the others; returns the number of the commit.
+
+    The rows are complete in new folders before anything refers to them. Then one small file, which is created only if nobody else has created it, makes all of them
+    current at once: no folder is renamed, so this holds on object stores too. A reader sees the state before or after, never a mix. Whoever loses the race for the number
+    gets a FileExistsError and leaves no trace but unused folders; with ``based_on`` (a number from ``version``) this also holds for any commit since then.
     """
+    number, tables = _current(spark, root)
+    if based_on is not None and number != based_on:
+        raise FileExistsError(f"{root} is at commit {number}, not {based_on}")
+    highest = max([n for n, _ in _commits(spark, root)], default=0)
+    tables = dict(tables)
+    for name, df in new.items():
+        folder = f"data/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{root}/{folder}")
+        tables[name] = {"name": name, "folder": folder, "schema": df.schema.jsonValue()}
+    fs, path = _fs(spark, f"{root}/{_COMMITS}/{highest + 1:012d}.commit")
+    try:
+        stream = fs.create(path, False)
+    except Exception as e:
+        raise FileExistsError(f"another commit took number {highest + 1} of {root}") from e
+    try:
+        stream.write(bytearray("\n".join([*map(json.dumps, tables.values()), END]), "utf-8"))
+    finally:
+        stream.close()
+    return highest + 1
+
+
+def version(spark: SparkSession, root: str) -> int:
+    """Number of the current commit, 0 if there is none."""
+    return _current(spark, root)[0]
+
+
+def drop_old(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Delete commits before the last ``keep`` complete ones, and the folders that only they refer to. Readers of kept commits aren't disturbed."""
+    complete = [(n, f, t) for n, f in _commits(spark, root) if (t := _read_commit(spark, f)) is not None]
+    used = {t["folder"] for _, _, tables in complete[:keep] for t in tables.values()}
+    old = {t["folder"] for _, _, tables in complete[keep:] for t in tables.values()}
+    remove(spark, [f for _, f, _ in complete[keep:]] + [f"{root}/{f}" for f in old - used])
+
+
+def overwrite_table(df: DataFrame, path: str) -> DataFrame:
+    """Replace all rows of a derived table in one step (S10); the input may itself read the old table."""
     spark = df.sparkSession
-    mark = uuid.uuid4().hex[:12]
-    new, old = f"{path}-new-{mark}", f"{path}-old-{mark}"
-    df.write.parquet(new)
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = fs.exists(place(path))
-    if there and not fs.rename(place(path), place(old)):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(place(new), place(path)):
-        if there:
-            fs.rename(place(old), place(path))
-        raise OSError(f"cannot put the new table at {path}")
-    if there:
-        fs.delete(place(old), True)
-    return spark.read.schema(df.schema).parquet(path)
+    commit_tables(spark, path, {"table": df})
+    return read_tables(spark, path)["table"]
 
 
 def matching(spark: SparkSession, pattern: str) -> list[str]:
     """Folders and files whose path fits the pattern."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    fs, path = _fs(spark, pattern)
+    found = fs.globStatus(path)
     return [f.getPath().toString() for f in found] if found else []
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables that nothing reads any more."""
     for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _fs(spark, p)
+        fs.delete(path, True)
 
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
