@@ -265,3 +265,14 @@ def _suffix_sql():
 def known_suffixes(spark, sf):
     d = frame(spark, sf, SUFFIX).select("k", T.cut_known_suffix(c("raw")).alias("s")).select("k", "s.*")
     return d.withColumn("fixed", T.fix_truncated(c("suffix")))
+
+
+LAID = "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Rex ' || p_type WHEN 1 THEN p_type || ' Rex' WHEN 2 THEN 'Day of ' || p_name ELSE 'Day ' || lower(p_type) END AS raw FROM {part}"
+WORDS = "SELECT p_type AS value, MIN(p_partkey) AS place FROM {part} GROUP BY p_type UNION ALL SELECT DISTINCT split_part(p_name, ' ', 2), 1000000 FROM {part} WHERE p_partkey % 2 = 0"
+
+
+@query(f"""WITH w AS (SELECT value, MIN(place) AS place FROM {text(WORDS)} WHERE value <> '' GROUP BY 1), l AS (SELECT * FROM {text(LAID)}),
+  s AS (SELECT k, arg_min(value, (place, value)) AS v FROM l JOIN w ON starts_with(raw, value) GROUP BY 1), e AS (SELECT k, arg_max(value, length(value)) AS v FROM l JOIN w ON ends_with(raw, value) GROUP BY 1)
+  SELECT k, CASE WHEN s.v IS NOT NULL THEN '' WHEN e.v IS NOT NULL THEN trim(raw[1:length(raw) - length(e.v)]) ELSE raw END AS rest, coalesce(s.v, e.v, '') AS suffix FROM l LEFT JOIN s USING (k) LEFT JOIN e USING (k)""")
+def dictionary_suffixes(spark, sf):
+    return T.cut_known_suffix_of(frame(spark, sf, LAID), "raw", frame(spark, sf, WORDS)).select("k", "rest", "suffix")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderspark.functions.names import lookup, squeeze, strip
@@ -210,6 +210,35 @@ def cut_known_suffix(c: Column, known: list[str] | None = None) -> Column:
     )
 
 
+def _ends(text: Column, lengths: Column, from_start: bool) -> Column:
+    """The beginnings or ends of a text of the given lengths."""
+    fits = F.filter(lengths, lambda n: n <= F.length(text))
+    return F.transform(fits, lambda n: F.substring(text, F.lit(1) if from_start else F.length(text) - n + 1, n))
+
+
+def cut_known_suffix_of(df: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """``cut_known_suffix`` with a dictionary of any size: adds ``rest`` and ``suffix`` to df.
+
+    ``known`` has ``value`` and ``place``; of values at the start the one with the lowest place counts, of those at the end the longest. A text can only end
+    with a value of a length that occurs, so it asks for its beginnings and ends of these few lengths, by an equality join. Every distinct text is looked up once.
+    Null and empty values are left out; null texts give null.
+    """
+    words = known.filter("value <> ''").groupBy("value").agg(F.min("place").alias("place"))
+    found = words.agg(F.sort_array(F.collect_set(F.length("value")))).first()[0]  # no more numbers than the longest value has letters
+    lengths = F.array(*[F.lit(n) for n in found]).cast("array<int>")
+    texts = df.select(F.col(text).alias("_t")).filter("_t is not null").distinct()
+    asked = texts.select("_t", F.explode(F.concat(
+        F.transform(_ends(F.col("_t"), lengths, True), lambda v: F.struct(F.lit(True).alias("at_start"), v.alias("value"))),
+        F.transform(_ends(F.col("_t"), lengths, False), lambda v: F.struct(F.lit(False).alias("at_start"), v.alias("value"))))).alias("a"))
+    hits = asked.select("_t", "a.at_start", "a.value").join(words, "value").groupBy("_t").agg(
+        F.min_by("value", F.when(F.col("at_start"), F.struct("place", "value"))).alias("_start"),
+        F.max_by("value", F.when(~F.col("at_start"), F.length("value"))).alias("_end"))
+    rest = strip(F.expr("substring(_t, 1, length(_t) - length(_end))"))
+    found = hits.select("_t", F.when(F.col("_start").isNotNull(), "").otherwise(rest).alias("_rest"), F.coalesce("_start", "_end").alias("_suffix"))
+    d = df.join(found, df[text] == found["_t"], "left").drop("_t")
+    return d.withColumn("rest", F.coalesce("_rest", text)).withColumn("suffix", F.when(F.col(text).isNotNull(), F.coalesce("_suffix", F.lit("")))).drop("_rest", "_suffix")
+
+
 def fix_truncated(c: Column) -> Column:
     """Full form of a value cut by line wrapping."""
     return lookup(BREED_FIXES, c, c)

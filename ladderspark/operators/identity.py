@@ -98,30 +98,48 @@ def match_containment(df: DataFrame, dim: DataFrame) -> DataFrame:
     return df.join(found, "key", "left")
 
 
-def _without_one(name: Column) -> Column:
-    """All strings with one letter left out."""
-    cut = lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name)))
-    return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), cut)).otherwise(
-        F.array().cast("array<string>"))
+PIECES = 3  # one more than the edits
 
 
-def _deletions(name: Column) -> Column:
-    """Hashes of the name with none, one or two letters left out."""
-    one = _without_one(name)
-    two = F.flatten(F.transform(one, _without_one))
-    return F.transform(F.array_distinct(F.concat(F.array(name), one, two)), lambda x: F.xxhash64(x))
+def _piece_at(length: Column, i: int) -> Column:
+    return F.floor(length * i / PIECES).cast("int")
+
+
+def _pieces(name: Column) -> Column:
+    """The name cut into three pieces of about equal length: number, hash."""
+    n = F.length(name)
+    return F.array(*[F.struct(F.lit(i).alias("no"), F.xxhash64(F.substring(name, _piece_at(n, i) + 1, _piece_at(n, i + 1) - _piece_at(n, i))).alias("piece"))
+                     for i in range(PIECES)])
+
+
+def _wanted_pieces(name: Column) -> Column:
+    """For every length a name within two edits can have: the parts of this name that can be its pieces, moved by at most two places."""
+    def of_length(n: Column) -> Column:
+        parts = []
+        for i in range(PIECES):
+            size = _piece_at(n, i + 1) - _piece_at(n, i)
+            for shift in range(1 - PIECES, PIECES):
+                at = _piece_at(n, i) + shift
+                fits = (at >= 0) & (at + size <= F.length(name))
+                parts.append(F.when(fits, F.struct(n.alias("len"), F.lit(i).alias("no"), F.xxhash64(F.substring(name, at + 1, size)).alias("piece"))))
+        return F.array_compact(F.array(*parts))
+
+    lengths = F.sequence(F.greatest(F.length(name) - (PIECES - 1), F.lit(0)), F.length(name) + (PIECES - 1))
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def match_edit_distance(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Id of the one other dimension name of the country within two edits.
 
-    Names within two edits have a common form with at most two letters left out, so candidates
-    come from an equality join on such forms and only near names ever meet.
+    Two edits touch at most two of three pieces of a name, so one piece is intact, moved by at most two places: candidates come from an
+    equality join on (country, length, piece). A name sends three rows to the one side and at most 75 short ones to the other, however long it
+    is; each pair is compared once.
     """
-    a = df.select("key", "norm", "country", F.explode(_deletions(F.col("norm"))).alias("form"))
-    b = dim.select("id", F.col("norm").alias("other"), "country", F.explode(_deletions(F.col("norm"))).alias("form"))
-    near = a.join(b, ["country", "form"]).filter(
-        (F.col("norm") != F.col("other")) & (F.levenshtein("norm", "other", 2) >= 0))
+    b = dim.select("id", F.col("norm").alias("other"), "country", F.length("norm").alias("len"), F.explode(_pieces(F.col("norm"))).alias("p"))
+    b = b.select("id", "other", "country", "len", "p.no", "p.piece")
+    a = df.select("key", "norm", "country", F.explode(_wanted_pieces(F.col("norm"))).alias("p")).select("key", "norm", "country", "p.len", "p.no", "p.piece")
+    pairs = a.join(b, ["country", "len", "no", "piece"]).select("key", "norm", "id", "other").distinct()
+    near = pairs.filter((F.col("norm") != F.col("other")) & (F.levenshtein("norm", "other", PIECES - 1) >= 0))
     one = near.groupBy("key").agg(F.min("id").alias("edit_id"), F.max("id").alias("_hi")).filter("edit_id = _hi").drop("_hi")
     return df.join(one, "key", "left")
 

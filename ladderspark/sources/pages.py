@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderspark.functions.names import strip
+from ladderspark.functions.names import let, strip
 
 
 def plain_text(c: Column) -> Column:
@@ -37,17 +37,15 @@ def extract_html_rows(
 def text_block_records(df: DataFrame, key: str, text: str, start: str, width: int = 7) -> DataFrame:
     """Records of a text (S7): a line that matches ``start`` opens one, the next ``width`` filled lines are its fields.
 
-    Lines of one text are numbered inside the text, so the window sees one text at a time.
+    One pass inside the row: the places of the opening lines, then a slice of the lines from each to the next. Nothing is shuffled, so texts with
+    equal keys stay apart.
     """
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("_pos", "_line")).select(key, "_pos", strip(F.col("_line")).alias("line"))
-    lines = lines.filter("line <> ''").withColumn("_new", F.regexp_like("line", F.lit(start)).cast("int"))
-    order = Window.partitionBy(key).orderBy("_pos")
-    lines = lines.withColumn("record_no", F.sum("_new").over(order)).filter("record_no > 0")
-    head = F.max(F.when(F.col("_new") == 1, F.col("_pos"))).over(order)
-    inside = Window.partitionBy(key, "record_no").orderBy("_pos")
-    lines = lines.withColumn("_head", head).withColumn("_k", F.row_number().over(inside) - 1).filter(F.col("_k") <= width)
-    fields = [F.max(F.when(F.col("_k") == i, F.col("line"))).alias("start" if i == 0 else f"f{i}") for i in range(width + 1)]
-    return lines.groupBy(key, "record_no").agg(*fields)
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    opens = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(F.regexp_like(x, F.lit(start)), i)), lambda i: i.isNotNull())
+    until = lambda ls, at, j: F.least(F.lit(width + 1), F.coalesce(F.get(at, j + 1), F.size(ls)) - F.get(at, j))
+    cut = lambda ls: let(opens(ls), lambda at: F.transform(at, lambda p, j: F.slice(ls, p + 1, until(ls, at, j))))
+    d = df.select(key, F.posexplode(let(lines, cut)).alias("_n", "_r"))
+    return d.select(key, (F.col("_n") + 1).cast("bigint").alias("record_no"), *[F.get("_r", F.lit(i)).alias("start" if i == 0 else f"f{i}") for i in range(width + 1)])
 
 
 def typed_record(df: DataFrame) -> DataFrame:
