@@ -13,7 +13,7 @@ from ladderspark.operators.scan import first_rows, last_rows
 from ladderspark.plans import contests
 from ladderspark.plans.contests import results, table, teams
 from ladderspark.plans.recalculate import prev_state, recalculate, team_states
-from ladderspark.storage import materialize, stored
+from ladderspark.storage import materialize, new_path, stored
 
 CFG = RatingConfig()
 
@@ -529,12 +529,25 @@ def unknown_competitions(spark, sf):
     return S.known_only(results(spark, sf), contests.competitions(spark, sf).filter("tier = 1"))[1]
 
 
-@query(with_board("""SELECT type, display, subtitle FROM (
-    SELECT 1 AS s, handler_norm AS o, 'handler' AS type, handler AS display, country AS subtitle FROM (SELECT DISTINCT handler, handler_norm, country FROM board WHERE contains(handler_norm, '19') ORDER BY handler_norm, handler LIMIT 10)
-    UNION ALL SELECT 2, dog_norm, 'team', handler || ' & ' || dog, printf('%.0f', rating) FROM (SELECT * FROM board WHERE contains(dog_norm, '19') ORDER BY dog_norm, team_id LIMIT 10)
-    UNION ALL SELECT 3, CAST(9999999 - comp_id AS VARCHAR), 'competition', name, CAST(date AS VARCHAR) FROM (SELECT * FROM competition WHERE contains(lower(name), '19') ORDER BY date DESC, comp_id LIMIT 10))
-  ORDER BY s, o, display LIMIT 10""", COMPS))
+def _search_sql(q):
+    return with_board(f"""SELECT type, display, subtitle FROM (
+    SELECT 1 AS s, handler_norm AS o, 'handler' AS type, handler AS display, country AS subtitle FROM (SELECT DISTINCT handler, handler_norm, country FROM board WHERE contains(handler_norm, '{q}') ORDER BY handler_norm, handler LIMIT 10)
+    UNION ALL SELECT 2, dog_norm, 'team', handler || ' & ' || dog, printf('%.0f', rating) FROM (SELECT * FROM board WHERE contains(dog_norm, '{q}') ORDER BY dog_norm, team_id LIMIT 10)
+    UNION ALL SELECT 3, CAST(9999999 - comp_id AS VARCHAR), 'competition', name, CAST(date AS VARCHAR) FROM (SELECT * FROM competition WHERE contains(lower(name), '{q}') ORDER BY date DESC, comp_id LIMIT 10))
+  ORDER BY s, o, display LIMIT 10""", COMPS)
+
+
+@query(_search_sql("19"))
 def search(spark, sf):
     from ladderspark.operators.search import search as find
 
     return find(team_board(spark, sf), contests.competitions(spark, sf), "19")
+
+
+@query(_search_sql("0001"))
+def indexed_search(spark, sf):
+    from ladderspark.operators.search import search_index, write_index
+
+    path = new_path(spark, "search-index")
+    write_index(team_board(spark, sf), contests.competitions(spark, sf), path)
+    return search_index(spark, path, " 0001")

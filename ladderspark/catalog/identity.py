@@ -340,19 +340,18 @@ def update_country(spark, sf):
     return I.update_country(d, d.filter("id % 2 = 0").select("id", F.concat(F.lit("Z"), c("id").cast("string")).alias("new_country")))
 
 
-JRUNS = f"SELECT o_orderkey AS _seq, CASE o_orderkey % 4 WHEN 0 THEN first || ' ' || last || ' ' || tag WHEN 1 THEN last || ' ' || tag || ', ' || first WHEN 2 THEN 'Judge ' || first || ' ' || last || ' ' || tag ELSE NULL END AS judge FROM {{orders}} JOIN ({PEOPLE}) ON k = o_custkey"
+JRUNS = f"SELECT o_orderkey AS _seq, CASE o_orderkey % 6 WHEN 4 THEN 'Nick ' || tag WHEN 5 THEN tag || ' ' || first || ' ' || last WHEN 0 THEN first || ' ' || last || ' ' || tag WHEN 1 THEN last || ' ' || tag || ', ' || first WHEN 2 THEN 'Judge ' || first || ' ' || last || ' ' || tag ELSE NULL END AS judge FROM {{orders}} JOIN ({PEOPLE}) ON k = o_custkey"
 
 
-@query(f"""WITH j AS (SELECT judge, MIN(_seq) AS _seq, {norm_sql('judge')} AS norm FROM {text(JRUNS)} WHERE judge IS NOT NULL GROUP BY judge), {DIM_SQL},
+@query(f"""WITH j AS (SELECT judge, MIN(_seq) AS _seq, {norm_sql('judge')} AS norm FROM {text(JRUNS)} WHERE judge IS NOT NULL GROUP BY judge), {DIM_SQL}, {ALIAS_SQL},
   jd AS (SELECT id, norm, COUNT(*) OVER (PARTITION BY norm) AS same FROM dim),
   ct AS (SELECT j._seq, COUNT(*) AS n, MIN(d.id) AS cid FROM j JOIN jd d ON d.norm <> j.norm AND (contains(d.norm, j.norm) OR contains(j.norm, d.norm)) WHERE length(j.norm) >= 10 AND contains(j.norm, ' ') GROUP BY 1),
-  st AS (SELECT j.*, e.id AS eid, CASE WHEN ct.n = 1 THEN cid END AS cid FROM j LEFT JOIN jd e ON e.norm = j.norm LEFT JOIN ct ON ct._seq = j._seq),
-  fr AS (SELECT norm, row_number() OVER (ORDER BY MIN(_seq)) + (SELECT MAX(id) FROM jd) AS nid FROM st WHERE eid IS NULL AND cid IS NULL GROUP BY norm)
-  SELECT judge, norm, CASE WHEN eid IS NOT NULL THEN 'exact' WHEN cid IS NOT NULL THEN 'containment' ELSE 'new' END AS stage, coalesce(eid, cid, nid) AS judge_id FROM st LEFT JOIN fr USING (norm)""")
+  st AS (SELECT j.*, al.canonical_id AS aid, e.id AS eid, CASE WHEN ct.n = 1 THEN cid END AS cid FROM j LEFT JOIN alias al ON al.alias_name = j.norm LEFT JOIN jd e ON e.norm = j.norm LEFT JOIN ct ON ct._seq = j._seq),
+  fr AS (SELECT norm, row_number() OVER (ORDER BY MIN(_seq)) + (SELECT MAX(id) FROM jd) AS nid FROM st WHERE aid IS NULL AND eid IS NULL AND cid IS NULL GROUP BY norm)
+  SELECT judge, norm, CASE WHEN aid IS NOT NULL THEN 'alias' WHEN eid IS NOT NULL THEN 'exact' WHEN cid IS NOT NULL THEN 'containment' ELSE 'new' END AS stage, coalesce(aid, eid, cid, nid) AS judge_id FROM st LEFT JOIN fr USING (norm)""")
 def resolve_judges(spark, sf):
     d = dim(spark, sf).select("id", "norm")
-    none = alias(spark, sf).filter("false")
-    return I.resolve_judges(frame(spark, sf, JRUNS), d, none)
+    return I.resolve_judges(frame(spark, sf, JRUNS), d, alias(spark, sf))
 
 
 PROF = f"""SELECT o_orderkey AS _seq, o_custkey * 10 + o_orderkey % 2 AS team, o_custkey AS handler_key, CASE o_orderkey % 6 WHEN 0 THEN first || ' ' || tag WHEN 1 THEN last || ', ' || first WHEN 2 THEN lower(first) || ' ' || tag

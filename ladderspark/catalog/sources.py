@@ -58,13 +58,15 @@ def _board(spark, sf):
     return team_board(spark, sf).join(S.last_competition(results(spark, sf)).select("team_id", "last_comp"), "team_id", "left")
 
 
-@query(with_board("""SELECT row_number() OVER (PARTITION BY size_group ORDER BY rating DESC, team_id) AS rank, handler, size_group AS size, country, tier, run_count AS num_runs, last_comp AS last_competition
+@query(with_board("""SELECT row_number() OVER (PARTITION BY size_group ORDER BY rating DESC, team_id) AS rank, handler, size_group AS size, country, tier, run_count AS num_runs, last_comp AS last_competition,
+    round(mu, 4) AS mu, round(sigma, 4) AS sigma, round(rating, 1) AS rating, round(finished_run_count * 100.0::DOUBLE / run_count, 1) AS finished_pct, round(top3_run_count * 100.0::DOUBLE / run_count, 1) AS top3_pct
   FROM board JOIN (SELECT team_id, arg_max(comp_name, run_id) AS last_comp FROM results GROUP BY 1) USING (team_id) WHERE run_count >= 5"""))
 def write_leaderboard(spark, sf):
     path = new_path(spark, "leaderboard")
     C.write_leaderboard(_board(spark, sf), CFG, path)
     d = spark.read.schema(strings(LEADERBOARD)).option("header", True).csv(path)
-    return d.select(c("rank").cast("bigint").alias("rank"), "handler", "size", "country", "tier", c("num_runs").cast("bigint").alias("num_runs"), "last_competition")
+    return d.select(c("rank").cast("bigint").alias("rank"), "handler", "size", "country", "tier", c("num_runs").cast("bigint").alias("num_runs"), "last_competition",
+                    *[c(n).cast("double").alias(n) for n in ("mu", "sigma", "rating", "finished_pct", "top3_pct")])
 
 
 CANON = f"""SELECT k AS _seq, 'f' || grp AS file, 'Cup ' || grp AS competition, round_key, CASE k % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'Inter' WHEN 2 THEN 'large' ELSE 'XS' END AS size, CASE k % 3 WHEN 0 THEN 'A1' WHEN 1 THEN 'JUMPING' ELSE 'Final' END AS discipline,

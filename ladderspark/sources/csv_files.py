@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
 from ladderspark.functions.names import strip
-from ladderspark.operators.scan import row_numbers
+from ladderspark.operators.scan import row_numbers, running_sums
 from ladderspark.schema import CANONICAL, HEADER_SYNONYMS, LEADERBOARD
 from ladderspark.storage import materialize
 
@@ -26,7 +26,7 @@ def format_of(names: Column) -> Column:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), _seq (place in the order of files and lines), value; stored.
+    """file, line (from 1), _seq (place in the order of files and lines), block (number of the part of the file that one task read), value; stored.
 
     Lines are numbered inside the block that one task reads; the counts of blocks and files are added up.
     """
@@ -35,12 +35,57 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = materialize(raw, "lines")
     sizes = raw.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    files = sizes.groupBy("file").agg(F.sum("_n").alias("_all"))
-    files = files.select("file", F.coalesce(F.sum("_all").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    files = running_sums(sizes.groupBy("file").agg(F.sum("_n").alias("_all")), [], [F.col("file")], {"_upto": F.col("_all")})
+    files = files.select("file", (F.col("_upto") - F.col("_all")).alias("_first"))
     starts = sizes.select("file", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).join(files, "file")
     inside = F.row_number().over(Window.partitionBy("file", "_at").orderBy("_pos"))
     lines = raw.join(starts, ["file", "_at"]).withColumn("line", F.col("_before") + inside)
-    return materialize(lines.select("file", "line", (F.col("_first") + F.col("line")).alias("_seq"), "value"), "numbered")
+    return materialize(lines.select("file", "line", (F.col("_first") + F.col("line")).alias("_seq"), F.col("_at").alias("block"), "value"), "numbered")
+
+
+# A line as a step of the quote automaton. Outside of quotes a field that begins with a quote opens them; inside, doubled quotes stand for one, a single quote ends them, and what
+# follows it up to the comma is plain.
+_QUOTED = r"[^\"]*+(?:\"\"[^\"]*+)*+"
+_AFTER = r"(?:[^\",][^,]*+)?+"
+_OPENS = rf"(?:(?:\"{_QUOTED}\"{_AFTER}|{_AFTER}),)*+\"{_QUOTED}"
+OPENS = f"^{_OPENS}$"  # begins outside of quotes and ends inside
+STAYS_OPEN = rf"^{_QUOTED}(?:\"{_AFTER},{_OPENS})?+$"  # begins and ends inside
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """Numbered lines -> records: lines that end inside quotes and those after them are one, joined by line feeds; ``line`` and ``_seq`` are those of its first line.
+
+    Whether a line begins inside quotes depends on all lines before it. But a line is one of four steps on two states: it leads to one state from both, or keeps them, or exchanges them. So
+    the state is where the last line of the first kind led, exchanged as often as lines of the last kind came since. Blocks of a file are composed the
+    same way, so every block is scanned by itself and nobody reads a file in one go. Only the lines of records that have several are shuffled. Quotes that are never closed take the rest of their file.
+    """
+    d = lines.withColumn("_out", F.regexp_like("value", F.lit(OPENS)).cast("int")).withColumn("_in", F.regexp_like("value", F.lit(STAYS_OPEN)).cast("int"))
+    swap, fixed = ((F.col("_out") == 1) & (F.col("_in") == 0)).cast("int"), F.col("_out") == F.col("_in")
+    inside = Window.partitionBy("file", "block").orderBy("line")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    # What a block does up to a line: the last fixed state, if any, with the exchanges before it, and all exchanges.
+    d = d.withColumn("_swaps", F.sum(swap).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_fixed", F.when(fixed, F.struct((F.col("_out") + F.col("_swaps")).alias("v"))))
+    d = d.withColumns({"_f": F.last("_fixed", True).over(before), "_s": F.coalesce(F.max("_swaps").over(before), F.lit(0))})
+    blocks = d.groupBy("file", "block").agg(F.max_by("_fixed", F.when(F.col("_fixed").isNotNull(), F.col("line"))).alias("f"), F.max("_swaps").alias("s"))
+    order = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.withColumn("all", F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = blocks.withColumn("g", F.when(F.col("f").isNotNull(), F.col("f.v") + F.col("all") - F.col("s")))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({"_g": F.coalesce(F.last("g", True).over(earlier), F.lit(0)), "_a": F.coalesce(F.max("all").over(earlier), F.lit(0))})
+    d = d.join(blocks.select("file", "block", ((F.col("_g") + F.col("_a")) % 2).alias("_start")), ["file", "block"])
+    state = F.when(F.col("_f").isNotNull(), (F.col("_f.v") + F.col("_s")) % 2).otherwise((F.col("_start") + F.col("_s")) % 2)
+    d = d.withColumn("_begins", state == 0).withColumn("_ends", F.when(state == 0, F.col("_out")).otherwise(F.col("_in")) == 0)
+    columns = ["file", "line", "_seq", "value"]
+    if d.filter("not (_begins and _ends)").isEmpty():
+        return lines.select(*columns)
+    d = d.withColumn("_first", F.max(F.when(F.col("_begins"), F.struct("line", "_seq"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    d = materialize(d.select(*columns, "block", "_begins", "_ends", "_first"), "record-lines")
+    heads = d.groupBy("file", "block").agg(F.max("_first").alias("_own"))
+    heads = heads.select("file", "block", F.last("_own", True).over(earlier).alias("_carried"))
+    many = d.filter("not (_begins and _ends)").join(heads, ["file", "block"]).withColumn("h", F.coalesce("_first", "_carried"))
+    many = many.groupBy("file", "h.line", "h._seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("line").alias("at"), "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return d.filter("_begins and _ends").select(*columns).unionByName(many.select(*columns))
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -50,7 +95,7 @@ def headers(lines: DataFrame) -> DataFrame:
 
 
 def _fields(lines: DataFrame) -> Column:
-    """The fields of a line; as many as the widest header of all files can have."""
+    """The fields of a record; as many as the widest header of all files can have."""
     width = lines.filter("line = 1").agg(F.coalesce(F.max(F.length(F.regexp_replace("value", "[^,]", ""))), F.lit(0))).first()[0] + 1
     parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"quote": '"', **QUOTED})
     return F.array(*[parsed[f"c{i}"] for i in range(width)])
@@ -58,7 +103,7 @@ def _fields(lines: DataFrame) -> Column:
 
 def detect_formats(spark: SparkSession, path: str) -> DataFrame:
     """file, format of every file of a path."""
-    return headers(numbered_lines(spark, path)).select("file", format_of(F.filter("names", lambda n: n != "")).alias("format"))
+    return headers(records(numbered_lines(spark, path))).select("file", format_of(F.filter("names", lambda n: n != "")).alias("format"))
 
 
 def read_results_csv(spark: SparkSession, path: str, columns: list[str] = CANONICAL) -> DataFrame:
@@ -66,9 +111,9 @@ def read_results_csv(spark: SparkSession, path: str, columns: list[str] = CANONI
 
     The first line of a file is its header, whatever it holds; files may differ in header case, order, synonyms and optional columns.
     Adds ``file``, ``source`` (directory name), ``line`` in the file (the header is line 1) and ``_seq``, the order of files and lines;
-    blank rows are skipped. A field does not go over the end of a line.
+    blank rows are skipped. A quoted field may go over line ends, which become line feeds; its row has the number of its first line.
     """
-    lines = numbered_lines(spark, path)
+    lines = records(numbered_lines(spark, path))
     names = F.transform("names", lambda n: F.coalesce(*[F.when(n == old, F.lit(new)) for old, new in HEADER_SYNONYMS.items()], n))
     heads = headers(lines).withColumn("names", names)
     places = lambda c: F.filter(F.transform("names", lambda n, i: F.when(n == c, i)), lambda i: i.isNotNull())

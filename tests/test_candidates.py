@@ -61,3 +61,23 @@ def test_dictionary_suffixes(spark, known):
         start = [w for w in known if t.startswith(w)]
         end = [w for w in sorted(known, key=len, reverse=True) if t.endswith(w)]
         assert got[k] == (("", start[0]) if start else (t[:len(t) - len(end[0])].strip(), end[0]) if end else (t, ""))
+
+
+def test_index_finds_what_the_scan_finds(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from ladderspark.operators import search as S
+    from ladderspark.storage import new_path
+
+    rng = random.Random(9)
+    board = spark.createDataFrame([(i, f"Jan {rng.choice(['Novák', 'Nova', 'Banana'])} {i % 7}", f"rex {i % 5}", "CZ", 1000.0 + i) for i in range(60)], "team_id bigint, handler string, dog string, country string, rating double")
+    board = board.withColumns({"handler_norm": F.lower("handler"), "dog_norm": F.lower("dog")})
+    comps = spark.createDataFrame([(i, f"Banana Cup {i}", datetime.date(2024, 1, 1 + i)) for i in range(12)], "comp_id bigint, name string, date date")
+    path = new_path(spark, "index")
+    S.write_index(board, comps, path)
+    for query in ("anana", "an", "rex 3", "CUP 1", "", "a", "nováa", "zzz", "a b"):
+        assert S.search_index(spark, path, query).collect() == S.search(board, comps, query).collect(), query
+    plan = S.search_index(spark, path, "anana")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
