@@ -12,11 +12,11 @@ from typing import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderspark.llm.common import free_name, query, table
+from ladderspark.llm.common import free_name, query, release_memory, table
 
-MAX_STATES = 300_000  # moves that are remembered besides the edges of the trie
-MAX_WORDS = 100_000  # short pieces in one generation of their memo
-MAX_PAIRS = 200_000  # pairs of tokens in one generation of theirs
+MAX_STATES = 150_000  # moves that are remembered besides the edges of the trie
+MAX_WORDS = 80_000  # short pieces in one generation of their memo
+MAX_PAIRS = 150_000  # pairs of tokens in one generation of theirs
 LONG_PIECE = 64
 SEEN = 1 << 20  # marks for pieces that came once
 BLOCK = 1 << 16
@@ -267,6 +267,7 @@ def _codec(rank_lines: bytes, pattern: str) -> Codec:
     key = (hash(rank_lines), pattern)
     if key not in _codecs:
         _codecs.clear()
+        release_memory()
         _codecs[key] = Codec(rank_lines, pattern)
     return _codecs[key]
 
