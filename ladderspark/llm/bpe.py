@@ -17,6 +17,7 @@ from ladderspark.llm.common import free_name, query, release_memory, table
 MAX_STATES = 150_000  # moves that are remembered besides the edges of the trie
 MAX_WORDS = 80_000  # short pieces in one generation of their memo
 MAX_PAIRS = 150_000  # pairs of tokens in one generation of theirs
+MAX_SPINES = 16_000  # ends of tokens whose parts are remembered
 LONG_PIECE = 64
 SEEN = 1 << 20  # marks for pieces that came once
 BLOCK = 1 << 16
@@ -71,7 +72,7 @@ class Transducer:
             more = self.found[self.suffix[node]]
             self.found[node] = ((ends[node], depth[node]), *more) if ends[node] >= 0 else more
         self.depth = depth
-        self.moves: dict[int, int] = {}  # made when needed: state * 256 + byte -> state
+        self.made: list[int] = []  # keys of the moves that are no edges; they stand among the edges
         self.pairs: dict[int, bool] = {}
         self.old_pairs: dict[int, bool] = {}
         self.spines: dict[int, list[tuple[bytes, int, int]]] = {}
@@ -82,6 +83,8 @@ class Transducer:
         key = token << 1 | side
         found = self.spines.get(key)
         if found is None:
+            if len(self.spines) >= MAX_SPINES:
+                self.spines.clear()
             found, until, piece = [], 1 << 60, self.bytes_of[token]
             while True:
                 split = self.halves(piece)
@@ -91,7 +94,8 @@ class Transducer:
                 found.append((piece, self.ranks[piece] if split else -1, until))
                 if not split:
                     break
-                until, piece = self.ranks[piece], split[side]
+                until = self.ranks[piece]
+                piece = self.bytes_of[self.ranks[split[side]]]  # the one copy there is of it
             self.spines[key] = found
         return found
 
@@ -143,11 +147,13 @@ class Transducer:
             if to is not None or not at:
                 break
             at = self.suffix[at]
-        if at == state:  # an edge of the trie, or nothing goes on from the root
-            return to or 0
-        if len(self.moves) >= MAX_STATES:
-            self.moves.clear()
-        self.moves[state << 8 | byte] = to or 0
+        if len(self.made) >= MAX_STATES:
+            for key in self.made:
+                del self.edges[key]
+            self.made.clear()
+        key = state << 8 | byte
+        self.made.append(key)
+        self.edges[key] = to or 0
         return to or 0
 
     def written(self, last: list[int], start: int, end: int) -> list[int]:
@@ -176,15 +182,13 @@ class Transducer:
         if piece in self.ranks:  # a piece that is a token is that token, reachable by merges or not
             return [self.ranks[piece]]
         out: list[int] = []
-        edge, made, found, fits = self.edges.get, self.moves.get, self.found, self.pairs.get
+        edge, found, fits = self.edges.get, self.found, self.pairs.get
         state, here, last = 0, 0, [-1]  # last[here]: the token that ends there, whatever follows
         for b in piece:
             at = state << 8 | b
             state = edge(at)
             if state is None:
-                state = made(at)
-                if state is None:
-                    state = self.move(at >> 8, b)
+                state = self.move(at >> 8, b)
             here += 1
             for token, size in found[state]:
                 before = last[here - size]
