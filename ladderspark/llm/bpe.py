@@ -12,7 +12,7 @@ from typing import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderspark.llm.common import free_name, query, release_memory, table
+from ladderspark.llm.common import CACHES, free_name, query, release_memory, table
 
 MAX_STATES = 150_000  # moves that are remembered besides the edges of the trie
 MAX_WORDS = 80_000  # short pieces in one generation of their memo
@@ -264,6 +264,7 @@ class Codec:
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
+CACHES.append(_codecs)
 
 
 def _codec(rank_lines: bytes, pattern: str) -> Codec:

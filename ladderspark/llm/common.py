@@ -38,6 +38,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+CACHES: list[dict] = []  # what operators keep in a Python worker from task to task
+
+
+def drop_caches() -> None:
+    """Forget what other operators keep in this worker: their stage is over, and workers live on."""
+    for cache in CACHES:
+        cache.clear()
+
+
 def release_memory() -> None:
     """Give back to the system what earlier tasks of this Python worker have freed: Arrow's pool and the C library keep it otherwise."""
     import ctypes

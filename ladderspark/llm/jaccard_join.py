@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderspark.llm import tokens as T
-from ladderspark.llm.common import free_name, query, release_memory, table, whole_text
+from ladderspark.llm.common import drop_caches, free_name, query, release_memory, table, whole_text
 from ladderspark.llm.graph import components
 from ladderspark.storage import materialize
 
@@ -52,6 +52,7 @@ def _sends(ranges: int, buckets: int, width: int):
     def rows(batches):
         import pyarrow as pa
 
+        drop_caches()
         release_memory()
         uid = TaskContext.get().partitionId() << 33
         empty = b""
