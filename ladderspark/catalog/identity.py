@@ -236,12 +236,27 @@ VARIANTS = """SELECT 'h' || CAST(CAST(floor(p_partkey / 20) AS BIGINT) AS STRING
   dg AS (SELECT DISTINCT handler, dog, n, fw FROM vr), rg AS (SELECT DISTINCT handler, dog, n, reg, string_split(reg, ' ') AS w FROM vr WHERE reg IS NOT NULL),
   s1 AS (SELECT l.handler, l.dog, MIN((s.n, s.dog)) AS t FROM dg l JOIN dg s ON s.handler = l.handler AND s.n <= 2 AND s.dog <> '' AND s.n < l.n AND starts_with(l.fw, s.fw) GROUP BY ALL),
   r2 AS (SELECT * FROM rg WHERE (handler, dog) NOT IN (SELECT (handler, dog) FROM s1)),
-  s2 AS (SELECT b.handler, b.dog, MIN((a.n, a.dog)) AS t FROM r2 b JOIN r2 a ON a.handler = b.handler AND (a.n, a.dog) < (b.n, b.dog) AND (
-      (len(a.w[1:3]) = 3 AND a.w[1:3] IN (b.w[1:3], b.w[2:4], b.w[3:5])) OR (len(b.w[1:3]) = 3 AND b.w[1:3] IN (a.w[2:4], a.w[3:5]))) GROUP BY ALL),
+  n2 AS (SELECT *, row_number() OVER (PARTITION BY handler ORDER BY n, dog) AS i FROM (SELECT DISTINCT handler, dog, n FROM r2)),
+  e2 AS (SELECT DISTINCT b.handler, nb.i, na.i AS j FROM r2 b JOIN r2 a ON a.handler = b.handler AND (a.n, a.dog) < (b.n, b.dog) AND (
+      (len(a.w[1:3]) = 3 AND a.w[1:3] IN (b.w[1:3], b.w[2:4], b.w[3:5])) OR (len(b.w[1:3]) = 3 AND b.w[1:3] IN (a.w[2:4], a.w[3:5])))
+    JOIN n2 nb ON nb.handler = b.handler AND nb.dog = b.dog JOIN n2 na ON na.handler = a.handler AND na.dog = a.dog),
+  p2 AS (SELECT handler, i, list(j) AS js FROM e2 GROUP BY ALL),
+  a2 AS (SELECT DISTINCT handler, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS acts FROM n2 UNION ALL
+    SELECT a2.handler, n2.i, CASE WHEN list_has_any(acts, coalesce(js, CAST([] AS BIGINT[]))) THEN acts ELSE list_append(acts, n2.i) END
+    FROM a2 JOIN n2 ON n2.handler = a2.handler AND n2.i = a2.i + 1 LEFT JOIN p2 ON p2.handler = n2.handler AND p2.i = n2.i),
+  k2 AS (SELECT handler, unnest(arg_max(acts, i)) AS j FROM a2 GROUP BY handler),
+  s2 AS (SELECT e2.handler, b.dog, MIN((a.n, a.dog)) AS t FROM e2 JOIN k2 USING (handler, j) JOIN n2 a ON a.handler = e2.handler AND a.i = e2.j
+    JOIN n2 b ON b.handler = e2.handler AND b.i = e2.i GROUP BY ALL),
   d2 AS (SELECT handler, dog, t[2] AS target FROM s1 UNION ALL SELECT handler, dog, t[2] FROM s2),
-  s3 AS (SELECT b.handler, b.dog, MIN(a.dog) AS target FROM rg b JOIN dg a ON a.handler = b.handler AND a.n = 1 AND a.dog <> '' AND list_contains(b.w, a.dog) AND a.dog <> b.dog
-    WHERE (b.handler, b.dog) NOT IN (SELECT (handler, dog) FROM d2) AND (a.handler, a.dog) NOT IN (SELECT (handler, dog) FROM d2) GROUP BY ALL),
-  links AS (SELECT * FROM d2 UNION ALL SELECT * FROM s3 WHERE NOT (target > dog AND EXISTS (SELECT 1 FROM s3 x WHERE x.handler = s3.handler AND x.dog = s3.target AND x.target = s3.dog))),
+  n3 AS (SELECT handler, dog, row_number() OVER (PARTITION BY handler ORDER BY dog) AS i FROM dg WHERE n = 1 AND dog <> '' AND (handler, dog) NOT IN (SELECT (handler, dog) FROM d2)),
+  e3 AS (SELECT DISTINCT b.handler, b.dog, a.i AS j, a.dog AS taker FROM rg b JOIN n3 a ON a.handler = b.handler AND list_contains(b.w, a.dog) AND a.dog <> b.dog
+    WHERE (b.handler, b.dog) NOT IN (SELECT (handler, dog) FROM d2)),
+  p3 AS (SELECT n3.handler, n3.i, list(e3.j) AS js FROM n3 JOIN e3 ON e3.handler = n3.handler AND e3.dog = n3.dog AND e3.j < n3.i GROUP BY ALL),
+  a3 AS (SELECT DISTINCT handler, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS acts FROM n3 UNION ALL
+    SELECT a3.handler, n3.i, CASE WHEN list_has_any(acts, coalesce(js, CAST([] AS BIGINT[]))) THEN acts ELSE list_append(acts, n3.i) END
+    FROM a3 JOIN n3 ON n3.handler = a3.handler AND n3.i = a3.i + 1 LEFT JOIN p3 ON p3.handler = n3.handler AND p3.i = n3.i),
+  k3 AS (SELECT handler, unnest(arg_max(acts, i)) AS j FROM a3 GROUP BY handler),
+  links AS (SELECT * FROM d2 UNION ALL SELECT handler, dog, MIN(taker) FROM e3 JOIN k3 USING (handler, j) GROUP BY ALL),
   walk AS (SELECT handler, dog, target FROM links UNION ALL SELECT w.handler, w.dog, l.target FROM walk w JOIN links l ON l.handler = w.handler AND l.dog = w.target)
   SELECT handler, dog, target FROM walk w WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.handler = w.handler AND l.dog = w.target)""")
 def merge_variants(spark, sf):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ladderspark.config import RatingConfig
 from ladderspark.functions import names as N
 from ladderspark.operators.scan import first_rows, row_numbers
+from ladderspark.operators.takers import first_takers
 from ladderspark.storage import materialize
 
 GRAM = 10  # Fixed value: shortest name that may match by containment.
@@ -396,9 +397,9 @@ def merge_variants(variants: DataFrame) -> DataFrame:
     1. A call name of one or two words takes variants with more words whose first word it begins.
     2. Registered names with three equal words at the start (offset up to two) belong together.
     3. A one-word name that is a word of another variant's registered name takes that variant.
-    Later rules only see variants that the earlier ones left alone. Every rule is an equality join
-    on a derived key followed by a minimum, so no pairs of a handler are listed. Chains are
-    resolved by pointer jumping.
+    Later rules only see variants that the earlier ones left alone. Inside rules 2 and 3 variants act in the order of (words, name): one that was taken takes
+    nobody afterwards (``takers.first_takers``). Every rule is an equality join on a derived key followed by a minimum, so no pairs of a handler are listed.
+    Chains are resolved by pointer jumping.
     """
     order = F.struct(F.size(F.split("dog", " ")).alias("n"), F.col("dog").alias("d"))
     dogs = materialize(variants.select("handler", "dog").distinct().withColumn("o", order), "variants")
@@ -410,26 +411,25 @@ def merge_variants(variants: DataFrame) -> DataFrame:
     long = dogs.filter("o.n >= 2").select("handler", "dog", "o", F.explode(begin).alias("p"))
     step1 = long.join(short, ["handler", "p"]).filter("n < o.n").groupBy("handler", "dog").agg(F.min("s").alias("t"))
     step1 = materialize(step1.select("handler", "dog", F.col("t.d").alias("target")), "merge1")
-    # 2: shared three-word run, at the start of at least one of the two names
+    # 2: shared three-word run, at the start of at least one of the two names: leading runs meet all runs, all runs meet leading ones
     rest = regs.join(step1, ["handler", "dog"], "left_anti")
     runs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.alias("at"), F.slice(F.split("reg", " "), i, F.lit(3)).alias("run"))),
                     lambda x: F.size(x["run"]) == 3)
-    grams = rest.select("handler", "dog", "o", F.explode(runs).alias("g")).select("handler", "dog", "o", "g.at", "g.run")
-    lead = grams.groupBy("handler", "run").agg(F.min("o").alias("any"), F.min(F.when(F.col("at") == 1, F.col("o"))).alias("start"))
-    best = F.when(F.col("at") == 1, F.col("any")).otherwise(F.col("start"))
-    step2 = grams.join(lead, ["handler", "run"]).withColumn("b", best).filter("b < o").groupBy("handler", "dog").agg(F.min("b").alias("t"))
-    step2 = step2.select("handler", "dog", F.col("t.d").alias("target"))
+    grams = materialize(rest.select("handler", "o", F.explode(runs).alias("g")).select("handler", "o", "g.at", "g.run"), "runs")
+    ends = {side: grams.filter(leads).select("handler", F.struct(F.lit(side).alias("side"), "run").alias("key"), "o")
+            for side, leads in (("any", "true"), ("lead", "at = 1"))}
+    side = F.struct(F.when(F.col("key.side") == "any", "lead").otherwise("any").alias("side"), "key.run")
+    offers = ends["any"].unionByName(ends["lead"])
+    step2 = _links(first_takers(offers, offers.withColumn("key", side)))
     done = materialize(step1.unionByName(step2), "merge2")
     # 3: a single word inside a registered name
-    open_ = dogs.join(done, ["handler", "dog"], "left_anti")
-    single = open_.filter("o.n = 1 and dog <> ''").select("handler", F.col("dog").alias("w"), F.col("o").alias("s"))
-    inside = regs.join(done, ["handler", "dog"], "left_anti").select("handler", "dog", F.explode(F.split("reg", " ")).alias("w"))
-    step3 = inside.join(single, ["handler", "w"]).filter("w <> dog").groupBy("handler", "dog").agg(F.min("s").alias("t"))
-    step3 = step3.select("handler", "dog", F.col("t.d").alias("target"))
-    # of two single words that take each other only the larger one goes
-    back = step3.select("handler", F.col("target").alias("dog"), F.col("dog").alias("target"))
-    mutual = step3.join(back, ["handler", "dog", "target"]).filter("target > dog")
-    return resolve_chains(done.unionByName(step3.join(mutual, ["handler", "dog"], "left_anti")))
+    single = dogs.join(done, ["handler", "dog"], "left_anti").filter("o.n = 1 and dog <> ''").select("handler", F.col("dog").alias("key"), "o")
+    inside = regs.join(done, ["handler", "dog"], "left_anti").select("handler", "dog", "o", F.explode(F.split("reg", " ")).alias("key")).filter("key <> dog")
+    return resolve_chains(done.unionByName(_links(first_takers(single, inside))))
+
+
+def _links(taken: DataFrame) -> DataFrame:
+    return taken.select("handler", F.col("o.d").alias("dog"), F.col("taker.d").alias("target"))
 
 
 def resolve_chains(links: DataFrame, by: Sequence[str] = ("handler",), name: str = "dog", to: str = "target") -> DataFrame:
