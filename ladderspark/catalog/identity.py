@@ -10,6 +10,7 @@ from ladderspark.catalog.names import IGNORED, entity_sql, parsed_entities, sort
 from ladderspark.config import RatingConfig
 from ladderspark.functions import names as N
 from ladderspark.operators import identity as I
+from ladderspark.operators.scan import spread
 
 c = F.col
 
@@ -188,7 +189,7 @@ def new_entities(spark, sf):
   SELECT lower(variant) AS alias_name, MIN(id) AS canonical_id, 'CallName' AS type, 'Import' AS source FROM v2 WHERE variant IS NOT NULL AND trim(variant) <> '' AND variant <> call_norm
     AND lower(variant) NOT IN (SELECT alias_name FROM {text(EALIAS)}) GROUP BY 1""")
 def derive_entity_aliases(spark, sf):
-    d = eresolved(spark, sf).filter("id is not null").join(edim(spark, sf).select("id", c("call_norm").alias("canonical")), "id")
+    d = eresolved(spark, sf).filter("id is not null").join(spread(edim(spark, sf).select("id", c("call_norm").alias("canonical"))), "id")
     v = d.select("id", "canonical", F.explode(F.array("full", "call", "reg")).alias("variant")).filter("variant is not null")
     return I.derive_entity_aliases(v, frame(spark, sf, EALIAS).withColumn("type", F.lit("CallName")))
 

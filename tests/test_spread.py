@@ -35,3 +35,15 @@ def test_starts_are_no_more_than_ranges(spark):
     placed = _with_starts(parts, ["g"], {"n": F.count(F.lit(1))})
     went_on = placed.filter("_s_n > 0").select("g", "_range").distinct().count()
     assert placed.count() == 5000 and went_on < parts.select("_range").distinct().count()
+
+
+def test_a_name_that_everybody_uses_lists_no_pairs(spark):
+    n = 1000
+    dim = spark.range(n).selectExpr("id", "'day' AS call_norm", "'' AS reg_norm", "'L' AS size")
+    owned = spark.range(n).selectExpr("id AS handler_id", "id")
+    rows = spark.range(n + 5).selectExpr("id AS handler_id", "'Day' AS raw", "'L' AS size", "id AS _seq")
+    alias = spark.range(n).selectExpr("'day' AS alias_name", "id AS canonical_id")
+    out = I.resolve_entities(rows, dim, owned, alias)
+    got = {r.handler_id: (r.stage, r.id) for r in out.collect()}
+    assert got == {k: ("own alias", k) if k < n else ("new", None) for k in range(n + 5)}
+    assert max(joined_rows(plan(out))) <= 4 * n
