@@ -40,7 +40,7 @@ def snapshots(spark, sf):
 
 
 def full_history(spark, sf):
-    field = R.rated_field(results(spark, sf), CFG)
+    field = R.rated_field(R.starts(results(spark, sf)), CFG)
     return stored(spark, sf, "full_history", lambda: R.replay(field, CFG))
 
 
@@ -140,13 +140,13 @@ def previous_state(spark, sf):
 
 @query(_hist_sql(f"SELECT {HIST_COLS} FROM hist", eliminated="ignore", min_ranked=6))
 def replay_ignoring_eliminated(spark, sf):
-    field = R.rated_field(results(spark, sf), CFG, eliminated="ignore", min_ranked=6)
+    field = R.rated_field(R.starts(results(spark, sf)), CFG, eliminated="ignore", min_ranked=6)
     return R.replay(field, CFG).select("run_id", "team_id", *r6("prev_mu", "prev_sigma", "mu", "sigma"))
 
 
 @query(_hist_sql(f"SELECT {HIST_COLS} FROM hist", eliminated="downweight", mode="dense_order", min_ranked=6))
 def replay_downweighting_eliminated(spark, sf):
-    field = R.rated_field(results(spark, sf), CFG, eliminated="downweight", rank_mode="dense_order", min_ranked=6)
+    field = R.rated_field(R.starts(results(spark, sf)), CFG, eliminated="downweight", rank_mode="dense_order", min_ranked=6)
     return R.replay(field, CFG).select("run_id", "team_id", *r6("prev_mu", "prev_sigma", "mu", "sigma"))
 
 
@@ -170,14 +170,14 @@ TRAIL = """trail AS (SELECT s.team_id, SUM((d.day - s.last_date) / 30.0::DOUBLE)
     round(CASE WHEN months > 0 THEN least({IDLE_CAP}, sqrt(sigma * sigma + {IDLE_TAU * IDLE_TAU} * months)) ELSE sigma END, 6) AS sigma
   FROM states LEFT JOIN trail USING (team_id)""", field_sql("results", mode="dense_order", min_ranked=6), IDLE, IDLE_REPLAY, STATES, TRAIL))
 def replay_with_inactivity(spark, sf):
-    r = results(spark, sf)
+    r = R.starts(results(spark, sf))
     field = R.rated_field(r, CFG, rank_mode="dense_order", min_ranked=6, inactivity=(IDLE_TAU, IDLE_CAP))
     states = team_states(R.replay(field, CFG, sigma_max=IDLE_CAP), ["team_id", "pool"])
     return R.idle_after_last(states, r, "pool", IDLE_TAU, IDLE_CAP).select("team_id", "run_count", *r6("mu", "sigma"))
 
 
 def form_board(spark, sf):
-    r = R.live_window(results(spark, sf), 365)
+    r = R.live_window(R.starts(results(spark, sf)), 365)
     field = R.rated_field(r, CFG, rank_mode="dense_order", min_ranked=6)
     states = team_states(R.replay(field, CFG), ["team_id", "pool"], "model_rank")
     d = states.withColumn("rating", R.base_rating(CFG)).withColumnRenamed("pool", "size_group")

@@ -10,6 +10,7 @@ from ladderspark.config import RatingConfig
 from ladderspark.functions import values as V
 from ladderspark.functions.names import normalize_name
 from ladderspark.operators import stats as S
+from ladderspark.operators.scan import spread
 from ladderspark.plans.contests import results, table
 from ladderspark.plans.normalize import normalize_source
 from ladderspark.schema import CANONICAL, LEADERBOARD, strings
@@ -55,7 +56,7 @@ def detect_format(spark, sf):
 def _board(spark, sf):
     from ladderspark.catalog.boards import team_board
 
-    return team_board(spark, sf).join(S.last_competition(results(spark, sf)).select("team_id", "last_comp"), "team_id", "left")
+    return team_board(spark, sf).join(spread(S.last_competition(results(spark, sf)).select("team_id", "last_comp")), "team_id", "left")
 
 
 @query(with_board("""SELECT row_number() OVER (PARTITION BY size_group ORDER BY rating DESC, team_id) AS rank, handler, size_group AS size, country, tier, run_count AS num_runs, last_comp AS last_competition,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
-from ladderspark.operators.scan import row_numbers, top_rows, with_group
+from ladderspark.operators.scan import row_numbers, spread, top_rows, with_group
 
 TIERS = ("Elite", "Champion", "Expert", "Competitor")
 
@@ -123,7 +123,7 @@ def peak_rating(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
     if old is None:
         had = df.withColumn("_peak", F.lit(0.0))
     else:
-        had = df.join(old.select("team_id", F.col("peak_rating").alias("_peak")), "team_id", "left")
+        had = df.join(spread(old.select("team_id", F.col("peak_rating").alias("_peak"))), "team_id", "left")
     kept = F.coalesce("_peak", F.lit(0.0))
     return had.withColumn("peak_rating", F.when(F.col("is_active"), F.greatest(kept, "rating")).otherwise(kept)).drop("_peak")
 
@@ -165,7 +165,7 @@ def compare_boards(a: DataFrame, b: DataFrame, min_a: int, min_b: int) -> DataFr
                     F.col("active_recent").alias("recent_a"))
     right = b.select("team_id", F.col("rating").alias("rating_b"), F.col("run_count").alias("runs_b"),
                      F.col("tier").alias("tier_b"), F.col("is_provisional").alias("prov_b"))
-    d = left.join(right, "team_id", "full")
+    d = left.join(spread(right), "team_id", "full")
     no = F.lit(False)
     return d.select(
         "team_id", "rating_a", "rating_b",

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
-from ladderspark.operators.scan import first_rows, row_numbers, sums_back_and_forth, with_group
-from ladderspark.storage import materialize, matching, new_path, remove
+from ladderspark.operators.scan import first_rows, row_numbers, spread, sums_back_and_forth, with_group
+from ladderspark.storage import materialize, matching, new_path
 
 
 
@@ -93,6 +93,11 @@ def live_window(df: DataFrame, days: int, date: str = "date") -> DataFrame:
     return df.filter(F.col(date) >= F.date_sub(F.lit(latest), days))
 
 
+def starts(results: DataFrame, pool: str = "pool", run: str = "run_id") -> DataFrame:
+    """The columns of results that the replay reads. ``rated_field`` stores and aggregates whole rows, so what nobody reads is left out before."""
+    return results.select(pool, run, "team_id", "date", "rank", "eliminated", "tier", "_seq")
+
+
 def rated_field(
     results: DataFrame,
     cfg: RatingConfig,
@@ -281,17 +286,24 @@ def run_levels(entries: DataFrame, pool: str = "pool") -> DataFrame:
     return materialize(depth.join(levels, ["day", "depth"]).select(pool, "run_id", "level", "entries"), "levels")
 
 
-def _batches(spark, levels: DataFrame, most: int) -> tuple[DataFrame, list[tuple[int, bool]]]:
-    """Levels in order, as many together as have at most ``most`` entries; a larger level stands alone. Returns (level, batch), and of each batch its number and
-    whether it is such a level. The driver sees one count per level."""
-    rows, made, held = [], [], 0
-    for level, n in sorted(levels.groupBy("level").agg(F.sum("entries")).collect()):
+def _batches(spark, levels: DataFrame, pool: str, most: int) -> tuple[DataFrame, list[tuple[int, bool]], int, int]:
+    """Levels in order, as many together as give no pool more than ``most`` entries; a level with a larger pool stands alone. Returns (level, batch), of each
+    batch its number and whether it is such a level, the most pools of a level and the most entries of a batch. The driver sees one row per level."""
+    per_pool = levels.groupBy("level", pool).agg(F.sum("entries").alias("n"))
+    seen = per_pool.groupBy("level").agg(F.max("n"), F.sum("n"), F.count(F.lit(1))).collect()
+    rows, made, held, sizes = [], [], 0, []
+    for level, n, total, _ in sorted(seen):
         if not made or held + n > most:
             made.append((len(made), n > most))
+            sizes.append(0)
             held = 0
         held += n
+        sizes[-1] += total
         rows.append((level, made[-1][0]))
-    return spark.createDataFrame(rows, "level int, batch int"), made
+    return spark.createDataFrame(rows, "level int, batch int"), made, max((r[3] for r in seen), default=1), max(sizes, default=0)
+
+
+_SLICE = 250_000  # entries of a batch that one task writes
 
 
 def replay(
@@ -306,43 +318,48 @@ def replay(
 
     Runs that share no team need no order, so the replay goes by levels of the run graph (``run_levels``), over all pools at once. A level is one
     distributed update of all its runs (``pl_update``), however many entries a pool or a run has. Levels too small for a job of their own are taken together, up to
-    ``batch_entries`` entries, and folded run by run inside each pool: no task ever gets more than that. Both give the same values. A batch reads its own
-    rows and the states that earlier batches addressed to it, writes its history and the states of the teams that moved, addressed to the next batch they
-    start in, and drops what it read. ``run_seq`` orders the runs of a pool and must follow their dates.
+    ``batch_entries`` entries of one pool, and folded run by run inside each pool: no group ever gets more than that, and more pools are more groups. Both give the
+    same values. A batch reads its own rows and the states that earlier batches addressed to it, and writes its history in folders by the next batch each team
+    starts in, which are those states: one job a batch. States are joined by sorting, never sent through the driver. ``run_seq`` orders the runs of a pool and must
+    follow their dates.
     """
     spark = entries.sparkSession
     entries = materialize(entries.select(pool, *_FIELD), "entries")
     levels = run_levels(entries, pool)
-    plan, batches = _batches(spark, levels, batch_entries)
-    numbered = entries.join(levels.join(plan, "level").select(pool, "run_id", "batch"), [pool, "run_id"])
+    plan, batches, pools, largest = _batches(spark, levels, pool, batch_entries)
+    # Stored, so that the planner knows that it is small: rows from the driver have no size, and all entries would be broadcast instead.
+    placed = materialize(levels.join(plan, "level").select(pool, "run_id", "batch"), "placed")
+    numbered = entries.join(placed, [pool, "run_id"])
     later = Window.partitionBy(pool, "team_id").orderBy("batch").rangeBetween(1, Window.unboundedFollowing)
-    numbered = materialize(numbered.withColumn("next_batch", F.min("batch").over(later)), "batched", ["batch"])
-    history, mail = new_path(spark, "history"), new_path(spark, "states")
+    numbered = numbered.withColumn("next_batch", F.min("batch").over(later))
+    # Few files: a folder has one per slice, not one per task.
+    numbered = numbered.repartition("batch", F.pmod(F.hash(pool, "team_id"), F.lit(4 + largest // _SLICE)))
+    numbered = materialize(numbered, "batched", ["batch"])
+    history = new_path(spark, "history")
     columns = [pool, *_FIELD, *_STATE]
-    state = numbered.select(pool, "team_id", F.lit(0.0).alias("_mu"), F.lit(0.0).alias("_sigma")).schema
+    width = min(2 * pools, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = numbered.select(pool, *_FIELD, *[F.lit(0.0).alias(c) for c in _STATE], F.lit(True).alias("leaves")).schema
     for number, alone in batches:
         now = numbered.filter(F.col("batch") == number).drop("batch")
-        sent = matching(spark, f"{mail}/sender=*/to={number}")
+        sent = matching(spark, f"{history}/batch=*/to={number}")
         if sent:
-            now = now.join(spark.read.schema(state).parquet(*sent), [pool, "team_id"], "left")
+            states = spark.read.schema(written).parquet(*sent).filter("leaves")
+            now = now.join(spread(states.select(pool, "team_id", F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"))), [pool, "team_id"], "left")
         else:
             now = now.withColumns({"_mu": F.lit(None).cast("double"), "_sigma": F.lit(None).cast("double")})
         now = now.select("*", F.coalesce("_mu", F.lit(cfg.mu0)).alias("mu"), F.coalesce("_sigma", F.lit(cfg.sigma0)).alias("sigma")).drop("_mu", "_sigma")
         if alone:
             done = _update_level(now, pool, cfg, sigma_max)
         else:
+            # Dates go through pandas as day numbers. A number of parts that is given keeps small pools apart.
+            now = now.withColumn("date", F.unix_date("date")).repartition(width, pool)
             schema = now.select(pool, *_FIELD, "next_batch", *[F.lit(0.0).alias(c) for c in _STATE], F.lit(True).alias("leaves")).schema
             done = now.groupBy(pool).applyInPandas(_select_columns(_fold(cfg, sigma_max), schema.fieldNames()), schema)
-        written = f"{history}/batch={number}"
-        done.select(*columns, "next_batch", "leaves").write.parquet(written)
-        if number < len(batches) - 1:
-            on = spark.read.parquet(written).filter("leaves").select(
-                pool, "team_id", F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"), F.col("next_batch").alias("to"))
-            on.write.partitionBy("to").parquet(f"{mail}/sender={number}")
-        remove(spark, sent)
+            done = done.withColumn("date", F.date_from_unix_date("date"))
+        done.select(*columns, "leaves", F.col("next_batch").alias("to")).write.partitionBy("to").parquet(f"{history}/batch={number}")
     if not batches:
         return entries.select("*", *[F.lit(0.0).alias(c) for c in _STATE])
-    return spark.read.parquet(history).select(*columns)
+    return spark.read.schema(written).parquet(history).select(*columns)
 
 
 def _select_columns(fn, names):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
-from ladderspark.operators.scan import row_numbers, top_rows
+from ladderspark.operators.scan import row_numbers, spread, top_rows
 
 
 def team_stats(results: DataFrame, by: Sequence[str] = ("team_id",)) -> DataFrame:
@@ -43,7 +43,7 @@ def competition_stats(results: DataFrame, ratings: DataFrame) -> DataFrame:
         (F.count_if(~F.col("eliminated")) * 100.0 / F.count(F.lit(1))).alias("finished_pct"),
     )
     teams = results.select("comp_id", "team_id").distinct().join(
-        ratings.select("team_id", "size_group", "rating"), "team_id"
+        spread(ratings.select("team_id", "size_group", "rating")), "team_id"
     )
     per_size = teams.groupBy("comp_id", "size_group").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("rating").alias("_r")
@@ -192,7 +192,7 @@ def run_results(results: DataFrame) -> DataFrame:
 
 def star(results: DataFrame, runs: DataFrame, comps: DataFrame, teams: DataFrame) -> DataFrame:
     """Results with run, competition and team attributes."""
-    return results.join(runs, "run_id").join(comps, "comp_id").join(teams, "team_id")
+    return results.join(runs, "run_id").join(comps, "comp_id").join(spread(teams), "team_id")
 
 
 def attach_competition(results: DataFrame, registry: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def known_only(results: DataFrame, registry: DataFrame) -> tuple[DataFrame, Data
 def team_detail(board: DataFrame, results: DataFrame) -> DataFrame:
     """Team record with shares and average rank."""
     share = lambda c: F.when(F.col("run_count") > 0, F.col(c) * 100.0 / F.col("run_count")).otherwise(0.0)
-    return board.join(avg_rank(results), "team_id", "left").select(
+    return board.join(spread(avg_rank(results)), "team_id", "left").select(
         "team_id", "handler", "country", "dog", "size_group", "rating", "sigma", "prev_rating", "peak_rating",
         "run_count", "finished_run_count", "top3_run_count", "is_active", "is_provisional", "tier",
         share("finished_run_count").alias("finished_pct"), share("top3_run_count").alias("top3_pct"), "avg_rank",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ladderspark.config import RatingConfig
 from ladderspark.operators import board
-from ladderspark.operators.rating import base_rating, display_rating, flags, live_window, quality_factor, rated_field, replay
+from ladderspark.operators.rating import base_rating, display_rating, flags, live_window, quality_factor, rated_field, replay, starts
+from ladderspark.operators.scan import spread
 from ladderspark.storage import materialize
 
 
@@ -61,7 +62,7 @@ def recalculate(
 
     Ratings are per team; with several pools a team takes part in the pool of its size group.
     """
-    field = rated_field(live_window(results, cfg.live_window_days), cfg, pool=pool,
+    field = rated_field(live_window(starts(results, pool), cfg.live_window_days), cfg, pool=pool,
                         rank_mode=rank_mode, eliminated=eliminated)
     history = replay(field, cfg, pool=pool)
     history = materialize(history, "replayed")
@@ -69,11 +70,11 @@ def recalculate(
     states = team_states(history, ["team_id"], rank)
     fresh = start_state(teams, cfg)
     carried = [c for c in states.columns if c != "team_id"]
-    joined = teams.join(states.select("team_id", *[F.col(c).alias(f"_{c}") for c in carried]), "team_id", "left")
+    joined = teams.join(spread(states.select("team_id", *[F.col(c).alias(f"_{c}") for c in carried])), "team_id", "left")
     merged = fresh_or(joined, cfg, carried)
     raw = display_rating(merged.select(fresh.columns), cfg)
     snaps = history.join(
-        raw.select("team_id", "size_group", "run_count", "top3_run_count"), "team_id"
+        spread(raw.select("team_id", "size_group", "run_count", "top3_run_count")), "team_id"
     ).withColumn("rating", base_rating(cfg) * quality_factor(cfg))
     normal, snaps = board.zscore_normalize(raw, cfg, snapshots=snaps)
     flagged = board.peak_rating(flags(normal, cfg), old)

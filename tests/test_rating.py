@@ -141,6 +141,25 @@ def test_levels_of_the_run_graph(spark):
     assert len(order) < len(longest)
 
 
+def test_batches_are_as_large_as_one_pool_may_be(spark):
+    levels = spark.createDataFrame([(p, lv, 40) for p in "abc" for lv in range(1, 5)] + [("a", 5, 200)], "pool string, level int, entries bigint")
+    plan, batches, pools, largest = R._batches(spark, levels, "pool", 80)
+    assert sorted(map(tuple, plan.collect())) == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]  # a batch has 240 entries, 80 of each pool
+    assert (batches, pools, largest) == ([(0, False), (1, False), (2, True)], 3, 240)
+
+
+def test_replay_writes_few_files_and_keeps_states_in_its_history(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr("ladderspark.storage.shared_dir", lambda spark: str(tmp_path))
+    done = R.replay(field(spark, meeting_rows()), CFG, batch_entries=60)
+    files = [f"{d}/{f}" for d, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")]
+    batched = [f for f in files if "/batched-" in f]
+    assert batched and len(batched) <= 4 * len({os.path.dirname(f) for f in batched})
+    assert not [f for f in files if "/states-" in f]  # the history is what later batches read
+    assert done.count() == len(meeting_rows())
+
+
 def test_replay_of_nothing_and_of_wrong_order(spark):
     rows = random_field()
     assert R.replay(field(spark, rows).limit(0), CFG).count() == 0
