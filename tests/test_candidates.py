@@ -81,3 +81,10 @@ def test_index_finds_what_the_scan_finds(spark):
         assert S.search_index(spark, path, query).collect() == S.search(board, comps, query).collect(), query
     plan = S.search_index(spark, path, "anana")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan or "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_people_of_one_name_are_no_candidates_of_each_other(spark):
+    tag = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i * 79190123 % 10**8:08d}")
+    rows = [(i, f"katerina tricova {tag(i)}", "cz") for i in range(300)]
+    names, others = spark.createDataFrame(rows, "key bigint, norm string, country string"), spark.createDataFrame(rows, "id bigint, other string, country string")
+    assert 300 <= I.edit_candidates(names, others).count() < 3000  # all that share a first name: 90,000
