@@ -92,7 +92,10 @@ def exclude_rows(spark, sf):
 @query(f"""SELECT line FROM (SELECT line, row_number() OVER (PARTITION BY file, round_key, handler, dog ORDER BY res DESC, CASE WHEN res THEN coalesce(try_cast(rank AS INTEGER), 999999) ELSE 0 END, _seq) AS rn
   FROM (SELECT *, total_faults <> '' AND time <> '' AS res FROM {text(CANON)})) WHERE rn = 1""")
 def dedup_best(spark, sf):
-    return Q.dedup_best(frame(spark, sf, CANON), ["file", "round_key", "handler", "dog"]).select("line")
+    keys = ["file", "round_key", "handler", "dog"]
+    # The operator keeps whole rows in one struct, from which Spark takes nothing out.
+    d = frame(spark, sf, CANON).select(*keys, "total_faults", "time", "rank", "_seq", "line")
+    return Q.dedup_best(d, keys).select("line")
 
 
 RUNS = f"SELECT l_suppkey AS run_id, l_orderkey * 8 + l_linenumber AS _seq, l_returnflag = 'R' AS eliminated, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_partkey % 100 END AS pen, l_quantity AS sec, CAST(NULL AS BIGINT) AS x FROM ({LINES})"
