@@ -209,12 +209,14 @@ def _plackett_luce(mu, sigma, rank, beta, kappa):
 
 
 def _fold(cfg: RatingConfig, sigma_max: float | None):
-    """Runs of one pool inside one batch, one after the other."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Runs of one pool inside one batch, one after the other; teams without a state begin with the first one."""
+    def fold(pdf: pd.DataFrame, states: pd.DataFrame | None = None) -> pd.DataFrame:
         pdf = pdf.sort_values(["run_seq", "team_id"], kind="stable").reset_index(drop=True)
         code, teams = pd.factorize(pdf["team_id"])
-        _, first = np.unique(code, return_index=True)
-        mu, sigma = pdf["mu"].to_numpy()[first].copy(), pdf["sigma"].to_numpy()[first].copy()
+        mu, sigma = np.full(len(teams), float(cfg.mu0)), np.full(len(teams), float(cfg.sigma0))
+        if states is not None:
+            at = pd.Index(teams).get_indexer(states["team_id"])
+            mu[at[at >= 0]], sigma[at[at >= 0]] = states["mu"].to_numpy()[at >= 0], states["sigma"].to_numpy()[at >= 0]
         rank = pdf["model_rank"].to_numpy(dtype="float64", na_value=np.nan)
         weight = pdf["weight"].to_numpy()
         extra = pdf["extra_var"].to_numpy()
@@ -241,6 +243,15 @@ def _fold(cfg: RatingConfig, sigma_max: float | None):
     return fold
 
 
+def _with_states(now: DataFrame, states: DataFrame | None, pool: str, cfg: RatingConfig) -> DataFrame:
+    """Entries with the state of their team, the first one where it has none."""
+    if states is None:
+        return now.withColumns({"mu": F.lit(float(cfg.mu0)), "sigma": F.lit(float(cfg.sigma0))})
+    states = states.withColumnsRenamed({"mu": "_mu", "sigma": "_sigma"})
+    now = now.join(spread(states), [pool, "team_id"], "left")
+    return now.select("*", F.coalesce("_mu", F.lit(cfg.mu0)).alias("mu"), F.coalesce("_sigma", F.lit(cfg.sigma0)).alias("sigma")).drop("_mu", "_sigma")
+
+
 def _update_level(now: DataFrame, pool: str, cfg: RatingConfig, sigma_max: float | None) -> DataFrame:
     """All runs of one level at once: no team starts twice, so the order among them doesn't matter."""
     if sigma_max is not None:
@@ -253,6 +264,11 @@ def _update_level(now: DataFrame, pool: str, cfg: RatingConfig, sigma_max: float
     return step.withColumn("leaves", F.col("next_batch").isNotNull())
 
 
+def _with_next(entries: DataFrame, pool: str) -> DataFrame:
+    """Entries with the run that their team starts in next."""
+    return entries.withColumn("next_run", F.lead("run_id").over(Window.partitionBy(pool, "team_id").orderBy("run_seq")))
+
+
 def run_levels(entries: DataFrame, pool: str = "pool") -> DataFrame:
     """Level of every run: pool, run_id, level, entries (rows of the run); stored.
 
@@ -260,11 +276,12 @@ def run_levels(entries: DataFrame, pool: str = "pool") -> DataFrame:
     starts twice in a level, and runs of all pools and places share one. There are as many levels as days, times the most runs that depend on each
     other within a day: the graph has an edge from each team's run to its next one, and longest paths are only followed inside a day.
     """
-    career = Window.partitionBy(pool, "team_id").orderBy("run_seq")
+    if "next_run" not in entries.columns:
+        entries = _with_next(entries, pool)
     runs = entries.groupBy(pool, "run_id").agg(F.min("date").alias("day"), F.count(F.lit(1)).alias("entries"))
     day = F.coalesce(F.datediff("day", F.lit("1970-01-01")), F.lit(-(1 << 30)))
     runs = materialize(runs.withColumn("day", day), "runs")
-    steps = entries.select(pool, "run_id", F.lag("run_id").over(career).alias("before")).filter("before is not null").distinct()
+    steps = entries.filter("next_run is not null").select(pool, F.col("next_run").alias("run_id"), F.col("run_id").alias("before")).distinct()
     steps = steps.join(runs.select(pool, "run_id", "day"), [pool, "run_id"]).join(
         runs.select(pool, F.col("run_id").alias("before"), F.col("day").alias("day_before")), [pool, "before"])
     steps = materialize(steps, "run-steps")
@@ -320,18 +337,18 @@ def replay(
     distributed update of all its runs (``pl_update``), however many entries a pool or a run has. Levels too small for a job of their own are taken together, up to
     ``batch_entries`` entries of one pool, and folded run by run inside each pool: no group ever gets more than that, and more pools are more groups. Both give the
     same values. A batch reads its own rows and the states that earlier batches addressed to it, and writes its history in folders by the next batch each team
-    starts in, which are those states: one job a batch. States are joined by sorting, never sent through the driver. ``run_seq`` orders the runs of a pool and must
-    follow their dates.
+    starts in, which are those states: one job a batch. States meet the rows of their pool in its task, or are joined by sorting for a level of its own; they are never
+    sent through the driver. ``run_seq`` orders the runs of a pool and must follow their dates.
     """
     spark = entries.sparkSession
-    entries = materialize(entries.select(pool, *_FIELD), "entries")
+    entries = materialize(_with_next(entries.select(pool, *_FIELD), pool), "entries")
     levels = run_levels(entries, pool)
     plan, batches, pools, largest = _batches(spark, levels, pool, batch_entries)
     # Stored, so that the planner knows that it is small: rows from the driver have no size, and all entries would be broadcast instead.
     placed = materialize(levels.join(plan, "level").select(pool, "run_id", "batch"), "placed")
-    numbered = entries.join(placed, [pool, "run_id"])
-    later = Window.partitionBy(pool, "team_id").orderBy("batch").rangeBetween(1, Window.unboundedFollowing)
-    numbered = numbered.withColumn("next_batch", F.min("batch").over(later))
+    # A team leaves a batch with its last row there, whose next run is in a later batch.
+    after = placed.select(pool, F.col("run_id").alias("next_run"), F.col("batch").alias("next_batch"))
+    numbered = entries.join(placed, [pool, "run_id"]).join(after, [pool, "next_run"], "left").drop("next_run")
     # Few files: a folder has one per slice, not one per task.
     numbered = numbered.repartition("batch", F.pmod(F.hash(pool, "team_id"), F.lit(4 + largest // _SLICE)))
     numbered = materialize(numbered, "batched", ["batch"])
@@ -342,19 +359,19 @@ def replay(
     for number, alone in batches:
         now = numbered.filter(F.col("batch") == number).drop("batch")
         sent = matching(spark, f"{history}/batch=*/to={number}")
-        if sent:
-            states = spark.read.schema(written).parquet(*sent).filter("leaves")
-            now = now.join(spread(states.select(pool, "team_id", F.col("mu").alias("_mu"), F.col("sigma").alias("_sigma"))), [pool, "team_id"], "left")
-        else:
-            now = now.withColumns({"_mu": F.lit(None).cast("double"), "_sigma": F.lit(None).cast("double")})
-        now = now.select("*", F.coalesce("_mu", F.lit(cfg.mu0)).alias("mu"), F.coalesce("_sigma", F.lit(cfg.sigma0)).alias("sigma")).drop("_mu", "_sigma")
+        states = spark.read.schema(written).parquet(*sent).filter("leaves").select(pool, "team_id", "mu", "sigma") if sent else None
         if alone:
-            done = _update_level(now, pool, cfg, sigma_max)
+            done = _update_level(_with_states(now, states, pool, cfg), pool, cfg, sigma_max)
         else:
             # Dates go through pandas as day numbers. A number of parts that is given keeps small pools apart.
             now = now.withColumn("date", F.unix_date("date")).repartition(width, pool)
             schema = now.select(pool, *_FIELD, "next_batch", *[F.lit(0.0).alias(c) for c in _STATE], F.lit(True).alias("leaves")).schema
-            done = now.groupBy(pool).applyInPandas(_select_columns(_fold(cfg, sigma_max), schema.fieldNames()), schema)
+            fold, names = _fold(cfg, sigma_max), schema.fieldNames()
+            if states is None:
+                done = now.groupBy(pool).applyInPandas(lambda pdf: fold(pdf)[names], schema)
+            else:
+                met = now.groupBy(pool).cogroup(states.repartition(width, pool).groupBy(pool))
+                done = met.applyInPandas(lambda pdf, held: fold(pdf, held)[names], schema)
             done = done.withColumn("date", F.date_from_unix_date("date"))
         done.select(*columns, "leaves", F.col("next_batch").alias("to")).write.partitionBy("to").parquet(f"{history}/batch={number}")
     if not batches:
@@ -362,10 +379,6 @@ def replay(
     return spark.read.schema(written).parquet(history).select(*columns)
 
 
-def _select_columns(fn, names):
-    return lambda pdf: fn(pdf)[names]
-
-
 # ---------------------------------------------------------------- display values
 
 
