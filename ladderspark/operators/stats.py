@@ -170,7 +170,8 @@ def handler_profile(board: DataFrame) -> DataFrame:
     totals = board.groupBy("handler").agg(
         F.count(F.lit(1)).alias("handler_teams"), F.max("peak_rating").alias("handler_peak")
     )
-    return board.join(totals, "handler").select(
+    # A left join, because only its right side can be sent to every task: the totals, never the teams.
+    return board.filter("handler is not null").join(totals, "handler", "left").select(
         "handler", "country", "handler_teams", "handler_peak",
         "team_id", "dog", "size_group", "rating", "peak_rating", "is_active",
     )
