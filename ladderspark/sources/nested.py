@@ -31,8 +31,9 @@ def flatten_results_json(df: DataFrame, json: str = "json", schema: str = CLASS_
     d = df.select(*keep, F.from_json(json, schema).alias("_doc"))
     d = d.select(*keep, "_doc", F.posexplode("_doc.tulokset").alias("pos", "_r"))
     r = lambda f: F.col(f"_r.{f}")
-    rank = F.when(parse_int(r("sijoitus")) > 0, parse_int(r("sijoitus")))
-    note = F.upper(strip(F.coalesce(r("muuta"), F.lit(""))))
+    # Columns of their own, because each is used several times below and would be parsed as often.
+    d = d.withColumns({"_place": parse_int(r("sijoitus")), "_note": F.upper(strip(F.coalesce(r("muuta"), F.lit(""))))})
+    rank, note = F.when(F.col("_place") > 0, F.col("_place")), F.col("_note")
     out = note.isin(NOTE_CODES) | (rank.isNull() & (note != ""))
     return d.select(
         *keep, "pos", F.when(~out, rank).alias("rank"), strip(r("numero")).alias("start_no"), strip(r("ohjaaja")).alias("handler"),
@@ -92,8 +93,9 @@ def flatten_keyed_json(df: DataFrame, json: str = "json", schema: str = KEYED_SC
     d = d.withColumn("_k", parse_class_key(F.col("class_key"))).filter("_k is not null")
     d = d.select(*keep, "class_key", "_k", F.explode("_runs").alias("entry_key", "_r"))
     r = lambda f: F.col(f"_r.{f}")
-    place = parse_int(r("placement"))
-    no = F.lit(False)
+    # A column of its own, because it is used several times below and would be parsed as often.
+    d = d.withColumn("_place", parse_int(r("placement")))
+    place, no = F.col("_place"), F.lit(False)
     out = F.coalesce(r("dnf"), no) | F.coalesce(r("dns"), no) | F.coalesce(place >= 900, no)
     return d.select(
         *keep, "class_key", "entry_key", "_k.discipline", "_k.size", "_k.round_key", F.when(~out, place).alias("rank"), out.alias("eliminated"),
