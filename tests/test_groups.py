@@ -1,9 +1,9 @@
-"""Entities of small groups are walked through at once; large groups and names of other scripts go by rounds."""
+"""Names and entities of small groups are walked through at once; large groups and names of other scripts go by rounds."""
 
 import random
 
 import pytest
-from test_first_come import one_by_one_entities
+from test_first_come import one_by_one_entities, one_by_one_handlers
 
 from ladderspark.operators import first_come as C
 
@@ -57,3 +57,28 @@ def test_a_long_line_of_groups_is_left_to_the_rounds(spark, monkeypatch):
     monkeypatch.setattr(C, "_ROUNDS", 2)
     rows = [(i // 2, f"Name {'abcdefghijkl'[(i + 1) // 2]} z Kojca", "L", i) for i in range(24 - 1)] + [(50, "Alone", "S", 90)]
     entities(spark, rows, [], [], [])
+
+
+@pytest.mark.parametrize("small", [500, 12])
+def test_names_of_small_groups_take_no_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(C, "SMALL", small)
+    rounds, decide = [], C._decide_handlers
+    monkeypatch.setattr(C, "_decide_handlers", lambda rows, *rest: rounds.append(rows.count()) or decide(rows, *rest))
+    rng = random.Random(7)
+    words = ["john", "mary", "adrian", "smith", "alonso", "li"]
+
+    def name(f):
+        some = rng.sample(words, rng.choice([1, 1, 2, 3]))
+        some.insert(rng.randrange(len(some) + 1), f"{'abcdefgh'[f] * 3}czak")
+        return " ".join(some)
+
+    rows = [(name(f), rng.choice(["GB", "CZ", "ES"]), i * 3) for i in range(150) for f in [min(rng.randrange(10), 7)]]
+    dim = [(i * 2, n, rng.choice(["GB", "CZ"])) for i, n in enumerate(sorted({name(i % 8) for i in range(12)}))]
+    alias = [("nick", 4), (rows[0][0], 2)]
+    want, made = one_by_one_handlers(rows, dim, alias)
+    got, _, aliases = C.resolve_handlers(
+        spark.createDataFrame(rows, "raw string, country string, _seq bigint"), spark.createDataFrame(dim, "id bigint, norm string, country string"), spark.createDataFrame(alias, "alias_name string, canonical_id bigint"))
+    assert {(r.raw, r.country): (r.stage, r.handler_id) for r in got.collect()} == want
+    assert {r.alias_name: r.canonical_id for r in aliases.collect()} == made
+    assert {s for s, _ in want.values()} >= {"alias", "name", "containment", "new"}
+    assert len(rounds) == 1 if small == 500 else len(rounds) > 1 and 0 < rounds[0] < rounds[-1]
